@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillstream.operators.events import enrich_events
 from tillstream.operators.star import Star
+from tillstream.plans.live import live_daily_series
 from tillstream.session import new_folder
 from tillstream.sources import lake, warehouse
+from tillstream.sources.events import read_event_files
+from tillstream.sources.live_store import LiveStore
+from tillstream.streaming.live import drain, write_hot_events
 
 _stored: dict[tuple[str, str, str], str] = {}
 
@@ -105,3 +110,65 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         ),
     )
     return warehouse.open_warehouse(spark, path)
+
+
+EVENT_FILES = 8
+
+
+def event_dir(spark: SparkSession, sf_dir: str) -> str:
+    """The live feed as JSON lines, in day order over eight files."""
+    return once(
+        spark, sf_dir, "events",
+        lambda path: enrich_events(sales(spark, sf_dir, with_row_id=True))
+        .repartitionByRange(EVENT_FILES, "day_index", "row_in_day")
+        .write.json(path),
+    )
+
+
+def live_store(spark: SparkSession, sf_dir: str) -> LiveStore:
+    """A live store whose hot table has taken in the whole feed."""
+
+    def fill(path: str) -> None:
+        store = LiveStore(spark, path)
+        events = read_event_files(spark, event_dir(spark, sf_dir))
+        drain(write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True))
+
+    return LiveStore(spark, once(spark, sf_dir, "live", fill))
+
+
+def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_store(spark, sf_dir).hot()
+
+
+def simple_forecasts(days: DataFrame) -> DataFrame:
+    """Forecasts that SQL can state too: the mean of the last seven days, for the day after.
+
+    ``days`` has ds and y. Stands in for the model where only the use of forecasts is checked.
+    """
+    last_week = Window.orderBy("ds").rowsBetween(-6, 0)
+    spent = F.sum(F.rint(F.col("y") * 100).cast("long")).over(last_week)
+    mean = F.round(spent / 100.0 / F.count("*").over(last_week), 2)
+    return days.select(
+        F.date_add("ds", 1).alias("simulated_day"),
+        mean.alias("predicted_revenue"),
+        F.round(mean - 250, 2).alias("lower_ci"),
+        F.round(mean + 250, 2).alias("upper_ci"),
+        F.lit(None).cast("timestamp").alias("generated_at"),
+    )
+
+
+def simple_outlook(forecasts: DataFrame) -> DataFrame:
+    """Seven days from each forecast on, half a percent more per day."""
+    step = F.col("step")
+    return forecasts.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("step")).select(
+        F.col("simulated_day").alias("generated_day"),
+        F.date_add("simulated_day", step).alias("forecast_date"),
+        *[
+            F.round(F.col(name) * (1 + step / 200), 2).alias(name)
+            for name in ("predicted_revenue", "lower_ci", "upper_ci")
+        ],
+    )
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple_forecasts(live_daily_series(hot(spark, sf_dir)).select("ds", "y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,27 @@ from tillstream.functions.regions import with_region
 from tillstream.operators import checks as constraint_checks
 from tillstream.operators import star
 from tillstream.operators.clean import clean_sales, cleaning_report
-from tillstream.plans import alerts, revenue, summaries
+from tillstream.plans import alerts, live, revenue, summaries
+from tillstream.session import new_folder
 from tillstream.sources import lake, warehouse
+from tillstream.sources.events import parse_events, read_event_files
+from tillstream.sources.live_store import LiveStore
+from tillstream.sources.tables import write_json
+from tillstream.streaming.live import (
+    DAY_SCHEMA,
+    batch_sizes,
+    close_days,
+    day_progress,
+    day_totals,
+    distinct_stream,
+    drain,
+    recent_ring,
+    running_kpis,
+    throughput,
+    window_counts,
+    with_open,
+    write_hot_events,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,4 +129,203 @@ BATCH: dict[str, Query] = {
     "a4_insight_records": _a4,
 }
 
-QUERIES: dict[str, Query] = {**BATCH}
+
+def _new_store(spark: SparkSession) -> LiveStore:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return LiveStore(spark, new_folder(spark, "live-run"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    return read_event_files(spark, feeds.event_dir(spark, sf_dir), files_per_batch)
+
+
+def _hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.hot(spark, sf_dir).select(
+        "invoice", "stock_code", "description", "quantity", "price", "revenue", "customer_id",
+        "country", F.col("invoice_date").cast("timestamp_ntz").alias("invoice_date"),
+        "simulated_day", "row_in_day",
+    )
+
+
+def _events_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of the feed, parsed by the same code that parses the stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return parse_events(spark.read.text(feeds.event_dir(spark, sf_dir))).select(
+        "invoice", "stock_code", "customer_id", "revenue", "simulated_day", "day_index",
+        "row_in_day", "total_in_day", "is_day_start", "is_day_end",
+        F.col("invoice_date").cast("timestamp_ntz").alias("invoice_date"),
+    )
+
+
+def _s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forecasts are stored, then those of the last 400 days are replaced by doubled ones."""
+    table = _new_store(spark).forecasts()
+    first = feeds.forecasts(spark, sf_dir)
+    table.upsert(first, "feed", 0)
+    since = F.date_sub(first.agg(F.max("simulated_day")).scalar(), 400)
+    again = first.where(F.col("simulated_day") > since).withColumn(
+        "predicted_revenue", F.col("predicted_revenue") * 2
+    )
+    table.upsert(again, "feed", 1)
+    table.upsert(again, "feed", 1)
+    return table.read().drop("generated_at")
+
+
+def _s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alerts.reorder_alerts(revenue.reorder_signals(feeds.star(spark, sf_dir)))
+    path = new_folder(spark, "alerts")
+    write_json(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
+def _s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the live tables before and after a reset."""
+    store = _new_store(spark)
+    drain(write_hot_events(_stream(spark, sf_dir), store.hot_path, store.checkpoint("hot"), once=True))
+    made = feeds.forecasts(spark, sf_dir)
+    store.forecasts().upsert(made)
+    store.outlook().upsert(feeds.simple_outlook(made))
+    accuracy = live.mean_error(made, live.day_revenue(store.hot()))
+    store.status().upsert(live.stream_status(store.hot(), accuracy))
+
+    def sizes(column: str) -> DataFrame:
+        tables = {
+            "hot": store.hot(), "forecasts": store.forecasts().read(),
+            "outlook": store.outlook().read(), "status": store.status().read(),
+        }
+        return reduce(
+            DataFrame.unionByName,
+            [
+                rows.agg(F.count("*").alias(column)).withColumn("table_name", F.lit(name))
+                for name, rows in tables.items()
+            ],
+        )
+
+    before = sizes("rows_before")
+    store.reset()
+    return before.join(sizes("rows_after"), "table_name").select("table_name", "rows_before", "rows_after")
+
+
+def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    drain(running_kpis(_stream(spark, sf_dir, 3), store.kpis(), store.checkpoint("kpis"), once=True))
+    exact = feeds.hot(spark, sf_dir).agg(F.count_distinct("customer_id")).scalar()
+    error = F.abs(F.col("unique_customers") - exact) / exact
+    return store.kpis().read().withColumn("unique_customers", exact).withColumn(
+        "estimate_within_3_pct", error < 0.03
+    )
+
+
+def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per second of the event table, which is read as a stream."""
+    store = _new_store(spark)
+    table = feeds.table(spark, sf_dir, "events")
+    rows = (
+        spark.readStream.schema(table.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+        .select(F.col("ts").cast("timestamp").alias("ts"))
+    )
+    path = store.hot_path
+    drain(throughput(rows, "ts", path, store.checkpoint("throughput"), once=True))
+    all_windows = window_counts(table.select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    closed = spark.read.schema("window_start timestamp, num_rows long").parquet(path)
+    return with_open(closed, all_windows, "window_start").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "num_rows"
+    )
+
+
+def _t3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    drain(recent_ring(_stream(spark, sf_dir, 3), store.recent(), store.checkpoint("recent"), once=True))
+    return store.recent().read().withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
+
+
+def _t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    drain(close_days(_stream(spark, sf_dir), store.closed_path, store.checkpoint("close"), once=True))
+    closed = spark.read.schema(DAY_SCHEMA).parquet(store.closed_path)
+    days = with_open(closed, day_totals(feeds.hot(spark, sf_dir)), "simulated_day")
+    return days.drop("orders")
+
+
+def _t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    path = store.hot_path
+    drain(batch_sizes(_stream(spark, sf_dir, 1), path, store.checkpoint("sizes"), once=True))
+    return (
+        spark.read.schema("batch long, num_rows long").parquet(f"{path}/batch_*")
+        .agg(F.count_if(F.col("num_rows") > 0).alias("num_batches"), F.sum("num_rows").alias("num_rows"))
+    )
+
+
+def _t6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    drain(day_progress(_stream(spark, sf_dir, 3), store.progress(), store.checkpoint("day"), once=True))
+    return store.progress().read()
+
+
+def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed is sent twice; each event counts once."""
+    store = _new_store(spark)
+    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
+    drain(
+        write_hot_events(distinct_stream(twice), store.hot_path, store.checkpoint("hot"), once=True)
+    )
+    return store.hot().groupBy("simulated_day").agg(
+        F.count("*").alias("num_events"), money_sum(F.col("revenue")).alias("revenue")
+    )
+
+
+def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = feeds.hot(spark, sf_dir)
+    return live.mean_error(feeds.forecasts(spark, sf_dir), live.day_revenue(hot))
+
+
+def _l7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse history with live days from 1999 on, before the newest day."""
+    history = revenue.daily_sales_series(feeds.star(spark, sf_dir)).select("ds", "y", "units", "orders")
+    days = live.live_daily_series(feeds.hot(spark, sf_dir)).where(F.col("ds") >= "1999-01-01")
+    newest = history.agg(F.max("ds")).scalar()
+    return live.can_forecast(live.merge_history(history, days, newest))
+
+
+def on_hot(plan: Callable[..., DataFrame], **options) -> Query:
+    return lambda spark, sf_dir: plan(feeds.hot(spark, sf_dir), **options)
+
+
+LIVE: dict[str, Query] = {
+    "c6_enrich_events": _events_read,
+    "s7_write_hot_events": _hot_rows,
+    "s8_upsert": _s8,
+    "s9_write_json": _s9,
+    "s10_reset_live": _s10,
+    "t1_running_kpis": _t1,
+    "t2_throughput": _t2,
+    "t3_recent_ring": _t3,
+    "t4_close_days": _t4,
+    "t5_micro_batches": _t5,
+    "t6_day_progress": _t6,
+    "t7_exactly_once": _t7,
+    "l1_recent_transactions": on_hot(live.recent_transactions),
+    "l2_live_top_products": on_hot(live.live_top_products),
+    "l3_live_geo_revenue": on_hot(live.live_geo_revenue),
+    "l4_live_daily_series": on_hot(live.live_daily_series),
+    "l5_forecast_vs_actual": lambda spark, d: live.forecast_vs_actual(
+        feeds.forecasts(spark, d), feeds.hot(spark, d)
+    ),
+    "l6_forecast_outlook": lambda spark, d: live.forecast_outlook(
+        feeds.simple_outlook(feeds.forecasts(spark, d))
+    ),
+    "l7_merge_history": _l7,
+    "l8_accuracy_report": lambda spark, d: live.accuracy_report(
+        feeds.forecasts(spark, d), live.day_revenue(feeds.hot(spark, d))
+    ),
+    "l9_stream_status": lambda spark, d: live.stream_status(
+        feeds.hot(spark, d), _accuracy(spark, d)
+    ).drop("started_at"),
+    "l10_accuracy_grade": _accuracy,
+    "l11_top_product_share": on_hot(live.top_product_share),
+}
+
+QUERIES: dict[str, Query] = {**BATCH, **LIVE}
