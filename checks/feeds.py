@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.operators.events import enrich_events
+from tillstream.operators.forecast import (
+    Forecaster,
+    fit_forecaster,
+    load_forecaster,
+    save_forecaster,
+)
 from tillstream.operators.star import Star
+from tillstream.operators.text import index_documents, warehouse_documents
+from tillstream.plans import revenue
 from tillstream.plans.live import live_daily_series
-from tillstream.session import new_folder
+from tillstream.session import new_folder, written
 from tillstream.sources import lake, warehouse
 from tillstream.sources.events import read_event_files
 from tillstream.sources.live_store import LiveStore
@@ -172,3 +180,73 @@ def simple_outlook(forecasts: DataFrame) -> DataFrame:
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple_forecasts(live_daily_series(hot(spark, sf_dir)).select("ds", "y"))
+
+
+def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series of all sales and of each country, stored once."""
+
+    def fill(path: str) -> None:
+        warehouse_star = star(spark, sf_dir)
+        total = revenue.daily_sales_series(warehouse_star).select(
+            F.lit("total").alias("series"), "ds", "y", "units", "orders"
+        )
+        revenue.daily_series_by_country(warehouse_star).unionByName(total).write.parquet(path)
+
+    return spark.read.parquet(once(spark, sf_dir, "daily-series", fill))
+
+
+def forecaster(spark: SparkSession, sf_dir: str) -> Forecaster:
+    path = once(
+        spark, sf_dir, "forecaster",
+        lambda path: save_forecaster(fit_forecaster(daily_series(spark, sf_dir)), path),
+    )
+    return load_forecaster(spark, path)
+
+
+def next_week(days: DataFrame) -> DataFrame:
+    """A plain seven-day forecast per series, which SQL can state too: the last day's revenue,
+    a fifth more for each day ahead."""
+    last = days.groupBy("series").agg(F.max("ds").alias("origin"), F.max_by("y", "ds").alias("y"))
+    step = F.col("step")
+    value = F.col("y") * (1 + step / 5)
+    return last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(7)))).select(
+        "series", "origin", F.date_add("origin", step).alias("ds"),
+        F.round(value, 2).alias("forecast"),
+        F.round(value - 100, 2).alias("lower_ci"),
+        F.round(value + 100, 2).alias("upper_ci"),
+    )
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn, and questions made from every part, nation and segment name."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("text").alias("question"))
+    part = table(spark, sf_dir, "part").select(
+        F.format_string("What are the TOP %d products like %s ?", F.col("p_size"), "p_name")
+        .alias("question")
+    )
+    nation = table(spark, sf_dir, "nation").select(
+        F.explode(
+            F.array(
+                F.format_string("Monthly sales in %s", "n_name"),
+                F.format_string("Compare %s with other countries", "n_name"),
+                F.format_string("Which item sold best in %s", "n_name"),
+                F.format_string("Tell me about %s", "n_name"),
+            )
+        ).alias("question")
+    )
+    segment = table(spark, sf_dir, "customer").select(
+        F.format_string("Which customer type is %s", F.col("c_mktsegment")).alias("question")
+    ).distinct()
+    return turns.unionByName(part).unionByName(nation).unionByName(segment)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the index over the warehouse documents. Documents get the rank of their text as
+    id; there are a few hundred."""
+
+    def fill(path: str) -> None:
+        place = F.row_number().over(Window.orderBy("text", "type"))
+        documents = warehouse_documents(star(spark, sf_dir)).withColumn("doc_id", place.cast("long"))
+        index_documents(written(documents, "documents"), path)
+
+    return once(spark, sf_dir, "document-index", fill)

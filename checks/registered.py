@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import feeds
@@ -17,14 +17,16 @@ from tillstream.functions.columns import (
 )
 from tillstream.functions.regions import with_region
 from tillstream.operators import checks as constraint_checks
-from tillstream.operators import star
+from tillstream.operators import forecast, series, star, text
 from tillstream.operators.clean import clean_sales, cleaning_report
+from tillstream.operators.similarity import top_k_similar
 from tillstream.plans import alerts, live, revenue, summaries
 from tillstream.session import new_folder
 from tillstream.sources import lake, warehouse
 from tillstream.sources.events import parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
 from tillstream.sources.tables import write_json
+from tillstream.streaming.forecasts import forecast_on_day_start
 from tillstream.streaming.live import (
     DAY_SCHEMA,
     batch_sizes,
@@ -328,4 +330,199 @@ LIVE: dict[str, Query] = {
     "l11_top_product_share": on_hot(live.top_product_share),
 }
 
-QUERIES: dict[str, Query] = {**BATCH, **LIVE}
+
+def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.daily_series(spark, sf_dir).where(F.col("series") == "total")
+
+
+def _rounded(rows: DataFrame, names: list[str], digits: int = 8) -> DataFrame:
+    return rows.withColumns({name: F.round(name, digits) for name in names})
+
+
+def _f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.calendar_features(_total(spark, sf_dir)).select(
+        "ds", "dow", "month", "is_weekend", "dow_sin", "dow_cos", "month_sin", "month_cos"
+    )
+    return _rounded(rows, ["dow_sin", "dow_cos", "month_sin", "month_cos"])
+
+
+def _f2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.log_features(feeds.daily_series(spark, sf_dir))
+    return _rounded(rows.select("series", "ds", "y", "units", "orders"), series.LOGGED)
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.features(feeds.daily_series(spark, sf_dir))
+    return series.minmax_apply(rows, series.minmax_fit(rows))
+
+
+def _f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled measures, and the revenue that undoing the scaling gives back."""
+    daily = feeds.daily_series(spark, sf_dir)
+    scales = series.minmax_fit(series.features(daily)).select("series", "y_scale")
+    rows = _scaled(spark, sf_dir).join(scales, "series")
+    return _rounded(
+        rows.select(
+            "series", "ds", "y", "units", "orders",
+            F.round(series.to_money(F.col("y"), F.col("y_scale")), 2).alias("revenue"),
+        ),
+        series.LOGGED,
+    )
+
+
+def _f4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of all series, each with its size and sums."""
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
+    ahead = F.aggregate("target", F.lit(0.0), lambda a, x: a + x)
+    return series.sliding_samples(_scaled(spark, sf_dir)).select(
+        "series", "ds", F.size("window").alias("num_inputs"), F.size("target").alias("num_targets"),
+        F.round(total, 6).alias("input_sum"), F.round(ahead, 6).alias("target_sum"),
+        F.round(F.get("window", F.lit(0)), 6).alias("oldest_input"),
+    )
+
+
+def _f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        series.chrono_split(feeds.daily_series(spark, sf_dir))
+        .groupBy("series", "part")
+        .agg(F.count("*").alias("num_rows"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"))
+    )
+
+
+def _f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.forecaster(spark, sf_dir).weights.select(
+        "step", "intercept", F.size("weights").alias("num_weights"), "validation_loss",
+        "validation_samples", "regularisation",
+    )
+
+
+def _f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.forecast(feeds.daily_series(spark, sf_dir), feeds.forecaster(spark, sf_dir))
+
+
+def _f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = feeds.daily_series(spark, sf_dir)
+    corrected = forecast.scale_correction(feeds.next_week(daily), forecast.recent_mean(daily))
+    return corrected.select("series", "ds", "forecast", F.round("factor", 6).alias("factor"))
+
+
+def _f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day forecast by the mean of the seven before it, judged per series."""
+    daily = feeds.daily_series(spark, sf_dir)
+    before = Window.partitionBy("series").orderBy("ds").rowsBetween(-7, -1)
+    spent = F.sum(F.rint(F.col("y") * 100).cast("long")).over(before)
+    guesses = daily.select(
+        "series", "ds", F.round(spent / 100.0 / F.count("*").over(before), 2).alias("forecast")
+    ).where(F.col("forecast").isNotNull())
+    bounded = guesses.withColumns(
+        {"lower_ci": F.col("forecast") - 500, "upper_ci": F.col("forecast") + 500}
+    )
+    return forecast.evaluate(bounded, daily)
+
+
+def _f11_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted model from every day that has a full look-back window."""
+    daily = feeds.daily_series(spark, sf_dir)
+    made = forecast.forecast(
+        daily, feeds.forecaster(spark, sf_dir), origins=daily.select("series", "ds")
+    )
+    return forecast.evaluate(made, daily)
+
+
+def _a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of the plain forecast; the arrays as text, which compares in any engine."""
+    report = alerts.forecast_report(feeds.next_week(feeds.daily_series(spark, sf_dir)))
+
+    def joined(name: str):
+        return F.array_join(F.transform(name, lambda v: F.format_number(v, 2)), " ").alias(name)
+
+    return report.select(
+        "series", "type", "horizon", F.array_join("dates", " ").alias("dates"),
+        joined("forecast"), joined("lower_ci"), joined("upper_ci"), "total_projected",
+    )
+
+
+def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts made as the feed runs, with the error of each against what came."""
+    store = _new_store(spark)
+    history = _total(spark, sf_dir).select("ds", "y", "units", "orders")
+    drain(
+        forecast_on_day_start(
+            _stream(spark, sf_dir), store, history, feeds.forecaster(spark, sf_dir), once=True
+        )
+    )
+    return live.forecast_vs_actual(store.forecasts().read(), feeds.hot(spark, sf_dir))
+
+
+def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.warehouse_documents(feeds.star(spark, sf_dir)).select(
+        "type", "text", F.to_json("metadata").alias("metadata")
+    )
+
+
+def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, vectors = text.load_index(spark, feeds.document_index(spark, sf_dir))
+    length = F.sqrt(
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    )
+    return vectors.select(
+        "doc_id", "type", "text", "num_terms", (F.abs(length - 1) < 1e-4).alias("unit_length")
+    )
+
+
+def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three vectors nearest to the mean vector of each label."""
+    vectors = feeds.table(spark, sf_dir, "embeddings")
+    means = (
+        vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
+        .groupBy("label", "pos")
+        .agg(F.avg(F.col("x").cast("double")).alias("x"))
+        .groupBy("label")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("parts"))
+        .select("label", F.col("parts.x").alias("mean"))
+    )
+    return top_k_similar(
+        means, vectors, query_id="label", query_vector="mean", vector="embedding"
+    ).withColumnRenamed("query_id", "label")
+
+
+def _r3_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three warehouse documents nearest to each conversation turn."""
+    model, index = text.load_index(spark, feeds.document_index(spark, sf_dir))
+    turns = feeds.table(spark, sf_dir, "conversations").select(
+        F.xxhash64("conv_id", "turn", "text").alias("query_id"), "text"
+    )
+    found = top_k_similar(text.vectors(model, turns.distinct()), index, vector_id="doc_id")
+    return found.join(
+        index.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("source_text")), "vec_id"
+    )
+
+
+FORECAST: dict[str, Query] = {
+    "f1_calendar_features": _f1,
+    "f2_log_features": _f2,
+    "f3_minmax": _f3,
+    "f4_sliding_samples": _f4,
+    "f5_chrono_split": _f5,
+    "f6_fit_forecaster": _f6,
+    "f7_forecast": _f7,
+    "f8_scale_correction": _f8,
+    "f9_forecast_kpis": lambda spark, d: forecast.forecast_kpis(
+        feeds.next_week(feeds.daily_series(spark, d))
+    ),
+    "f10_series_lengths": lambda spark, d: forecast.series_lengths(feeds.daily_series(spark, d)),
+    "f11_evaluate": _f11,
+    "f11_evaluate_forecaster": _f11_model,
+    "a3_forecast_report": _a3,
+    "t8_forecast_on_day_start": _t8,
+}
+
+TEXT: dict[str, Query] = {
+    "r1_warehouse_documents": _r1,
+    "r2_index_documents": _r2,
+    "r3_top_k_similar": _r3,
+    "r3_top_k_documents": _r3_questions,
+    "r4_route_questions": lambda spark, d: text.route_questions(feeds.questions(spark, d)),
+}
+
+QUERIES: dict[str, Query] = {**BATCH, **LIVE, **FORECAST, **TEXT}

@@ -32,7 +32,7 @@ PROGRESS_SCHEMA = "current_day date, total_rows long"
 DAY_SCHEMA = "simulated_day date, actual_revenue double, units long, num_events long, orders long"
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
+def start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=BATCH_INTERVAL)
     return writer.start()
@@ -50,7 +50,7 @@ def write_hot_events(events: DataFrame, path: str, checkpoint: str, once: bool =
     filter skips the others.
     """
     writer = hot_events(events).writeStream.format("parquet").option("path", path)
-    return _start(writer.partitionBy("sale_month").outputMode("append"), checkpoint, once)
+    return start(writer.partitionBy("sale_month").outputMode("append"), checkpoint, once)
 
 
 def country_figures(events: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def running_kpis(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
         table.replace(kpis_of(figures), "running_kpis", batch)
 
     writer = country_figures(events).writeStream.outputMode("complete").foreachBatch(store)
-    return _start(writer, checkpoint, once)
+    return start(writer, checkpoint, once)
 
 
 def day_progress(events: DataFrame, table: KeyedTable, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -99,7 +99,7 @@ def day_progress(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     def store(row: DataFrame, batch: int) -> None:
         table.replace(row, "day_progress", batch)
 
-    return _start(totals.writeStream.outputMode("complete").foreachBatch(store), checkpoint, once)
+    return start(totals.writeStream.outputMode("complete").foreachBatch(store), checkpoint, once)
 
 
 def newest(events: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
@@ -119,7 +119,7 @@ def recent_ring(
     def store(batch_rows: DataFrame, batch: int) -> None:
         table.replace(newest(newest(batch_rows, n).unionByName(table.read()), n), "recent_ring", batch)
 
-    return _start(events.writeStream.foreachBatch(store), checkpoint, once)
+    return start(events.writeStream.foreachBatch(store), checkpoint, once)
 
 
 def window_counts(rows: DataFrame, time: str, every: str = "1 second") -> DataFrame:
@@ -135,7 +135,7 @@ def throughput(
 ) -> StreamingQuery:
     """Append each window once the watermark has passed it."""
     counts = window_counts(rows.withWatermark(time, delay), time, every)
-    return _start(counts.writeStream.format("parquet").option("path", path), checkpoint, once)
+    return start(counts.writeStream.format("parquet").option("path", path), checkpoint, once)
 
 
 def _day_totals(events: DataFrame, day, orders) -> DataFrame:
@@ -167,7 +167,7 @@ def close_days(
     events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", once: bool = False
 ) -> StreamingQuery:
     writer = closing_days(events, delay).writeStream.format("parquet").option("path", path)
-    return _start(writer, checkpoint, once)
+    return start(writer, checkpoint, once)
 
 
 def day_totals(hot: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def batch_sizes(events: DataFrame, path: str, checkpoint: str, once: bool = Fals
             "overwrite"
         ).parquet(f"{path}/batch_{batch}")
 
-    return _start(events.writeStream.foreachBatch(store), checkpoint, once)
+    return start(events.writeStream.foreachBatch(store), checkpoint, once)
