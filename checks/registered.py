@@ -19,6 +19,7 @@ from tillstream.functions.regions import with_region
 from tillstream.operators import checks as constraint_checks
 from tillstream.operators import forecast, series, star, text
 from tillstream.operators.clean import clean_sales, cleaning_report
+from tillstream.operators.keys import dense_key
 from tillstream.operators.similarity import top_k_similar
 from tillstream.plans import alerts, live, revenue, summaries
 from tillstream.session import new_folder
@@ -37,6 +38,7 @@ from tillstream.streaming.live import (
     drain,
     recent_ring,
     running_kpis,
+    start,
     throughput,
     window_counts,
     with_open,
@@ -105,8 +107,10 @@ BATCH: dict[str, Query] = {
     "d3_dim_customer": on_star(lambda s: s.dim_customer),
     "d4_dim_geography": on_star(lambda s: s.dim_geography),
     "d5_fact_sales": on_star(lambda s: s.fact_sales.drop("sale_month")),
+    "d6_dense_key": lambda spark, d: _d6(spark, d),
     "d7_agg_daily_sales": on_star(lambda s: s.agg_daily_sales.drop("sale_month")),
     "d8_table_counts": on_star(warehouse.table_counts),
+    "s5_load_warehouse": on_star(warehouse.table_counts),
     "d9_check_constraints": on_star(constraint_checks.check_constraints),
     "q1_monthly_revenue_trend": on_star(revenue.monthly_revenue_trend),
     "q2_top_products": on_star(revenue.top_products),
@@ -149,16 +153,45 @@ def _hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages of the feed, parsed by the same code that parses the stream."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return parse_events(spark.read.text(feeds.event_dir(spark, sf_dir))).select(
+def _s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per partition after all sales were stored and those of 1997 were stored again."""
+    path = new_folder(spark, "lake")
+    sales = feeds.sales(spark, sf_dir)
+    lake.write_lake(sales, path)
+    lake.write_lake(sales.where(F.col("Year") == 1997), path)
+    return lake.read_lake(spark, path).groupBy("Year", "Month").agg(
+        F.count("*").alias("num_rows"), money_sum(F.col("Revenue")).alias("revenue")
+    )
+
+
+def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed stream, stored as it was read."""
+    store = _new_store(spark)
+    events = _stream(spark, sf_dir)
+    writer = events.writeStream.format("parquet").option("path", store.hot_path)
+    drain(start(writer, store.checkpoint("events"), once=True))
+    return _event_columns(spark.read.schema(events.schema).parquet(store.hot_path))
+
+
+def _d6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = feeds.table(spark, sf_dir, "events").select("event_type", "event_id")
+    return dense_key(events, ["event_type", "event_id"], "event_key")
+
+
+def _event_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         "invoice", "stock_code", "customer_id", "revenue", "simulated_day", "day_index",
         "row_in_day", "total_in_day", "is_day_start", "is_day_end",
         F.col("invoice_date").cast("timestamp_ntz").alias("invoice_date"),
     )
 
 
+def _events_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of the feed, parsed by the same code that parses the stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _event_columns(parse_events(spark.read.text(feeds.event_dir(spark, sf_dir))))
+
+
 def _s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All forecasts are stored, then those of the last 400 days are replaced by doubled ones."""
     table = _new_store(spark).forecasts()
@@ -298,6 +331,8 @@ def on_hot(plan: Callable[..., DataFrame], **options) -> Query:
 
 LIVE: dict[str, Query] = {
     "c6_enrich_events": _events_read,
+    "s2_write_lake": _s2,
+    "s6_read_event_stream": _s6,
     "s7_write_hot_events": _hot_rows,
     "s8_upsert": _s8,
     "s9_write_json": _s9,

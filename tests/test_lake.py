@@ -1,0 +1,79 @@
+import os
+
+from pyspark.sql import functions as F
+
+from tests.helpers import lake_of, raw, sale, values
+from tillstream.operators.clean import clean_sales, cleaning_report
+from tillstream.session import new_folder
+from tillstream.sources import lake
+
+HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+
+
+def test_csv_skips_long_lines_and_fills_short_ones(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text(
+        HEADER
+        + "1,A,\"tea, green\",2,2010-01-02 03:04:05,1.5,17,France\n"
+        + "2,B,cup,1,2010-01-02 03:04:05,2.5,18\n"
+        + "3,C,cup,1,2010-01-02 03:04:05,2.5,18,France,surplus\n"
+        + "4,D,\"a \"\"big\"\" cup\",1,2010-01-02 03:04:05,2.5,,Spain\n",
+        encoding="utf-8",
+    )
+    rows = {r["Invoice"]: r for r in lake.read_sales_csv(spark, str(path)).collect()}
+    assert sorted(rows) == ["1", "2", "4"]
+    assert rows["1"]["Description"] == "tea, green" and rows["1"]["Quantity"] == 2.0
+    assert rows["2"]["Country"] is None
+    assert rows["4"]["Description"] == 'a "big" cup' and rows["4"]["Customer ID"] is None
+    assert str(rows["1"]["InvoiceDate"]) == "2010-01-02 03:04:05"
+
+
+def test_cleaning_rules(spark):
+    rows = [
+        sale("1"),
+        sale("C2"),
+        sale(None, code="N"),
+        sale("3", description=None),
+        sale("4", when=None),
+        sale("5", quantity=0),
+        sale("6", quantity=-1),
+        sale("7", price=0),
+        sale("8", customer=None, quantity=3, price=0.335),
+    ]
+    kept = clean_sales(raw(spark, rows))
+    assert sorted(values(kept, "StockCode", "Invoice"), key=str) == [("A", "1"), ("A", "8"), ("N", None)]
+    assert kept.where("Invoice = '8'").first()["Revenue"] == 1.01
+    report = cleaning_report(raw(spark, rows)).first().asDict()
+    assert report == {
+        "raw_rows": 9, "kept_rows": 3, "cancelled_rows": 1, "incomplete_rows": 2,
+        "non_positive_rows": 3,
+    }
+
+
+def test_empty_input_keeps_the_schema(spark):
+    cleaned = clean_sales(raw(spark, []))
+    assert cleaned.count() == 0
+    assert cleaned.columns[-3:] == ["Revenue", "Year", "Month"]
+
+
+def test_rewriting_a_month_leaves_the_others(spark):
+    path = new_folder(spark, "lake")
+    january, february = sale("1"), sale("2", when="2020-02-01 00:00:00")
+    lake.write_lake(clean_sales(raw(spark, [january, february])), path)
+    lake.write_lake(clean_sales(raw(spark, [sale("9"), sale("8")])), path)
+    assert sorted(values(lake.read_lake(spark, path), "Invoice")) == [("2",), ("8",), ("9",)]
+    assert os.path.isdir(f"{path}/Year=2020/Month=2")
+
+
+def test_row_id_names_each_row(spark):
+    sales = lake_of(spark, [sale("1")] * 40)
+    assert sales.select("source_file", "source_row").distinct().count() == 40
+
+
+def test_month_filter_prunes_partitions(spark):
+    path = new_folder(spark, "lake")
+    lake.write_lake(clean_sales(raw(spark, [sale("1"), sale("2", when="2020-02-01 00:00:00")])), path)
+    narrow = lake.read_lake(spark, path).where((F.col("Year") == 2020) & (F.col("Month") == 2))
+    plan = narrow.select("Invoice")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Year" in plan
+    assert "ReadSchema: struct<Invoice:string>" in plan

@@ -11,25 +11,29 @@ from tillstream.session import new_folder
 _POSITION_BITS = 33
 
 
-def dense_key(df: DataFrame, order_by: list[str], key: str) -> DataFrame:
-    """Number the rows 1..n in the stated order.
-
-    ``order_by`` must be a total order over stable columns (for identical rows: the row's place
-    in its source file), so that a repeated task puts each row where it was before. The rows are
-    range-sorted over all tasks and written once with their position; the number of rows before
-    each partition (one row per partition, so the broadcast is bounded by the task count) then
-    turns positions into numbers. Equal values of the first columns may spread over many tasks.
-    """
+def place_rows(df: DataFrame, order_by: list[str], label: str) -> DataFrame:
+    """Sort over all tasks and store every row with its partition and its row in the partition."""
     spark = df.sparkSession
-    path = new_folder(spark, f"numbered-{key}")
+    path = new_folder(spark, f"placed-{label}")
     df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
-
-    placed = spark.read.schema(f"{df.schema.toDDL()}, _place bigint").parquet(path).withColumns(
+    return spark.read.schema(f"{df.schema.toDDL()}, _place bigint").parquet(path).withColumns(
         {
             "_part": F.shiftright("_place", _POSITION_BITS),
             "_row": F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)),
         }
     )
+
+
+def dense_key(df: DataFrame, order_by: list[str], key: str) -> DataFrame:
+    """Number the rows 1..n in the stated order.
+
+    ``order_by`` must be a total order over stable columns (for identical rows: the row's place
+    in its source file), so that a repeated task puts each row where it was before. The rows are
+    range-sorted over all tasks and written once with their place; the number of rows before each
+    partition (one row per partition, so the broadcast is bounded by the task count) then turns
+    places into numbers. Equal values of the first columns may spread over many tasks.
+    """
+    placed = place_rows(df, order_by, key)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")

@@ -10,19 +10,19 @@ HOT_SHARE = 1 / 256
 _SALTS = 4096
 
 
-def lookup_key(rows: DataFrame, dim: DataFrame, on: str, key: str, weight: str) -> DataFrame:
+def lookup_key(
+    rows: DataFrame, dim: DataFrame, on: str, key: str, weight: str, num_rows: int
+) -> DataFrame:
     """Left join ``dim[key]`` to ``rows`` by the column ``on``.
 
-    ``weight`` is the number of rows that each dim member has. The hot members (at most 256 by
+    ``weight`` is the number of rows that each dim member has, ``num_rows`` that of all. The hot members (at most 256 by
     definition) are broadcast; the others are joined as Catalyst sees fit. Rows that found their
     key in the hot table, and rows without a value, enter that second join with a salted value
     that matches nothing, which spreads them over the tasks.
     """
-    total = dim.agg(F.sum(weight)).scalar()
-    hot = dim.where(F.col(weight) > total * HOT_SHARE).select(
-        F.col(on).alias("_hot_on"), F.col(key).alias("_hot_key")
-    )
-    rest = dim.where(F.col(weight) <= total * HOT_SHARE).select(
+    is_hot = F.col(weight) > num_rows * HOT_SHARE
+    hot = dim.where(is_hot).select(F.col(on).alias("_hot_on"), F.col(key).alias("_hot_key"))
+    rest = dim.where(~is_hot).select(
         F.col(on).alias("_rest_on"), F.col(key).alias("_rest_key")
     )
     salt = F.concat(

@@ -123,32 +123,36 @@ def customer_scores(sales: DataFrame) -> DataFrame:
         ),
         "customer-measures",
     )
-    newest = measures.agg(F.max("last_at")).scalar()
-    aged = measures.withColumn("recency", F.timestamp_diff("DAY", F.col("last_at"), newest))
     known = F.col("customer_id") != GUEST
-    limits = (
-        aged.where(known)
-        .agg(
-            F.struct(
-                *[
-                    F.struct(F.min(name).alias("low"), F.max(name).alias("high")).alias(name)
-                    for name in ("recency", "frequency", "monetary")
-                ]
-            )
+
+    def limit(of, name: str) -> Column:
+        return of(F.when(known, F.col(name)))
+
+    # One row of limits; the oldest last sale is the largest recency.
+    bounds = measures.agg(
+        F.struct(
+            F.max("last_at").alias("newest"),
+            limit(F.max, "last_at").alias("late"), limit(F.min, "last_at").alias("early"),
+            limit(F.min, "frequency").alias("rare"), limit(F.max, "frequency").alias("often"),
+            limit(F.min, "monetary").alias("little"), limit(F.max, "monetary").alias("much"),
         )
-        .scalar()
-    )
+    ).scalar()
 
-    def scaled(name: str) -> Column:
-        low, high = limits[name]["low"], limits[name]["high"]
-        return F.when(high > low, (F.col(name) - low) / (high - low)).otherwise(F.lit(0.5))
+    def age(since: Column) -> Column:
+        return F.timestamp_diff("DAY", since, bounds["newest"])
+
+    def scaled(value: Column, low: Column, high: Column) -> Column:
+        return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.5))
 
     score = (
-        (1 - scaled("recency")) * RECENCY_WEIGHT
-        + scaled("frequency") * FREQUENCY_WEIGHT
-        + scaled("monetary") * MONETARY_WEIGHT
+        (1 - scaled(age(F.col("last_at")), age(bounds["late"]), age(bounds["early"])))
+        * RECENCY_WEIGHT
+        + scaled(F.col("frequency"), bounds["rare"], bounds["often"]) * FREQUENCY_WEIGHT
+        + scaled(F.col("monetary"), bounds["little"], bounds["much"]) * MONETARY_WEIGHT
+    )
+    return measures.withColumns(
+        {"recency": age(F.col("last_at")), "rfm_score": F.when(known, score)}
     )
-    return aged.withColumn("rfm_score", F.when(known, score))
 
 
 def build_dim_customer(sales: DataFrame) -> DataFrame:
@@ -199,6 +203,7 @@ def fact_rows(
     A row without date or product is dropped; one without country keeps a null ``geo_key``. The
     date key is computed from the day, which needs no join.
     """
+    num_rows = sales.count()
     rows = sales.where(F.col("InvoiceDate").isNotNull() & F.col("StockCode").isNotNull()).select(
         F.col("Invoice").alias("invoice"),
         date_key(F.to_date("InvoiceDate")).alias("date_key"),
@@ -211,9 +216,9 @@ def fact_rows(
         F.col("InvoiceDate").alias("invoice_date"),
         *[c for c in ("source_file", "source_row") if c in sales.columns],
     )
-    rows = lookup_key(rows, product, "stock_code", "product_key", WEIGHT)
-    rows = lookup_key(rows, customer, "customer_id", "customer_key", WEIGHT)
-    rows = lookup_key(rows, geography, "country", "geo_key", WEIGHT)
+    rows = lookup_key(rows, product, "stock_code", "product_key", WEIGHT, num_rows)
+    rows = lookup_key(rows, customer, "customer_id", "customer_key", WEIGHT, num_rows)
+    rows = lookup_key(rows, geography, "country", "geo_key", WEIGHT, num_rows)
     return rows.where(F.col("product_key").isNotNull())
 
 

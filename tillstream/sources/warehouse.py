@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,27 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
     Do not run it on a folder that others read: load a new one and hand over its name.
     """
     spark = sales.sparkSession
-    product = star.build_dim_product(sales)
-    customer = star.build_dim_customer(sales)
-    geography = star.build_dim_geography(sales, regions)
-
-    _store(star.build_dim_date(sales), f"{path}/dim_date")
-    _store(product.select(*star.DIM_PRODUCT), f"{path}/dim_product")
-    _store(customer.select(*star.DIM_CUSTOMER), f"{path}/dim_customer")
-    _store(geography.select(*star.DIM_GEOGRAPHY), f"{path}/dim_geography")
+
+    def dimension(name: str, built: DataFrame, columns: list[str]) -> DataFrame:
+        _store(built.select(*columns), f"{path}/{name}")
+        return built
+
+    # The dimensions do not depend on each other; their jobs share the cluster.
+    with ThreadPoolExecutor(4) as pool:
+        dates = pool.submit(lambda: _store(star.build_dim_date(sales), f"{path}/dim_date"))
+        products = pool.submit(
+            lambda: dimension("dim_product", star.build_dim_product(sales), star.DIM_PRODUCT)
+        )
+        customers = pool.submit(
+            lambda: dimension("dim_customer", star.build_dim_customer(sales), star.DIM_CUSTOMER)
+        )
+        countries = pool.submit(
+            lambda: dimension(
+                "dim_geography", star.build_dim_geography(sales, regions), star.DIM_GEOGRAPHY
+            )
+        )
+        dates.result()
+        product, customer, geography = products.result(), customers.result(), countries.result()
 
     # The numbered fact arrives sorted by time, so a task writes few months.
     fact = star.build_fact_sales(sales, product, customer, geography)
