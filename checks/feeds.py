@@ -30,6 +30,7 @@ from tillstream.sources.live_store import LiveStore
 from tillstream.streaming.live import drain, write_hot_events
 
 _stored: dict[tuple[str, str, str], str] = {}
+_opened: dict[str, Star] = {}
 
 RETAIL_VIEW = """
 SELECT concat(CASE WHEN o.o_orderkey % 40 = 0 THEN 'C' ELSE '' END, CAST(o.o_orderkey AS {S})) AS invoice,
@@ -111,13 +112,16 @@ def sales(spark: SparkSession, sf_dir: str, with_row_id: bool = False) -> DataFr
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
+    """The warehouse, loaded and opened once per session."""
     path = once(
         spark, sf_dir, "warehouse",
         lambda path: warehouse.load_warehouse(
             sales(spark, sf_dir, with_row_id=True), regions(spark, sf_dir), path
         ),
     )
-    return warehouse.open_warehouse(spark, path)
+    if path not in _opened:
+        _opened[path] = warehouse.open_warehouse(spark, path)
+    return _opened[path]
 
 
 EVENT_FILES = 8

@@ -49,9 +49,16 @@ def top_k_similar(
     query_vector: str = "vector", vector_id: str = "vec_id", vector: str = "vector",
     buckets: int | None = None,
 ) -> DataFrame:
-    """(query_id, vec_id, similarity, place) of the k nearest vectors per query."""
+    """(query_id, vec_id, similarity, place) of the k nearest vectors per query.
+
+    A query pack is copied once per bucket; by default there are as many buckets as the vectors
+    fill packs, at most one per task slot.
+    """
     spark = queries.sparkSession
-    buckets = buckets or spark.sparkContext.defaultParallelism
+    if buckets is None:
+        size = vectors.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
+        packs = -(-size["n"] * (size["dim"] or 1) // _PACK_NUMBERS)
+        buckets = max(1, min(packs, spark.sparkContext.defaultParallelism))
     left = _pack(queries, query_id, query_vector, "q").withColumn(
         "bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     )

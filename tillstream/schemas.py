@@ -42,3 +42,29 @@ STATUS = (
     "id int, current_day date, total_rows long, days_streamed long, mape double, "
     "started_at timestamp"
 )
+
+# Stored warehouse tables; the two large ones are partitioned by sale_month (yyyymm).
+WAREHOUSE = {
+    "dim_date": (
+        "date_key int, full_date date, year int, quarter int, month int, month_name string, "
+        "week int, day_of_month int, day_of_week int, day_name string, is_weekend boolean"
+    ),
+    "dim_product": (
+        "product_key long, stock_code string, description string, price_band string, "
+        "unit_price double"
+    ),
+    "dim_customer": (
+        "customer_key long, customer_id string, first_seen date, last_seen date, country string, "
+        "customer_segment string"
+    ),
+    "dim_geography": "geo_key long, country string, region string",
+    "fact_sales": (
+        "sale_id long, invoice string, date_key int, product_key long, customer_key long, "
+        "geo_key long, quantity long, unit_price double, revenue double, "
+        "invoice_date timestamp_ntz, sale_month int"
+    ),
+    "agg_daily_sales": (
+        "date_key int, product_key long, total_quantity long, total_revenue double, "
+        "num_orders long, sale_month int"
+    ),
+}

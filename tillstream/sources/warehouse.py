@@ -7,20 +7,19 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillstream import schemas
 from tillstream.operators import star
 from tillstream.operators.star import Star
 
-TABLES = [
-    "dim_date", "dim_product", "dim_customer", "dim_geography", "fact_sales", "agg_daily_sales",
-]
-_BY_MONTH = {"fact_sales", "agg_daily_sales"}
-
-
 def _store(df: DataFrame, path: str, by_month: bool = False) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy("sale_month") if by_month else writer).parquet(path)
 
 
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(schemas.WAREHOUSE[name]).parquet(f"{path}/{name}")
+
+
 def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
     """Full refresh of the six tables under ``path``; returns them as stored.
 
@@ -53,7 +52,7 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
     fact = star.build_fact_sales(sales, product, customer, geography)
     _store(star.with_sale_month(fact), f"{path}/fact_sales", by_month=True)
 
-    daily = star.build_agg_daily(spark.read.parquet(f"{path}/fact_sales"))
+    daily = star.build_agg_daily(_read(spark, path, "fact_sales"))
     _store(
         star.with_sale_month(daily).repartitionByRange("date_key", "product_key"),
         f"{path}/agg_daily_sales",
@@ -63,7 +62,7 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
 
 
 def open_warehouse(spark: SparkSession, path: str) -> Star:
-    return Star(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+    return Star(**{name: _read(spark, path, name) for name in schemas.WAREHOUSE})
 
 
 def table_counts(warehouse: Star) -> DataFrame:
