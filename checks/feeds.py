@@ -13,12 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.operators.events import enrich_events
-from tillstream.operators.forecast import (
-    Forecaster,
-    fit_forecaster,
-    load_forecaster,
-    save_forecaster,
-)
+from tillstream.operators.forecast import Forecaster, load_forecaster, retrain
 from tillstream.operators.star import Star
 from tillstream.operators.text import index_documents, warehouse_documents
 from tillstream.plans import revenue
@@ -202,7 +197,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecaster(spark: SparkSession, sf_dir: str) -> Forecaster:
     path = once(
         spark, sf_dir, "forecaster",
-        lambda path: save_forecaster(fit_forecaster(daily_series(spark, sf_dir)), path),
+        lambda path: retrain(daily_series(spark, sf_dir), path),
     )
     return load_forecaster(spark, path)
 

@@ -118,6 +118,7 @@ BATCH: dict[str, Query] = {
     "q4_geo_revenue": on_star(revenue.geo_revenue),
     "q5_daily_sales_series": on_star(revenue.daily_sales_series),
     "q5_daily_sales_series_by_country": on_star(revenue.daily_series_by_country),
+    "q5_daily_sales_series_by_product": on_star(revenue.daily_series_by_product),
     "q6_reorder_signals": on_star(revenue.reorder_signals),
     "q7_cohort_retention": on_star(revenue.cohort_retention),
     "q8_revenue_by_product": on_star(revenue.revenue_by_product),

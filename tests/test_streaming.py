@@ -3,16 +3,19 @@
 import json
 import os
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import values
+from tillstream.operators.forecast import fit_forecaster
+from tillstream.plans import live as live_plans
 from tillstream.session import new_folder
 from tillstream.sources.events import distinct_events, parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
 from tillstream.streaming import live
+from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start
 from tillstream.streaming.live import drain
 
 
@@ -153,3 +156,29 @@ def test_sum_over_days_is_the_total(spark, store, tmp_path):
     hot = take_in(spark, store, feed(tmp_path / "in"))
     total = live.kpis_of(live.country_figures(hot)).first()["total_live_revenue"]
     assert live.day_totals(hot).agg(F.sum("actual_revenue")).first()[0] == total
+
+
+def test_a_forecast_for_each_day_that_opens(spark, store, tmp_path):
+    folder = feed(tmp_path / "in")
+    history = spark.createDataFrame(
+        [(date(2019, 9, 1) + timedelta(days=i), 50.0 + i % 7, 10 + i % 7, 5) for i in range(124)],
+        "ds date, y double, units long, orders long",
+    )
+    model = fit_forecaster(history.withColumn("series", F.lit(TOTAL)))
+
+    def run(files):
+        drain(forecast_on_day_start(
+            read_event_files(spark, folder, files), store, history, model, once=True))
+
+    run(2)
+    opened = [date(2020, 1, d) for d in range(2, 7)]
+    made = store.forecasts().read().orderBy("simulated_day")
+    assert [r["simulated_day"] for r in made.collect()] == opened
+    outlook = store.outlook().read()
+    assert {(r["generated_day"], r["count"]) for r in outlook.groupBy("generated_day").count().collect()} == {
+        (day, 7) for day in opened}
+    assert outlook.where("lower_ci > predicted_revenue OR upper_ci < predicted_revenue").count() == 0
+    score = live_plans.mean_error(made, store.days().read()).first()
+    assert score["days_streamed"] == 4 and score["mape"] < 50
+    run(2)  # nothing new: the stored rows stay
+    assert store.forecasts().read().exceptAll(made).isEmpty()

@@ -186,6 +186,17 @@ def daily_series_by_country(star: Star) -> DataFrame:
     )
 
 
+def daily_series_by_product(star: Star) -> DataFrame:
+    """The daily series per product, straight from the daily aggregate."""
+    return star.agg_daily_sales.join(
+        star.dim_product.select("product_key", "stock_code"), "product_key"
+    ).select(
+        F.col("stock_code").alias("series"), day_of_key(F.col("date_key")).alias("ds"),
+        F.col("total_revenue").alias("y"), F.col("total_quantity").alias("units"),
+        F.col("num_orders").alias("orders"),
+    )
+
+
 def reorder_signals(star: Star, lookback_days: int = 30, rows: int = REORDER_ROWS) -> DataFrame:
     """Products whose units fell below 70 % of the window before, worst first.
 

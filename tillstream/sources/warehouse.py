@@ -54,7 +54,9 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
 
     daily = star.build_agg_daily(_read(spark, path, "fact_sales"))
     _store(
-        star.with_sale_month(daily).repartitionByRange("date_key", "product_key"),
+        star.with_sale_month(daily)
+        .hint("rebalance", "sale_month")
+        .sortWithinPartitions("sale_month", "date_key"),
         f"{path}/agg_daily_sales",
         by_month=True,
     )

@@ -7,7 +7,7 @@ given interval.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -15,9 +15,8 @@ from tillstream.functions.columns import cents
 from tillstream.sources.events import hot_events
 from tillstream.sources.tables import KeyedTable
 
-# Batch interval, length of the recent list, rows read per batch of a topic.
+# Batch interval, length of the recent list.
 BATCH_INTERVAL = "500 milliseconds"
-BATCH_ROWS = 1000
 RECENT_ROWS = 50
 
 KPI_SCHEMA = (
