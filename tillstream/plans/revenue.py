@@ -220,14 +220,14 @@ def reorder_signals(star: Star, lookback_days: int = 30, rows: int = REORDER_ROW
         F.sum(F.when(recent, F.col("total_quantity"))).alias("recent_units"),
         F.sum(F.when(~recent, F.col("total_quantity"))).alias("prior_units"),
     )
-    falling = units.where(F.col("recent_units") < F.col("prior_units") * REORDER_BELOW)
-    return (
-        falling.withColumn(
-            "unit_change_pct", growth_pct(F.col("recent_units"), F.col("prior_units"))
-        )
+    worst = (
+        units.where(F.col("recent_units") < F.col("prior_units") * REORDER_BELOW)
+        .withColumn("unit_change_pct", growth_pct(F.col("recent_units"), F.col("prior_units")))
         .orderBy("unit_change_pct", "product_key")
         .limit(rows)
-        .join(star.dim_product, "product_key")
+    )
+    return (
+        star.dim_product.join(F.broadcast(worst), "product_key")
         .select(
             "stock_code", "description", "recent_units", "prior_units", "unit_change_pct",
             F.lit("REORDER").alias("signal"),

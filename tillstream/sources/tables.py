@@ -2,8 +2,8 @@
 
 A table is a folder of complete versions and a log that names the valid one. Nothing that a reader
 may hold is overwritten: a version is written to a folder of its own, and one appended log record
-makes it current. A writer that names itself and its batch is repeatable: the log tells whether
-the batch was already applied.
+makes it current. A stream names its checkpoint as writer, and its batch: the log then tells whether
+a repeated batch was already applied. A table has one writer at a time.
 """
 
 from __future__ import annotations

@@ -83,7 +83,7 @@ def running_kpis(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     finds the same state and replaces the row by the same one."""
 
     def store(figures: DataFrame, batch: int) -> None:
-        table.replace(kpis_of(figures), "running_kpis", batch)
+        table.replace(kpis_of(figures), checkpoint, batch)
 
     writer = country_figures(events).writeStream.outputMode("complete").foreachBatch(store)
     return start(writer, checkpoint, once)
@@ -96,7 +96,7 @@ def day_progress(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     )
 
     def store(row: DataFrame, batch: int) -> None:
-        table.replace(row, "day_progress", batch)
+        table.replace(row, checkpoint, batch)
 
     return start(totals.writeStream.outputMode("complete").foreachBatch(store), checkpoint, once)
 
@@ -116,7 +116,7 @@ def recent_ring(
     """Keep the newest ``n`` sales: the n of the batch and the n kept so far compete."""
 
     def store(batch_rows: DataFrame, batch: int) -> None:
-        table.replace(newest(newest(batch_rows, n).unionByName(table.read()), n), "recent_ring", batch)
+        table.replace(newest(newest(batch_rows, n).unionByName(table.read()), n), checkpoint, batch)
 
     return start(events.writeStream.foreachBatch(store), checkpoint, once)
 
