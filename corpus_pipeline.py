@@ -6,24 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillstream.llm import toxicity as toxic
 from tillstream.llm.common import table
 from tillstream.llm.decontamination import drop_contaminated
 from tillstream.llm.exact_dedup import drop_exact_duplicates
+from tillstream.llm.simhash import drop_near_duplicates
 from tillstream.session import new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxic.drop_toxic(docs, toxic.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
 ]
 

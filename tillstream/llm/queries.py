@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm.common import table
+from tillstream.llm import toxicity
+from tillstream.llm.common import share_of, table
 from tillstream.llm.decontamination import benchmark_hits
 from tillstream.llm.exact_dedup import exact_duplicates
+from tillstream.llm.sharding import LAW, stratified_shards
+from tillstream.llm.simhash import near_duplicates
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,31 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _graded(scores: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
+    """Scores with the held-out flag (false for a null id) and the prediction."""
+    return scores.withColumns(
+        {
+            "held_out": F.coalesce(share_of(F.col("doc_id"), parts) == held_out, F.lit(False)),
+            "predicted": (F.col("score") >= threshold).cast("int"),
+        }
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    graded = _graded(
+        toxicity.toxicity_scores(docs, model), toxicity.PARTS, toxicity.HELD_OUT, toxicity.THRESHOLD
+    )
+    return graded.select("doc_id", "held_out", "score", "predicted", "start", "end", "sentence_score")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -26,9 +54,19 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE = {
