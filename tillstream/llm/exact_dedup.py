@@ -48,9 +48,14 @@ def proposed_heavy(rows: DataFrame) -> DataFrame:
     per_task = rows.select(
         F.xxhash64("digest").alias("item"), (F.spark_partition_id() % MERGERS).alias("merger")
     ).groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("sketch"))
-    sketch = per_task.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # Merged under a key, the same for all: without one, a task without rows hands on a sketch of no
+    # type, which Spark cannot merge.
+    one = F.floor(F.col("merger") / MERGERS)
+    sketch = per_task.groupBy(one.alias("one")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch")
+    )
     top = F.expr(f"approx_top_k_estimate(sketch, {HEAVY_SHARE})")
-    return sketch.where(F.col("sketch").isNotNull()).select(F.explode(top).alias("top")).select("top.item")
+    return sketch.select(F.explode(top).alias("top")).select("top.item")
 
 
 def _order() -> Column:
