@@ -10,6 +10,7 @@ from tillstream.llm import toxicity as toxic
 from tillstream.llm.common import table
 from tillstream.llm.decontamination import drop_contaminated
 from tillstream.llm.exact_dedup import drop_exact_duplicates
+from tillstream.llm.queries import digests_of_tokens, word_vocabulary
 from tillstream.llm.simhash import drop_near_duplicates
 from tillstream.session import new_folder
 
@@ -32,11 +33,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return digests_of_tokens(docs, word_vocabulary())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
 # The first stage is a trained model, which SQL cannot state; tests compare with a plain version.

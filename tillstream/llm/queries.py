@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import toxicity
+from tillstream.llm import bpe, language, quality, toxicity
 from tillstream.llm.common import share_of, table
 from tillstream.llm.decontamination import benchmark_hits
 from tillstream.llm.exact_dedup import exact_duplicates
@@ -13,6 +13,32 @@ from tillstream.llm.sharding import LAW, stratified_shards
 from tillstream.llm.simhash import near_duplicates
 
 
+def word_vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def digests_of_tokens(docs: DataFrame, vocabulary: bpe.Vocabulary) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
+    return bpe.encode_decode(docs, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_of_tokens(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    graded = _graded(scores, quality.PARTS, quality.HELD_OUT, quality.THRESHOLD)
+    return graded.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -38,6 +64,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "held_out", "score", "predicted", "start", "end", "sentence_score")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.languages(docs, language.trained(docs))
+    held_out = share_of(F.col("doc_id"), language.PARTS) == language.HELD_OUT
+    return found.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
@@ -62,8 +97,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
