@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import bpe, language, quality, toxicity
+from tillstream.llm import bpe, language, quality, revisits, token_counts, toxicity
 from tillstream.llm.common import share_of, table
 from tillstream.llm.decontamination import benchmark_hits
 from tillstream.llm.exact_dedup import exact_duplicates
@@ -33,6 +33,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_of_tokens(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = token_counts.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counts = token_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.PATTERN, ranks)
+    return counts.select(
+        "doc_id", "n_tokens", "n_pieces", "n_edits",
+        F.col("after.n_tokens").alias("n_tokens_after"), F.col("after.n_encoded").alias("n_encoded"),
+        F.sha2("after.text", 256).alias("text_sha256"),
+    )
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.capture_records(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return found.select(
+        "record_id", "url_key", "response_id", "outcome", F.array_join(lines, "\n").alias("headers")
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     graded = _graded(scores, quality.PARTS, quality.HELD_OUT, quality.THRESHOLD)
@@ -98,6 +118,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_token_counts": op2_token_counts,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
@@ -108,6 +130,43 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_warc_revisits": r"""
+        WITH urls AS (
+            SELECT page_id, html,
+                   regexp_replace(lower(regexp_extract(url, '^(?i:https?)://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g') AS host,
+                   regexp_replace(regexp_extract(url, '^(?i:https?)://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+                   list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+                               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)')) AS params
+            FROM pages
+        ), captures AS (
+            SELECT page_id, '"' || left(md5(html), 16) || '"' AS tag, 'day-' || (page_id // 100) AS day, strlen(html) AS bytes,
+                   page_id * 60 AS sent, page_id * 60 + 30 + 3600 * (page_id % 48) AS asked,
+                   CASE WHEN host <> '' THEN host || path || CASE WHEN len(params) > 0
+                        THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END AS url_key
+            FROM urls
+        ), revisits AS (
+            SELECT *, CASE WHEN page_id % 7 = 3 THEN '"stale"' WHEN page_id % 7 < 5 THEN tag END AS fresh_tag,
+                   CASE WHEN page_id % 7 = 3 THEN '"stale"' WHEN page_id % 7 >= 5 THEN NULL
+                        WHEN page_id % 2 = 0 THEN 'W/' || tag ELSE tag END AS sent_tag
+            FROM captures
+        ), joined AS (
+            SELECT r.*, c.page_id AS found, c.tag AS old_tag, c.day AS old_day, c.bytes AS old_bytes
+            FROM revisits r ASOF LEFT JOIN (SELECT * FROM captures WHERE page_id % 11 <> 10 AND url_key IS NOT NULL) c
+            ON r.url_key = c.url_key AND r.asked > c.sent
+        ), decided AS (
+            SELECT *, CASE WHEN url_key IS NULL THEN 'no_url' WHEN found IS NULL THEN 'no_response'
+                           WHEN fresh_tag IS NOT NULL THEN CASE WHEN fresh_tag = old_tag THEN 'resolved' ELSE 'changed' END
+                           WHEN page_id % 7 = 5 THEN CASE WHEN day = old_day THEN 'resolved' ELSE 'changed' END
+                           ELSE 'unvalidated' END AS outcome
+            FROM joined
+        )
+        SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN outcome = 'resolved' THEN found * 2 END AS response_id, outcome,
+               CASE WHEN outcome = 'resolved' THEN
+                    'Content-Length: ' || old_bytes || chr(10) || 'Content-Type: text/html' || chr(10) || 'Date: ' || asked
+                    || chr(10) || 'ETag: ' || coalesce(sent_tag, old_tag) || chr(10) || 'Expires: ' || (asked + 600)
+                    || chr(10) || 'Last-Modified: ' || old_day END AS headers
+        FROM decided
+    """,
     "op5_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
