@@ -167,11 +167,14 @@ def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LanguageModel
 
 def predictor(spark: SparkSession, model: LanguageModel, text: str = "text"):
     """Column (lang_pred, score) of a text; the broadcast is the network, under 1 MB."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(
+        (model.languages, model.tables, model.bias, model.dense, model.dense_bias)
+    )
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def of(texts: pa.Array) -> pa.Array:
-        found = [shared.value.predict(t) for t in texts.to_pylist()]
+        network = LanguageModel(*shared.value)
+        found = [network.predict(t) for t in texts.to_pylist()]
         return pa.array([{"lang_pred": a, "score": b} for a, b in found], kind)
 
     return F.arrow_udf(of, "lang_pred string, score double")(text)

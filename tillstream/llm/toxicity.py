@@ -210,12 +210,12 @@ def scorer(spark: SparkSession, model: ToxicityModel, text: str = "text") -> Col
 
     The place is null below the threshold. The broadcast has at most ``MOST_FEATURES`` weights.
     """
-    shared = spark.sparkContext.broadcast({"model": model})
+    shared = spark.sparkContext.broadcast({"weights": model.weights, "bias": model.bias})
 
     def one(value: str | None) -> dict:
         kept = shared.value  # stays in the worker
         if "known" not in kept:
-            kept["known"] = WordScores(kept["model"])
+            kept["known"] = WordScores(ToxicityModel(kept["weights"], kept["bias"]))
         score, each = score_text(value, kept["known"])
         found = {"score": score, "start": None, "end": None, "sentence_score": None}
         if score >= THRESHOLD:
