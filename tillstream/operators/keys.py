@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillstream.session import new_folder
+from tillstream.session import scratch_folder
 
 # monotonically_increasing_id() keeps the partition number above this many bits of row position.
 _POSITION_BITS = 33
@@ -14,7 +14,7 @@ _POSITION_BITS = 33
 def place_rows(df: DataFrame, order_by: list[str], label: str) -> DataFrame:
     """Sort over all tasks and store every row with its partition and its row in the partition."""
     spark = df.sparkSession
-    path = new_folder(spark, f"placed-{label}")
+    path = scratch_folder(spark, f"placed-{label}")
     df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.schema(f"{df.schema.toDDL()}, _place bigint").parquet(path).withColumns(
         {

@@ -195,15 +195,12 @@ def build_dim_geography(sales: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def fact_rows(
-    sales: DataFrame, product: DataFrame, customer: DataFrame, geography: DataFrame
-) -> DataFrame:
-    """Sales with their dimension keys, not yet numbered.
+def numbered_sales(sales: DataFrame) -> DataFrame:
+    """The sales that enter the fact, with ``sale_id``. A row without date or product is dropped.
 
-    A row without date or product is dropped; one without country keeps a null ``geo_key``. The
-    date key is computed from the day, which needs no join.
+    Dimension keys rise with the values they stand for, guests last, so ordering by these values
+    numbers the rows as ordering by the keys would, before any join is made.
     """
-    num_rows = sales.count()
     rows = sales.where(F.col("InvoiceDate").isNotNull() & F.col("StockCode").isNotNull()).select(
         F.col("Invoice").alias("invoice"),
         date_key(F.to_date("InvoiceDate")).alias("date_key"),
@@ -215,26 +212,28 @@ def fact_rows(
         F.col("Revenue").alias("revenue"),
         F.col("InvoiceDate").alias("invoice_date"),
         *[c for c in ("source_file", "source_row") if c in sales.columns],
-    )
-    rows = lookup_key(rows, product, "stock_code", "product_key", WEIGHT, num_rows)
-    rows = lookup_key(rows, customer, "customer_id", "customer_key", WEIGHT, num_rows)
-    rows = lookup_key(rows, geography, "country", "geo_key", WEIGHT, num_rows)
-    return rows.where(F.col("product_key").isNotNull())
+    ).withColumn("is_guest", F.col("customer_id") == GUEST)
+    order = [
+        "invoice_date", "invoice", "stock_code", "is_guest", "customer_id", "country", "quantity", "unit_price",
+    ]
+    order += [c for c in ("source_file", "source_row") if c in sales.columns]
+    return dense_key(rows, order, "sale_id").drop("is_guest", "source_file", "source_row")
 
 
 def build_fact_sales(
     sales: DataFrame, product: DataFrame, customer: DataFrame, geography: DataFrame
 ) -> DataFrame:
-    """The numbered fact. ``sales`` comes from ``read_lake(..., with_row_id=True)``."""
-    numbered = dense_key(
-        fact_rows(sales, product, customer, geography),
-        [
-            "invoice_date", "invoice", "product_key", "customer_key", "geo_key", "quantity",
-            "unit_price", "source_file", "source_row",
-        ],
-        "sale_id",
-    )
-    return numbered.select(*FACT_SALES)
+    """The numbered fact. ``sales`` comes from ``read_lake(..., with_row_id=True)``.
+
+    Rows are numbered first and then get their dimension keys; one without country keeps a null
+    ``geo_key``. The date key is computed from the day, which needs no join.
+    """
+    rows = numbered_sales(sales)
+    num_rows = rows.agg(F.max("sale_id")).first()[0] or 0  # rows are numbered without a gap
+    rows = lookup_key(rows, product, "stock_code", "product_key", WEIGHT, num_rows)
+    rows = lookup_key(rows, customer, "customer_id", "customer_key", WEIGHT, num_rows)
+    rows = lookup_key(rows, geography, "country", "geo_key", WEIGHT, num_rows)
+    return rows.select(*FACT_SALES)
 
 
 def build_agg_daily(fact: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +51,45 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tillstream/{label}-{uuid.uuid4().hex}"
 
 
+# Scratch folders of the jobs that run inside ``scratch_freed``, and how many such blocks are open.
+_scratch: list[str] = []
+_open_blocks = 0
+_lock = Lock()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for data that is needed until the job's result is stored."""
+    path = new_folder(spark, label)
+    with _lock:
+        if _open_blocks:
+            _scratch.append(path)
+    return path
+
+
+@contextmanager
+def scratch_freed(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch folders of a job that stores its result inside this block.
+
+    With several blocks open at a time, the last to close deletes those of all.
+    """
+    global _open_blocks
+    with _lock:
+        _open_blocks += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _open_blocks -= 1
+            done = _scratch[:] if not _open_blocks else []
+            if done:
+                _scratch.clear()
+        for path in done:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Store ``df`` once in the shared folder and read it back; cuts the lineage."""
-    path = new_folder(df.sparkSession, label)
+    path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tillstream import schemas
 from tillstream.operators import star
 from tillstream.operators.star import Star
+from tillstream.session import scratch_freed
+
 
 def _store(df: DataFrame, path: str, by_month: bool = False) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
@@ -23,8 +25,15 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
 def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
     """Full refresh of the six tables under ``path``; returns them as stored.
 
-    Do not run it on a folder that others read: load a new one and hand over its name.
+    Do not run it on a folder that others read: load a new one and hand over its name. Scratch data
+    is deleted once the tables are stored.
     """
+    with scratch_freed(sales.sparkSession):
+        _load(sales, regions, path)
+    return open_warehouse(sales.sparkSession, path)
+
+
+def _load(sales: DataFrame, regions: DataFrame, path: str) -> None:
     spark = sales.sparkSession
 
     def dimension(name: str, built: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,9 +57,12 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
         dates.result()
         product, customer, geography = products.result(), customers.result(), countries.result()
 
-    # The numbered fact arrives sorted by time, so a task writes few months.
     fact = star.build_fact_sales(sales, product, customer, geography)
-    _store(star.with_sale_month(fact), f"{path}/fact_sales", by_month=True)
+    _store(
+        star.with_sale_month(fact).hint("rebalance", "sale_month").sortWithinPartitions("sale_month", "sale_id"),
+        f"{path}/fact_sales",
+        by_month=True,
+    )
 
     daily = star.build_agg_daily(_read(spark, path, "fact_sales"))
     _store(
@@ -60,7 +72,6 @@ def load_warehouse(sales: DataFrame, regions: DataFrame, path: str) -> Star:
         f"{path}/agg_daily_sales",
         by_month=True,
     )
-    return open_warehouse(spark, path)
 
 
 def open_warehouse(spark: SparkSession, path: str) -> Star:
