@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tillstream.operators.keys import dense_key
 
-# Fixed value: live descriptions are cut at this length.
-DESCRIPTION_CHARS = 120
-
 _ORDER = [
     "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price", "CustomerID", "Country",
     "Description", "source_file", "source_row",
@@ -45,7 +42,7 @@ def enrich_events(sales: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(days), "simulated_day").select(
         F.col("Invoice").alias("invoice"),
         F.col("StockCode").alias("stock_code"),
-        F.substring("Description", 1, DESCRIPTION_CHARS).alias("description"),
+        F.col("Description").alias("description"),
         F.col("Quantity").alias("quantity"),
         F.col("Price").alias("price"),
         F.col("Revenue").alias("revenue"),

@@ -173,6 +173,14 @@ def daily_sales_series(star: Star, stock_code: str | None = None) -> DataFrame:
     )
 
 
+def daily_totals(star: Star) -> DataFrame:
+    """Revenue, units and distinct invoices per day with sales: what a live day holds too."""
+    daily = star.fact_sales.groupBy("date_key").agg(
+        _revenue().alias("y"), F.sum("quantity").alias("units"), F.count_distinct("invoice").alias("orders")
+    )
+    return daily.select(day_of_key(F.col("date_key")).alias("ds"), "y", "units", "orders")
+
+
 def daily_series_by_country(star: Star) -> DataFrame:
     """The daily series per country, each one a forecast input. Orders are distinct invoices."""
     daily = star.fact_sales.groupBy("geo_key", "date_key").agg(
@@ -197,8 +205,8 @@ def daily_series_by_product(star: Star) -> DataFrame:
     )
 
 
-def reorder_signals(star: Star, lookback_days: int = 30, rows: int = REORDER_ROWS) -> DataFrame:
-    """Products whose units fell below 70 % of the window before, worst first.
+def reorder_signals(star: Star, lookback_days: int = 30, rows: int | None = REORDER_ROWS) -> DataFrame:
+    """Products whose units fell below 70 % of the window before, worst first; None gives all.
 
     Recent is the last ``lookback_days`` + 1 days of the calendar dimension, prior the
     ``lookback_days`` before. One conditional aggregation covers both windows. The bounds are
@@ -220,14 +228,13 @@ def reorder_signals(star: Star, lookback_days: int = 30, rows: int = REORDER_ROW
         F.sum(F.when(recent, F.col("total_quantity"))).alias("recent_units"),
         F.sum(F.when(~recent, F.col("total_quantity"))).alias("prior_units"),
     )
-    worst = (
-        units.where(F.col("recent_units") < F.col("prior_units") * REORDER_BELOW)
-        .withColumn("unit_change_pct", growth_pct(F.col("recent_units"), F.col("prior_units")))
-        .orderBy("unit_change_pct", "product_key")
-        .limit(rows)
+    fallen = units.where(F.col("recent_units") < F.col("prior_units") * REORDER_BELOW).withColumn(
+        "unit_change_pct", growth_pct(F.col("recent_units"), F.col("prior_units"))
     )
+    if rows is not None:
+        fallen = F.broadcast(fallen.orderBy("unit_change_pct", "product_key").limit(rows))
     return (
-        star.dim_product.join(F.broadcast(worst), "product_key")
+        star.dim_product.join(fallen, "product_key")
         .select(
             "stock_code", "description", "recent_units", "prior_units", "unit_change_pct",
             F.lit("REORDER").alias("signal"),
@@ -289,14 +296,15 @@ def revenue_by_month(star: Star) -> DataFrame:
     )
 
 
-def revenue_by_country(star: Star, n: int = TOP_COUNTRIES) -> DataFrame:
+def revenue_by_country(star: Star, n: int | None = TOP_COUNTRIES) -> DataFrame:
+    """The best countries; None gives all."""
     countries = star.fact_sales.groupBy("geo_key").agg(_revenue().alias("revenue"))
-    return (
+    ranked = (
         countries.join(star.dim_geography, "geo_key")
         .select("country", "revenue")
         .orderBy(F.desc("revenue"), "country")
-        .limit(n)
     )
+    return ranked if n is None else ranked.limit(n)
 
 
 def revenue_by_segment(star: Star) -> DataFrame:

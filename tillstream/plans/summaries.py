@@ -23,7 +23,7 @@ def intent_result(star: Star, intent: str) -> DataFrame:
         "top_products": revenue.top_products,
         "geo_revenue": revenue.geo_revenue,
         "daily_series": revenue.daily_sales_series,
-        "reorder_signals": revenue.reorder_signals,
+        "reorder_signals": lambda s: revenue.reorder_signals(s, rows=None),  # the headline counts all
         "rfm_summary": revenue.customer_rfm_summary,
         "cohort_retention": revenue.cohort_retention,
     }[intent](star)

@@ -9,8 +9,26 @@ from tillstream import schemas
 from tillstream.functions.columns import customer_or_guest
 
 
+def message_counts(messages: DataFrame) -> DataFrame:
+    """One row: messages, events, and the messages that ``parse_events`` drops, by what they lack;
+    ``no_time`` counts events that are kept without a time."""
+    event = F.from_json(F.col("value").cast("string"), schemas.LIVE_EVENT)
+    parsed = messages.select(F.col("value").cast("string").alias("value"), event.alias("e"))
+    # A message that is no JSON object gives an event whose fields are all null.
+    is_json = F.coalesce(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{"), F.lit(False))
+    day = F.to_date("e.simulated_day")
+    return parsed.agg(
+        F.count("*").alias("messages"),
+        F.count_if(day.isNotNull()).alias("events"),
+        F.count_if(~is_json).alias("no_json"),
+        F.count_if(is_json & day.isNull()).alias("no_day"),
+        F.count_if(day.isNotNull() & F.try_to_timestamp("e.invoice_date").isNull()).alias("no_time"),
+    )
+
+
 def parse_events(messages: DataFrame) -> DataFrame:
-    """JSON messages (column ``value``) to typed events; a message that is no JSON is dropped.
+    """JSON messages (column ``value``) to typed events; a message that is no JSON or has no day is
+    dropped, and ``message_counts`` tells how many.
 
     The event time is a ``timestamp``, as a watermark needs, read in the session's time zone.
     """

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillstream import schemas
 from tillstream.sources.events import read_hot
-from tillstream.sources.tables import KeyedTable
+from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
 from tillstream.streaming.live import DAY_SCHEMA, KPI_SCHEMA, PROGRESS_SCHEMA, RECENT_SCHEMA
 
 
@@ -15,7 +19,7 @@ class LiveStore:
     """The live tables of the current generation under ``root``.
 
     A reset starts a new, empty generation with new checkpoints, so the feed is read from its
-    beginning again. Files that running readers hold stay where they are.
+    beginning again, and deletes the tables and checkpoints of older ones.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -41,14 +45,51 @@ class LiveStore:
     def checkpoint(self, job: str) -> str:
         return self._path(f"checkpoints/{job}")
 
-    def hot(self) -> DataFrame:
+    def _streamed(self) -> DataFrame:
         try:
             return read_hot(self.spark, self.hot_path)
         except AnalysisException:
             return self.spark.createDataFrame([], schemas.HOT_EVENT)
 
+    def _compactions(self) -> KeyedTable:
+        return KeyedTable(self.spark, self._path("compactions"), "part string, until timestamp", ["part"])
+
+    def hot(self) -> DataFrame:
+        """All events: the compacted ones, and what the stream stored since."""
+        done = self._compactions().read().orderBy("until").collect()  # a row per compaction
+        if not done:
+            return self._streamed()
+        schema = self.spark.createDataFrame([], schemas.HOT_EVENT).schema
+        folders = [f"{self._path('compacted')}/{row['part']}" for row in done]
+        compacted = [self.spark.read.schema(schema).parquet(folder) for folder in folders]
+        since = F.col("ingested_at") > F.lit(done[-1]["until"])
+        return reduce(DataFrame.unionByName, [*compacted, self._streamed().where(since)])
+
+    def compact(self) -> None:
+        """Store what the stream wrote since the last compaction in few files, sorted by day and time.
+
+        Batches arrive whole, one arrival time each, so no batch is split. A compaction counts once its
+        record is written; what a failed one left is never read.
+        """
+        done = self._compactions().read().agg(F.max("until").alias("until")).first()["until"]
+        fresh = self._streamed()
+        if done is not None:
+            fresh = fresh.where(F.col("ingested_at") > F.lit(done))
+        until = fresh.agg(F.max("ingested_at")).first()[0]
+        if until is None:
+            return
+        run = f"part-{uuid.uuid4().hex}"
+        (
+            fresh.where(F.col("ingested_at") <= F.lit(until))
+            .hint("rebalance", "sale_month")
+            .sortWithinPartitions("sale_month", "simulated_day", "invoice_date", "invoice")
+            .write.partitionBy("sale_month").parquet(f"{self._path('compacted')}/{run}")
+        )
+        record = self.spark.createDataFrame([(run, until)], "part string, until timestamp")
+        self._compactions().write(record)
+
     def forecasts(self) -> KeyedTable:
-        return KeyedTable(self.spark, self._path("forecasts"), schemas.FORECAST, ["simulated_day"])
+        return KeyedTable(self.spark, self._path("forecasts"), schemas.FORECAST, ["simulated_day"], ["generated_at"])
 
     def outlook(self) -> KeyedTable:
         return KeyedTable(
@@ -70,8 +111,21 @@ class LiveStore:
     def progress(self) -> KeyedTable:
         return KeyedTable(self.spark, self._path("progress"), PROGRESS_SCHEMA)
 
-    def reset(self) -> None:
+    def reset(self, purge: bool = True) -> None:
+        """Stop the live jobs first: what still runs in an older generation loses its folders."""
         following = self.generation + 1
-        self._generations.replace(
-            self.spark.range(1).selectExpr("1 AS id", f"{following} AS generation")
-        )
+        self._generations.write(self.spark.range(1).selectExpr("1 AS id", f"{following} AS generation"))
+        self._generations.compact()
+        if purge:
+            for name in folder_names(self.spark, self.root):
+                if name.startswith("generation-") and name != f"generation-{following}":
+                    delete_folder(self.spark, f"{self.root}/{name}")
+
+    def files(self) -> int:
+        """Files that the tables and checkpoints of all generations hold."""
+        spark, total = self.spark, 0
+        for name in folder_names(spark, self.root):
+            if name.startswith("generation-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+                total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getFileCount()
+        return total

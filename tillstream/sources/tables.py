@@ -1,78 +1,99 @@
 """Small keyed tables on plain Parquet, and JSON report files.
 
-A table is a folder of complete versions and a log that names the valid one. Nothing that a reader
-may hold is overwritten: a version is written to a folder of its own, and one appended log record
-makes it current. A stream names its checkpoint as writer, and its batch: the log then tells whether
-a repeated batch was already applied. A table has one writer at a time.
+A write goes to a folder of its own, named by its run and batch: a stream's run is the id of its
+checkpoint, so a repeated batch replaces itself and a new checkpoint never meets an old one's
+batches. Nothing is listed or read to write. A reader takes the newest row of each key, or of a
+table without keys the rows of the newest write. ``compact`` leaves one folder, ``purge`` none.
+A table has one writer at a time; who reads while ``compact`` or ``purge`` deletes has to read again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOG = "version long, folder string, writer string, batch long"
+# What a write adds to its rows. Each write has one marker row, so that an empty one is seen too.
+_ADDED = "written timestamp, marker boolean, run string, batch long"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a path; none where it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def stream_run(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint: the same after a restart, new in a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str] = ()):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, list(keys)
+    """``newest_by`` orders rows of one key within one write; the other columns break ties."""
 
-    def _log(self) -> DataFrame | None:
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str, keys: Sequence[str] = (), newest_by: Sequence[str] = ()
+    ):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.keys, self.newest_by = list(keys), list(newest_by)
+
+    def _stored(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(_LOG).json(f"{self.path}/log")
+            return self.spark.read.schema(f"{self.schema}, {_ADDED}").parquet(self.path)
         except AnalysisException:
             return None
 
-    def _current(self) -> tuple[int, str | None]:
-        """Number and folder of the valid version; one aggregated row comes to the driver."""
-        log = self._log()
-        if log is None:
-            return 0, None
-        last = log.agg(
-            F.max("version").alias("version"), F.max_by("folder", "version").alias("folder")
-        ).first()
-        return last["version"] or 0, last["folder"]
-
-    def _applied(self, writer: str | None, batch: int | None) -> bool:
-        log = self._log()
-        if log is None or writer is None or batch is None:
-            return False
-        return not log.where((F.col("writer") == writer) & (F.col("batch") >= batch)).isEmpty()
-
-    def read(self) -> DataFrame:
-        _, folder = self._current()
-        if folder is None:
+    def read(self, before: tuple[str, int] | None = None) -> DataFrame:
+        """The current rows; with ``before`` those that a batch of a run found when it came first."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        stored = self._stored()
+        if stored is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
-
-    def replace(self, rows: DataFrame, writer: str | None = None, batch: int | None = None) -> None:
-        if self._applied(writer, batch):
-            return
-        version, _ = self._current()
-        folder = f"rows-{uuid.uuid4().hex}"
+        if before is not None:
+            stored = stored.where(~((F.col("run") == before[0]) & (F.col("batch") >= before[1])))
+        if not self.keys:
+            last = stored.agg(F.max(F.struct("written", "run", "batch")).alias("last")).scalar()
+            newest = F.struct("written", "run", "batch") == last
+            return stored.where(newest & ~F.col("marker")).select(*columns)
+        order = ["written", "run", "batch", *self.newest_by]
+        order += [c for c in columns if c not in [*self.keys, *order]]
+        place = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in order]))
+        rows = stored.where(~F.col("marker")).withColumn("place", place)
+        return rows.where(F.col("place") == 1).select(*columns)
+
+    def write(self, rows: DataFrame, run: str | None = None, batch: int = 0) -> None:
+        """Add a write: its rows replace those of their keys, or without keys all rows."""
         wanted = self.spark.createDataFrame([], self.schema).schema
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(
-            f"{self.path}/{folder}"
+        marker = self.spark.range(1).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], F.lit(True).alias("marker")
+        )
+        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+        (
+            typed.withColumn("marker", F.lit(False)).unionByName(marker)
+            .withColumn("written", F.current_timestamp())
+            .write.mode("overwrite").parquet(f"{self.path}/run={run or uuid.uuid4().hex}/batch={batch}")
         )
-        record = self.spark.createDataFrame([(version + 1, folder, writer, batch)], _LOG)
-        record.coalesce(1).write.mode("append").json(f"{self.path}/log")
-
-    def upsert(self, rows: DataFrame, writer: str | None = None, batch: int | None = None) -> None:
-        """Insert or replace by key. ``rows`` has at most one row per key."""
-        if self._applied(writer, batch):
-            return
-        old = self.read().join(rows.select(*self.keys), self.keys, "left_anti")
-        columns = old.columns
-        self.replace(old.select(*columns).unionByName(rows.select(*columns)), writer, batch)
-
-    def clear(self) -> None:
-        """Empty the table, schema kept."""
-        self.replace(self.spark.createDataFrame([], self.schema))
+
+    def compact(self) -> None:
+        """Store the current rows as one write and delete the others."""
+        old = folder_names(self.spark, self.path)
+        self.write(self.read())
+        for name in old:
+            delete_folder(self.spark, f"{self.path}/{name}")
+
+    def purge(self) -> None:
+        """Delete all rows and give their space back."""
+        delete_folder(self.spark, self.path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

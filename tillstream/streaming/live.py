@@ -7,16 +7,17 @@ given interval.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillstream.functions.columns import cents
 from tillstream.sources.events import hot_events
-from tillstream.sources.tables import KeyedTable
+from tillstream.sources.tables import KeyedTable, stream_run
 
-# Batch interval, length of the recent list.
-BATCH_INTERVAL = "500 milliseconds"
+# Time between batches: each writes files to every month it touches, so batches are not too small.
+BATCH_INTERVAL = "1 minute"
+# Fixed value: length of the recent list.
 RECENT_ROWS = 50
 
 KPI_SCHEMA = (
@@ -25,7 +26,7 @@ KPI_SCHEMA = (
 )
 RECENT_SCHEMA = (
     "invoice string, stock_code string, description string, revenue double, country string, "
-    "invoice_date timestamp, simulated_day date, row_in_day long"
+    "invoice_date timestamp, simulated_day date, row_in_day long, batch_no long"
 )
 PROGRESS_SCHEMA = "current_day date, total_rows long"
 DAY_SCHEMA = "simulated_day date, actual_revenue double, units long, num_events long, orders long"
@@ -83,7 +84,7 @@ def running_kpis(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     finds the same state and replaces the row by the same one."""
 
     def store(figures: DataFrame, batch: int) -> None:
-        table.replace(kpis_of(figures), checkpoint, batch)
+        table.write(kpis_of(figures), stream_run(figures.sparkSession, checkpoint), batch)
 
     writer = country_figures(events).writeStream.outputMode("complete").foreachBatch(store)
     return start(writer, checkpoint, once)
@@ -96,16 +97,17 @@ def day_progress(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     )
 
     def store(row: DataFrame, batch: int) -> None:
-        table.replace(row, checkpoint, batch)
+        table.write(row, stream_run(row.sparkSession, checkpoint), batch)
 
     return start(totals.writeStream.outputMode("complete").foreachBatch(store), checkpoint, once)
 
 
 def newest(events: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
+    """The last to arrive, and within a batch the last by day and place in the day."""
     columns = [c.split()[0] for c in RECENT_SCHEMA.split(", ")]
     return (
         events.select(*columns)
-        .orderBy(F.desc("simulated_day"), F.desc("row_in_day"))
+        .orderBy(F.desc("batch_no"), F.desc("simulated_day"), F.desc("row_in_day"))
         .limit(n)
     )
 
@@ -113,10 +115,12 @@ def newest(events: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
 def recent_ring(
     events: DataFrame, table: KeyedTable, checkpoint: str, n: int = RECENT_ROWS, once: bool = False
 ) -> StreamingQuery:
-    """Keep the newest ``n`` sales: the n of the batch and the n kept so far compete."""
+    """Keep the newest ``n`` sales: the n of the batch and the n kept before it compete."""
 
-    def store(batch_rows: DataFrame, batch: int) -> None:
-        table.replace(newest(newest(batch_rows, n).unionByName(table.read()), n), checkpoint, batch)
+    def store(rows: DataFrame, batch: int) -> None:
+        run = stream_run(rows.sparkSession, checkpoint)
+        arrived = newest(rows.withColumn("batch_no", F.lit(batch).cast("long")), n)
+        table.write(newest(arrived.unionByName(table.read(before=(run, batch))), n), run, batch)
 
     return start(events.writeStream.foreachBatch(store), checkpoint, once)
 
@@ -137,29 +141,37 @@ def throughput(
     return start(counts.writeStream.format("parquet").option("path", path), checkpoint, once)
 
 
-def _day_totals(events: DataFrame, day, orders) -> DataFrame:
-    return events.groupBy(day).agg(
-        (F.sum(cents(F.col("revenue"))) / 100.0).alias("actual_revenue"),
-        F.sum(F.col("quantity").cast("long")).alias("units"),
-        F.count("*").alias("num_events"),
-        orders.alias("orders"),
-    )
+def _in_utc(events: DataFrame) -> None:
+    """Windows of a day are cut at midnight UTC, dates in the session's zone: both must agree."""
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"days are closed in UTC; the session's time zone is {zone}")
 
 
 def closing_days(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Stream of day totals, each emitted when the watermark leaves the day.
 
-    An event that comes later than ``delay`` behind the newest one, after its day closed, changes
-    no total; the hot table has it. ``orders`` is an estimate, since a stream cannot count distinct
-    invoices exactly.
+    The first aggregation keeps a row per invoice of the open days, the second counts these rows, so
+    ``orders`` is exact. An event whose time does not parse counts at the start of its day. One that
+    comes after its day closed changes no total here; ``correct_days`` brings it in.
     """
-    day = F.window("invoice_date", "1 day").alias("w")
-    totals = _day_totals(
-        events.withWatermark("invoice_date", delay), day, F.approx_count_distinct("invoice", 0.02)
-    )
-    return totals.select(
-        F.to_date("w.start").alias("simulated_day"), "actual_revenue", "units", "num_events", "orders"
+    _in_utc(events)
+    at = F.coalesce("invoice_date", F.col("simulated_day").cast("timestamp"))
+    invoices = (
+        events.withColumn("event_time", at).withWatermark("event_time", delay)
+        .groupBy(F.window("event_time", "1 day").alias("w"), "invoice")
+        .agg(
+            F.sum(cents(F.col("revenue"))).alias("earned"),
+            F.sum(F.col("quantity").cast("long")).alias("units"),
+            F.count("*").alias("num_events"),
+        )
     )
+    return invoices.groupBy(F.window("w", "1 day").alias("w")).agg(
+        (F.sum("earned") / 100.0).alias("actual_revenue"),
+        F.sum("units").alias("units"),
+        F.sum("num_events").alias("num_events"),
+        F.count("*").alias("orders"),
+    ).select(F.to_date("w.start").alias("simulated_day"), "actual_revenue", "units", "num_events", "orders")
 
 
 def close_days(
@@ -170,13 +182,38 @@ def close_days(
 
 
 def day_totals(hot: DataFrame) -> DataFrame:
-    """The totals of all days in the hot table, with exact orders."""
-    return _day_totals(hot, F.col("simulated_day"), F.count_distinct("invoice"))
+    """The totals of all days in the hot table."""
+    return hot.groupBy("simulated_day").agg(
+        (F.sum(cents(F.col("revenue"))) / 100.0).alias("actual_revenue"),
+        F.sum(F.col("quantity").cast("long")).alias("units"),
+        F.count("*").alias("num_events"),
+        F.count_distinct("invoice").alias("orders"),
+    )
+
+
+def corrected_days(closed: DataFrame, hot: DataFrame) -> DataFrame:
+    """The closed days whose stored totals miss late events, with the totals of the hot table."""
+    stored = closed.select("simulated_day", F.col("num_events").alias("stored_events"))
+    found = day_totals(hot).join(stored, "simulated_day")
+    return found.where(F.col("num_events") != F.col("stored_events")).drop("stored_events")
+
 
+def correct_days(table: KeyedTable, hot: DataFrame) -> None:
+    """Bring late events into the stored totals of closed days."""
+    table.write(corrected_days(table.read(), hot))
 
-def with_open(closed: DataFrame, all_windows: DataFrame, key: str) -> DataFrame:
-    """Closed windows, and at the end of the input also those that no later event closed."""
-    return closed.unionByName(all_windows.join(closed.select(key), key, "left_anti"))
+
+def with_open(closed: DataFrame, all_windows: DataFrame, end: Column, newest_time: Column, delay: str) -> DataFrame:
+    """The windows that the stream closed, and of ``all_windows`` those that it had to leave open.
+
+    A window is open if its ``end`` lies behind the watermark, the newest event time less ``delay``.
+    A window that should have closed is taken from the stream alone: if it is missing there, it is
+    missing here. ``closed_by_stream`` tells them apart.
+    """
+    still_open = all_windows.where(end > newest_time - F.expr(f"INTERVAL {delay}"))
+    return closed.withColumn("closed_by_stream", F.lit(True)).unionByName(
+        still_open.withColumn("closed_by_stream", F.lit(False))
+    )
 
 
 def distinct_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
