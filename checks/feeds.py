@@ -18,11 +18,11 @@ from tillstream.operators.star import Star
 from tillstream.operators.text import index_documents, warehouse_documents
 from tillstream.plans import revenue
 from tillstream.plans.live import live_daily_series
-from tillstream.session import new_folder, written
+from tillstream.session import new_folder
 from tillstream.sources import lake, warehouse
 from tillstream.sources.events import read_event_files
 from tillstream.sources.live_store import LiveStore
-from tillstream.streaming.live import drain, write_hot_events
+from tillstream.streaming.live import DAY_SCHEMA, close_days, drain, write_hot_events
 
 _stored: dict[tuple[str, str, str], str] = {}
 _opened: dict[str, Star] = {}
@@ -147,6 +147,17 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_store(spark, sf_dir).hot()
 
 
+def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of the days that the stream closed."""
+
+    def fill(path: str) -> None:
+        store = LiveStore(spark, path)
+        events = read_event_files(spark, event_dir(spark, sf_dir))
+        drain(close_days(events, f"{path}/closed", store.checkpoint("close"), once=True))
+
+    return spark.read.schema(DAY_SCHEMA).parquet(f"{once(spark, sf_dir, 'closed-days', fill)}/closed")
+
+
 def simple_forecasts(days: DataFrame) -> DataFrame:
     """Forecasts that SQL can state too: the mean of the last seven days, for the day after.
 
@@ -186,7 +197,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def fill(path: str) -> None:
         warehouse_star = star(spark, sf_dir)
-        total = revenue.daily_sales_series(warehouse_star).select(
+        total = revenue.daily_totals(warehouse_star).select(
             F.lit("total").alias("series"), "ds", "y", "units", "orders"
         )
         revenue.daily_series_by_country(warehouse_star).unionByName(total).write.parquet(path)
@@ -239,13 +250,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.unionByName(part).unionByName(nation).unionByName(segment)
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the index over the warehouse documents. Documents get the rank of their text as
-    id; there are a few hundred."""
+def warehouse_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warehouse documents with the rank of their text as id; there are a few hundred."""
 
     def fill(path: str) -> None:
         place = F.row_number().over(Window.orderBy("text", "type"))
-        documents = warehouse_documents(star(spark, sf_dir)).withColumn("doc_id", place.cast("long"))
-        index_documents(written(documents, "documents"), path)
+        warehouse_documents(star(spark, sf_dir)).withColumn("doc_id", place.cast("long")).write.parquet(path)
+
+    return spark.read.parquet(once(spark, sf_dir, "warehouse-texts", fill))
 
-    return once(spark, sf_dir, "document-index", fill)
+
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the index over the warehouse documents."""
+    return once(
+        spark, sf_dir, "document-index", lambda path: index_documents(warehouse_texts(spark, sf_dir), path)
+    )
+
+
+def given_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the index over the given documents."""
+    return once(
+        spark, sf_dir, "given-index", lambda path: index_documents(table(spark, sf_dir, "documents"), path)
+    )

@@ -22,9 +22,9 @@ from tillstream.operators.clean import clean_sales, cleaning_report
 from tillstream.operators.keys import dense_key
 from tillstream.operators.similarity import top_k_similar
 from tillstream.plans import alerts, live, revenue, summaries
-from tillstream.session import new_folder
+from tillstream.session import new_folder, written
 from tillstream.sources import lake, warehouse
-from tillstream.sources.events import parse_events, read_event_files
+from tillstream.sources.events import message_counts, parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
 from tillstream.sources.tables import write_json
 from tillstream.streaming.forecasts import forecast_on_day_start
@@ -84,6 +84,25 @@ def _a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.insight_records(top, "top_products", [F.desc("total_revenue"), "stock_code"])
 
 
+def _s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the six tables after two loads into one folder, and rows that differ from another load."""
+    path = new_folder(spark, "warehouse-twice")
+    for _ in range(2):
+        again = warehouse.load_warehouse(feeds.sales(spark, sf_dir, with_row_id=True), feeds.regions(spark, sf_dir), path)
+    first = feeds.star(spark, sf_dir).tables()
+
+    def differing(name: str, rows: DataFrame) -> DataFrame:
+        # Rows of either load, without their counterpart in the other.
+        both = rows.withColumn("side", F.lit(1)).unionByName(first[name].withColumn("side", F.lit(-1)))
+        apart = both.groupBy(*rows.columns).agg(F.sum("side").alias("apart"), F.count_if(F.col("side") == 1).alias("held"))
+        return apart.agg(
+            F.lit(name).alias("table_name"), F.coalesce(F.sum("held"), F.lit(0)).alias("num_rows"),
+            F.coalesce(F.sum(F.abs("apart")), F.lit(0)).alias("differing"),
+        )
+
+    return reduce(DataFrame.unionByName, [differing(name, rows) for name, rows in again.tables().items()])
+
+
 def on_star(plan: Callable[..., DataFrame], **options) -> Query:
     return lambda spark, sf_dir: plan(feeds.star(spark, sf_dir), **options)
 
@@ -110,7 +129,7 @@ BATCH: dict[str, Query] = {
     "d6_dense_key": lambda spark, d: _d6(spark, d),
     "d7_agg_daily_sales": on_star(lambda s: s.agg_daily_sales.drop("sale_month")),
     "d8_table_counts": on_star(warehouse.table_counts),
-    "s5_load_warehouse": on_star(warehouse.table_counts),
+    "s5_load_warehouse": lambda spark, d: _s5(spark, d),
     "d9_check_constraints": on_star(constraint_checks.check_constraints),
     "q1_monthly_revenue_trend": on_star(revenue.monthly_revenue_trend),
     "q2_top_products": on_star(revenue.top_products),
@@ -128,9 +147,9 @@ BATCH: dict[str, Query] = {
     "q12_revenue_kpis": on_star(revenue.revenue_kpis),
     "q13_query_summaries": on_star(summaries.query_summaries),
     "q14_segment_mix": on_star(revenue.segment_mix),
-    "a1_reorder_alerts": on_star(lambda s: alerts.reorder_alerts(revenue.reorder_signals(s))),
+    "a1_reorder_alerts": on_star(lambda s: alerts.reorder_alerts(revenue.reorder_signals(s, rows=None))),
     "a1_reorder_alert_counts": on_star(
-        lambda s: alerts.reorder_alert_counts(alerts.reorder_alerts(revenue.reorder_signals(s)))
+        lambda s: alerts.reorder_alert_counts(alerts.reorder_alerts(revenue.reorder_signals(s, rows=None)))
     ),
     "a2_anomaly_alerts": on_star(lambda s: alerts.anomaly_alerts(revenue.monthly_revenue_trend(s))),
     "a4_insight_records": _a4,
@@ -174,6 +193,28 @@ def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(spark.read.schema(events.schema).parquet(store.hot_path))
 
 
+def _s6_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed together with all conversation turns, which are no events."""
+    turns = feeds.table(spark, sf_dir, "conversations").select(F.col("text").alias("value"))
+    return message_counts(spark.read.text(feeds.event_dir(spark, sf_dir)).unionByName(turns))
+
+
+def _s7_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hot table, compacted after a first part of the feed and read with the rest."""
+    store, folder = _new_store(spark), new_folder(spark, "feed")
+    messages = spark.read.text(feeds.event_dir(spark, sf_dir))
+    early = F.get_json_object("value", "$.simulated_day") < "1998"
+    for part in (early, ~early):
+        messages.where(part).write.mode("append").text(folder)
+        events = read_event_files(spark, folder)
+        drain(write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True))
+        if part is early:
+            store.compact()
+    return store.hot().groupBy("simulated_day").agg(
+        F.count("*").alias("num_events"), money_sum(F.col("revenue")).alias("revenue")
+    )
+
+
 def _d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = feeds.table(spark, sf_dir, "events").select("event_type", "event_id")
     return dense_key(events, ["event_type", "event_id"], "event_key")
@@ -194,52 +235,61 @@ def _events_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All forecasts are stored, then those of the last 400 days are replaced by doubled ones."""
+    """One batch has all forecasts and newer ones, doubled, of the last 400 days; a batch of another
+    run, sent twice, has tripled ones of the last 100."""
     table = _new_store(spark).forecasts()
-    first = feeds.forecasts(spark, sf_dir)
-    table.upsert(first, "feed", 0)
-    since = F.date_sub(first.agg(F.max("simulated_day")).scalar(), 400)
-    again = first.where(F.col("simulated_day") > since).withColumn(
-        "predicted_revenue", F.col("predicted_revenue") * 2
-    )
-    table.upsert(again, "feed", 1)
-    table.upsert(again, "feed", 1)
+    made = feeds.forecasts(spark, sf_dir)
+    newest = made.agg(F.max("simulated_day")).scalar()
+
+    def last(days: int, factor: int) -> DataFrame:
+        stamp = F.lit(f"2000-01-0{factor} 00:00:00").cast("timestamp")
+        return made.where(F.col("simulated_day") > F.date_sub(newest, days)).withColumns(
+            {"predicted_revenue": F.col("predicted_revenue") * factor, "generated_at": stamp}
+        )
+
+    stamped = made.withColumn("generated_at", F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    table.write(last(400, 2).unionByName(stamped), "first-run", 0)
+    table.write(last(100, 3), "second-run", 0)
+    table.write(last(100, 3), "second-run", 0)
     return table.read().drop("generated_at")
 
 
 def _s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alerts.reorder_alerts(revenue.reorder_signals(feeds.star(spark, sf_dir)))
+    found = alerts.reorder_alerts(revenue.reorder_signals(feeds.star(spark, sf_dir), rows=None))
     path = new_folder(spark, "alerts")
     write_json(found, path)
     return spark.read.schema(found.schema).json(path)
 
 
 def _s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the live tables before and after a reset."""
+    """Rows of the live tables before and after a reset, and the files that are left."""
     store = _new_store(spark)
     drain(write_hot_events(_stream(spark, sf_dir), store.hot_path, store.checkpoint("hot"), once=True))
     made = feeds.forecasts(spark, sf_dir)
-    store.forecasts().upsert(made)
-    store.outlook().upsert(feeds.simple_outlook(made))
+    store.forecasts().write(made)
+    store.outlook().write(feeds.simple_outlook(made))
     accuracy = live.mean_error(made, live.day_revenue(store.hot()))
-    store.status().upsert(live.stream_status(store.hot(), accuracy))
+    store.status().write(live.stream_status(store.hot(), accuracy))
 
     def sizes(column: str) -> DataFrame:
         tables = {
             "hot": store.hot(), "forecasts": store.forecasts().read(),
             "outlook": store.outlook().read(), "status": store.status().read(),
         }
-        return reduce(
+        counted = reduce(
             DataFrame.unionByName,
             [
                 rows.agg(F.count("*").alias(column)).withColumn("table_name", F.lit(name))
                 for name, rows in tables.items()
             ],
         )
+        return written(counted, "sizes")
 
     before = sizes("rows_before")
     store.reset()
-    return before.join(sizes("rows_after"), "table_name").select("table_name", "rows_before", "rows_after")
+    return before.join(sizes("rows_after"), "table_name").select(
+        "table_name", "rows_before", "rows_after", F.lit(store.files()).cast("long").alias("files_left")
+    )
 
 
 def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +297,7 @@ def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     drain(running_kpis(_stream(spark, sf_dir, 3), store.kpis(), store.checkpoint("kpis"), once=True))
     exact = feeds.hot(spark, sf_dir).agg(F.count_distinct("customer_id")).scalar()
     error = F.abs(F.col("unique_customers") - exact) / exact
-    return store.kpis().read().withColumn("unique_customers", exact).withColumn(
-        "estimate_within_3_pct", error < 0.03
-    )
+    return store.kpis().read().withColumn("estimate_within_3_pct", error < 0.03).drop("unique_customers")
 
 
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,16 +312,29 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = store.hot_path
     drain(throughput(rows, "ts", path, store.checkpoint("throughput"), once=True))
-    all_windows = window_counts(table.select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    times = table.select(F.col("ts").cast("timestamp").alias("ts"))
     closed = spark.read.schema("window_start timestamp, num_rows long").parquet(path)
-    return with_open(closed, all_windows, "window_start").select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "num_rows"
+    whole = with_open(
+        closed, window_counts(times, "ts"), F.col("window_start") + F.expr("INTERVAL 1 second"),
+        times.agg(F.max("ts")).scalar(), "10 seconds",
     )
+    return whole.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _new_store(spark)
-    drain(recent_ring(_stream(spark, sf_dir, 3), store.recent(), store.checkpoint("recent"), once=True))
+    """The whole feed, then in a later batch the first five sales of its first day once more."""
+    store, folder = _new_store(spark), new_folder(spark, "feed")
+    messages = spark.read.text(feeds.event_dir(spark, sf_dir))
+
+    def run() -> None:
+        events = read_event_files(spark, folder)
+        drain(recent_ring(events, store.recent(), store.checkpoint("recent"), once=True))
+
+    messages.write.text(folder)
+    run()
+    first = F.get_json_object("value", "$.day_index").cast("int") == 0
+    messages.where(first & (F.get_json_object("value", "$.row_in_day").cast("int") < 5)).write.mode("append").text(folder)
+    run()
     return store.recent().read().withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
 
 
@@ -281,8 +342,9 @@ def _t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _new_store(spark)
     drain(close_days(_stream(spark, sf_dir), store.closed_path, store.checkpoint("close"), once=True))
     closed = spark.read.schema(DAY_SCHEMA).parquet(store.closed_path)
-    days = with_open(closed, day_totals(feeds.hot(spark, sf_dir)), "simulated_day")
-    return days.drop("orders")
+    hot = feeds.hot(spark, sf_dir)
+    end = F.date_add("simulated_day", 1).cast("timestamp")
+    return with_open(closed, day_totals(hot), end, hot.agg(F.max("invoice_date")).scalar(), "1 hour")
 
 
 def _t5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +364,20 @@ def _t6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole feed is sent twice; each event counts once."""
-    store = _new_store(spark)
-    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
-    drain(
-        write_hot_events(distinct_stream(twice), store.hot_path, store.checkpoint("hot"), once=True)
-    )
+    """The feed, then after a restart its last 20 days once more; each event counts once."""
+    store, folder = _new_store(spark), new_folder(spark, "feed")
+    messages = spark.read.text(feeds.event_dir(spark, sf_dir))
+
+    def run() -> None:
+        events = distinct_stream(read_event_files(spark, folder), "30 days")
+        drain(write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True))
+
+    messages.write.text(folder)
+    run()
+    day = F.get_json_object("value", "$.day_index").cast("int")
+    newest = messages.agg(F.max(day)).scalar()
+    messages.where(day > newest - 20).write.mode("append").text(folder)
+    run()
     return store.hot().groupBy("simulated_day").agg(
         F.count("*").alias("num_events"), money_sum(F.col("revenue")).alias("revenue")
     )
@@ -320,7 +390,7 @@ def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _l7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warehouse history with live days from 1999 on, before the newest day."""
-    history = revenue.daily_sales_series(feeds.star(spark, sf_dir)).select("ds", "y", "units", "orders")
+    history = revenue.daily_totals(feeds.star(spark, sf_dir))
     days = live.live_daily_series(feeds.hot(spark, sf_dir)).where(F.col("ds") >= "1999-01-01")
     newest = history.agg(F.max("ds")).scalar()
     return live.can_forecast(live.merge_history(history, days, newest))
@@ -334,7 +404,9 @@ LIVE: dict[str, Query] = {
     "c6_enrich_events": _events_read,
     "s2_write_lake": _s2,
     "s6_read_event_stream": _s6,
+    "s6_rejected_messages": _s6_rejected,
     "s7_write_hot_events": _hot_rows,
+    "s7_compact_hot": _s7_compacted,
     "s8_upsert": _s8,
     "s9_write_json": _s9,
     "s10_reset_live": _s10,
@@ -350,14 +422,14 @@ LIVE: dict[str, Query] = {
     "l3_live_geo_revenue": on_hot(live.live_geo_revenue),
     "l4_live_daily_series": on_hot(live.live_daily_series),
     "l5_forecast_vs_actual": lambda spark, d: live.forecast_vs_actual(
-        feeds.forecasts(spark, d), feeds.hot(spark, d)
+        feeds.forecasts(spark, d), live.current_days(feeds.closed_days(spark, d), feeds.hot(spark, d))
     ),
     "l6_forecast_outlook": lambda spark, d: live.forecast_outlook(
         feeds.simple_outlook(feeds.forecasts(spark, d))
     ),
     "l7_merge_history": _l7,
     "l8_accuracy_report": lambda spark, d: live.accuracy_report(
-        feeds.forecasts(spark, d), live.day_revenue(feeds.hot(spark, d))
+        feeds.forecasts(spark, d), live.current_days(feeds.closed_days(spark, d), feeds.hot(spark, d))
     ),
     "l9_stream_status": lambda spark, d: live.stream_status(
         feeds.hot(spark, d), _accuracy(spark, d)
@@ -376,8 +448,8 @@ def _rounded(rows: DataFrame, names: list[str], digits: int = 8) -> DataFrame:
 
 
 def _f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series.calendar_features(_total(spark, sf_dir)).select(
-        "ds", "dow", "month", "is_weekend", "dow_sin", "dow_cos", "month_sin", "month_cos"
+    rows = series.calendar_features(feeds.daily_series(spark, sf_dir)).select(
+        "series", "ds", "dow", "month", "is_weekend", "dow_sin", "dow_cos", "month_sin", "month_cos"
     )
     return _rounded(rows, ["dow_sin", "dow_cos", "month_sin", "month_cos"])
 
@@ -426,14 +498,21 @@ def _f5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of the fit: its samples, and that one of the candidates was kept per day."""
     return feeds.forecaster(spark, sf_dir).weights.select(
-        "step", "intercept", F.size("weights").alias("num_weights"), "validation_loss",
-        "validation_samples", "regularisation",
+        "step", F.size("weights").alias("num_weights"), "train_samples", "calibration_samples",
+        F.col("regularisation").isin(*forecast.REGULARISATION).alias("is_candidate"),
+        (F.col("calibration_loss") < 0.05).alias("loss_below_0_05"),
     )
 
 
 def _f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.forecast(feeds.daily_series(spark, sf_dir), feeds.forecaster(spark, sf_dir))
+    """What SQL can state of the forecasts: their days and method, and the order of their bounds."""
+    made = forecast.forecast(feeds.daily_series(spark, sf_dir), feeds.forecaster(spark, sf_dir))
+    return made.select(
+        "series", "origin", "ds", "method",
+        ((F.col("lower_ci") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper_ci"))).alias("in_order"),
+    )
 
 
 def _f8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,13 +535,32 @@ def _f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.evaluate(bounded, daily)
 
 
+def _f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.retrain(feeds.daily_series(spark, sf_dir), new_folder(spark, "retrained"))
+
+
 def _f11_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted model from every day that has a full look-back window."""
+    """The fitted model on origins that it has not seen, beside the seven-day mean from the same ones."""
     daily = feeds.daily_series(spark, sf_dir)
-    made = forecast.forecast(
-        daily, feeds.forecaster(spark, sf_dir), origins=daily.select("series", "ds")
+    origins = forecast.scored_origins(daily)
+    made = forecast.forecast(daily, feeds.forecaster(spark, sf_dir), origins)
+    plain = forecast.mean_forecasts(daily, origins)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        y = F.col("y")
+        error = F.log1p(y) - F.log1p(F.greatest("forecast", F.lit(0.0)))
+        inside = y.between(F.col("lower_ci"), F.col("upper_ci")).cast("int")
+        return rows.join(daily.select("series", "ds", "y"), ["series", "ds"]).where(y > 0).agg(
+            F.count("*").alias("num_days"), F.avg(forecast.huber(error)).alias("loss"), F.avg(inside).alias("inside")
+        )
+
+    model = scored(made).select("num_days", F.col("loss").alias("model_loss"), "inside")
+    bounded = F.col("inside").between(0.8, 0.98)  # the bounds are those of 90 %
+    mean = scored(plain).select(F.col("loss").alias("mean_loss"))
+    return model.join(F.broadcast(mean)).select(
+        "num_days", F.round("mean_loss", 4).alias("mean_loss"),
+        (F.col("model_loss") <= 1.05 * F.col("mean_loss")).alias("model_keeps_up"), bounded.alias("bounds_hold"),
     )
-    return forecast.evaluate(made, daily)
 
 
 def _a3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,15 +577,17 @@ def _a3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts made as the feed runs, with the error of each against what came."""
+    """Forecasts made as the feed runs, without any history: from two closed days on."""
     store = _new_store(spark)
-    history = _total(spark, sf_dir).select("ds", "y", "units", "orders")
+    history = _total(spark, sf_dir).select("ds", "y", "units", "orders").limit(0)
     drain(
         forecast_on_day_start(
             _stream(spark, sf_dir), store, history, feeds.forecaster(spark, sf_dir), once=True
         )
     )
-    return live.forecast_vs_actual(store.forecasts().read(), feeds.hot(spark, sf_dir))
+    found = live.forecast_vs_actual(store.forecasts().read(), live.day_revenue(feeds.hot(spark, sf_dir)))
+    ordered = (F.col("lower_ci") <= F.col("predicted")) & (F.col("predicted") <= F.col("upper_ci"))
+    return found.select("day", "actual", ordered.alias("in_order"))
 
 
 def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,12 +597,16 @@ def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vectors = text.load_index(spark, feeds.document_index(spark, sf_dir))
-    length = F.sqrt(
-        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    )
-    return vectors.select(
-        "doc_id", "type", "text", "num_terms", (F.abs(length - 1) < 1e-4).alias("unit_length")
+    _, postings = text.load_index(spark, feeds.document_index(spark, sf_dir))
+    return postings.select("doc_id", "term", F.round("weight", text.DECIMALS).alias("weight"))
+
+
+def _r2_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, their weights' sum and the heaviest weight of each given document."""
+    _, postings = text.load_index(spark, feeds.given_index(spark, sf_dir))
+    return postings.groupBy("doc_id").agg(
+        F.count("*").alias("num_terms"), F.round(F.sum("weight"), 5).alias("total_weight"),
+        F.round(F.max("weight"), 5).alias("most_weight"),
     )
 
 
@@ -524,13 +628,25 @@ def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _r3_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three warehouse documents nearest to each conversation turn."""
-    model, index = text.load_index(spark, feeds.document_index(spark, sf_dir))
-    turns = feeds.table(spark, sf_dir, "conversations").select(
-        F.xxhash64("conv_id", "turn", "text").alias("query_id"), "text"
-    )
-    found = top_k_similar(text.vectors(model, turns.distinct()), index, vector_id="doc_id")
-    return found.join(
-        index.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("source_text")), "vec_id"
+    rarity, postings = text.load_index(spark, feeds.document_index(spark, sf_dir))
+    turns = feeds.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = text.nearest_texts(turns, rarity, postings, ["conv_id", "turn"])
+    texts = feeds.warehouse_texts(spark, sf_dir).select("doc_id", F.col("text").alias("source_text"))
+    return found.join(texts, "doc_id")
+
+
+def _r3_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three given documents nearest to each whose id is divisible by 100."""
+    rarity, postings = text.load_index(spark, feeds.given_index(spark, sf_dir))
+    asked = feeds.table(spark, sf_dir, "documents").where(F.col("doc_id") % 100 == 0)
+    asked = asked.select(F.col("doc_id").alias("query_id"), "text")
+    return text.nearest_texts(asked, rarity, postings, ["query_id"])
+
+
+def _r4_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rarity, postings = text.load_index(spark, feeds.document_index(spark, sf_dir))
+    return text.answer_questions(
+        feeds.questions(spark, sf_dir), feeds.star(spark, sf_dir), feeds.warehouse_texts(spark, sf_dir), rarity, postings
     )
 
 
@@ -547,6 +663,7 @@ FORECAST: dict[str, Query] = {
         feeds.next_week(feeds.daily_series(spark, d))
     ),
     "f10_series_lengths": lambda spark, d: forecast.series_lengths(feeds.daily_series(spark, d)),
+    "f10_retrain": _f10,
     "f11_evaluate": _f11,
     "f11_evaluate_forecaster": _f11_model,
     "a3_forecast_report": _a3,
@@ -556,8 +673,11 @@ FORECAST: dict[str, Query] = {
 TEXT: dict[str, Query] = {
     "r1_warehouse_documents": _r1,
     "r2_index_documents": _r2,
+    "r2_index_given_documents": _r2_given,
     "r3_top_k_similar": _r3,
     "r3_top_k_documents": _r3_questions,
+    "r3_top_k_given_documents": _r3_given,
+    "r4_answer_questions": _r4_answers,
     "r4_route_questions": lambda spark, d: text.route_questions(feeds.questions(spark, d)),
 }
 

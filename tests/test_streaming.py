@@ -99,14 +99,24 @@ def test_a_repeated_file_counts_once(spark, store, tmp_path):
     assert raw_hot.count() == 63 and distinct_events(raw_hot).count() == 54
 
 
+def whole_days(closed, hot):
+    end = F.date_add("simulated_day", 1).cast("timestamp")
+    return live.with_open(closed, live.day_totals(hot), end, hot.agg(F.max("invoice_date")).scalar(), "1 hour")
+
+
 def test_days_close_and_the_last_one_by_batch(spark, store, tmp_path):
     folder = feed(tmp_path / "in")
     drain(live.close_days(read_event_files(spark, folder, 1), store.closed_path, store.checkpoint("c"), once=True))
     closed = spark.read.schema(live.DAY_SCHEMA).parquet(store.closed_path)
     assert sorted(str(d) for d, in values(closed, "simulated_day")) == DAYS[:-1]
-    everything = live.day_totals(take_in(spark, store, folder))
-    whole = live.with_open(closed, everything, "simulated_day").drop("orders")
-    assert whole.exceptAll(everything.drop("orders")).isEmpty() and whole.count() == len(DAYS)
+    hot = take_in(spark, store, folder)
+    whole = whole_days(closed, hot)
+    assert sorted((str(d), c) for d, c in values(whole, "simulated_day", "closed_by_stream")) == [
+        *((d, True) for d in DAYS[:-1]), (DAYS[-1], False)
+    ]
+    assert whole.drop("closed_by_stream").exceptAll(live.day_totals(hot)).isEmpty()
+    # A stream that closed nothing is not made whole.
+    assert [str(d) for d, in values(whole_days(closed.limit(0), hot), "simulated_day")] == DAYS[-1:]
 
 
 def test_shuffled_files_give_the_same_totals(spark, store, tmp_path):
@@ -116,12 +126,41 @@ def test_shuffled_files_give_the_same_totals(spark, store, tmp_path):
     events = read_event_files(spark, folder)
     drain(live.close_days(events, store.closed_path, store.checkpoint("c"), once=True))
     closed = spark.read.schema(live.DAY_SCHEMA).parquet(store.closed_path)
-    everything = live.day_totals(take_in(spark, store, folder))
-    whole = live.with_open(closed, everything, "simulated_day").drop("orders")
-    assert whole.exceptAll(everything.drop("orders")).isEmpty()
+    hot = take_in(spark, store, folder)
+    assert whole_days(closed, hot).drop("closed_by_stream").exceptAll(live.day_totals(hot)).isEmpty()
+
+
+def test_an_empty_throughput_stream_shows(spark):
+    times = spark.createDataFrame([(i,) for i in range(60)], "s long").select(
+        F.timestamp_seconds("s").alias("ts"))
+    counts = live.window_counts(times, "ts")
+    whole = live.with_open(
+        counts.limit(0), counts, F.col("window_start") + F.expr("INTERVAL 1 second"),
+        times.agg(F.max("ts")).scalar(), "10 seconds")
+    assert whole.count() == 11 and counts.count() == 60
+
+
+def test_an_event_without_time_counts_in_its_day(spark, store, tmp_path):
+    folder = feed(tmp_path / "in")
+    with open(os.path.join(folder, "no-time.json"), "w") as f:
+        f.write(json.dumps(event(DAYS[2], 30, revenue=3.0) | {"invoice_date": "unknown"}) + "\n")
+    drain(live.close_days(read_event_files(spark, folder), store.closed_path, store.checkpoint("c"), once=True))
+    closed = spark.read.schema(live.DAY_SCHEMA).parquet(store.closed_path)
+    assert values(closed.where(F.col("simulated_day") == DAYS[2]), "num_events", "actual_revenue") == [(10, 59.25)]
+
+
+def test_days_close_in_utc_only(spark, store, tmp_path):
+    events = read_event_files(spark, feed(tmp_path / "in"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError):
+            live.closing_days(events)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-def test_a_late_event_is_in_the_hot_table_only(spark, store, tmp_path):
+def test_a_late_event_is_corrected_from_the_hot_table(spark, store, tmp_path):
     folder = feed(tmp_path / "in")
     drain(live.close_days(read_event_files(spark, folder, 1), store.closed_path, store.checkpoint("c"), once=True))
     with open(os.path.join(folder, "late.json"), "w") as f:
@@ -132,12 +171,17 @@ def test_a_late_event_is_in_the_hot_table_only(spark, store, tmp_path):
     assert values(closed.where(first_day), "actual_revenue", "num_events") == [(56.25, 9)]
     hot = take_in(spark, store, folder)
     assert hot.where(first_day).count() == 10
+    store.days().write(closed)
+    live.correct_days(store.days(), hot)
+    assert values(store.days().read().where(first_day), "actual_revenue", "num_events") == [(1056.25, 10)]
+    assert store.days().read().count() == len(DAYS) - 1
 
 
 def test_recent_list_and_progress(spark, store, tmp_path):
     folder = feed(tmp_path / "in")
     drain(live.recent_ring(read_event_files(spark, folder, 1), store.recent(), store.checkpoint("r"), 12, True))
     got = values(live.newest(store.recent().read(), 12), "simulated_day", "row_in_day")
+    assert store.recent().read().count() == 12
     assert [(str(d), r) for d, r in got] == (
         [(DAYS[5], r) for r in range(8, -1, -1)] + [(DAYS[4], r) for r in (8, 7, 6)]
     )

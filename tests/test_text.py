@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.helpers import sale, star_of, values
 from tillstream.operators import text
 from tillstream.operators.similarity import top_k_similar
-from tillstream.session import new_folder
+from tillstream.session import new_folder, written
 
 
 @pytest.mark.parametrize("question, route, n", [
@@ -36,16 +38,56 @@ def test_documents(spark):
     assert len(got) == 5
 
 
-def test_index_is_reloaded_and_searched(spark):
-    documents = spark.createDataFrame(
-        [(1, "red tea cups sold well"), (2, "blue garden chairs"), (3, "red garden lamps")],
-        "doc_id long, text string")
+TEXTS = [
+    (1, "red tea cups sold well red"), (2, "Blue garden chairs"), (3, "red garden lamps"), (4, ""), (5, None),
+    (6, "blue garden\tchairs"), (7, "well well well"),
+]
+
+
+def plain_nearest(texts, question, k):
+    """Cosine over all documents, by the definition."""
+    terms = {i: (t or "").lower().split() for i, t in texts}
+    known = {t for words in terms.values() for t in words}
+    rare = {t: math.log((len(texts) + 1) / (sum(t in w for w in terms.values()) + 1)) for t in known}
+
+    def unit(words):
+        raw = {t: words.count(t) * rare[t] for t in words if t in rare}
+        length = math.sqrt(sum(v * v for v in raw.values()))
+        return {t: v / length for t, v in raw.items()} if length else {}
+
+    asked = unit(question.lower().split())
+    scores = [(round(sum(asked.get(t, 0) * v for t, v in unit(w).items()), 6), i) for i, w in terms.items() if set(w) & set(asked)]
+    return [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+
+
+@pytest.mark.parametrize("question", ["Garden chairs", "red well", "unknown words", "", "RED red tea lamps sold"])
+def test_nearest_texts_equal_brute_force(spark, question):
+    documents = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    path = new_folder(spark, "index")
+    text.index_documents(documents, path)
+    rarity, postings = text.load_index(spark, path)
+    asked = spark.createDataFrame([(9, 1, question)], "conv long, turn int, text string")
+    found = text.nearest_texts(asked, rarity, postings, ["conv", "turn"]).orderBy("place")
+    assert values(found, "doc_id", "similarity") == plain_nearest(TEXTS, question, 3)
+
+
+def test_answers(spark):
+    made = star_of(spark, [sale("1", price=1234.5), sale("2", code="B", description="cup", price=1)])
+    documents = text.warehouse_documents(made, None, None).withColumn("doc_id", F.monotonically_increasing_id())
+    documents = written(documents, "documents")
     path = new_folder(spark, "index")
     text.index_documents(documents, path)
-    model, index = text.load_index(spark, path)
-    asked = spark.createDataFrame([(9, "Garden chairs")], "query_id long, text string")
-    found = top_k_similar(text.vectors(model, asked), index, k=2, vector_id="doc_id").orderBy("place")
-    assert values(found, "vec_id") == [(2,), (3,)]
+    asked = ["top 1 products", "best items", "sales trend", "compare countries", "which customer type", "'cup'", "'cup'", None]
+    found = text.answer_questions(
+        spark.createDataFrame([(q,) for q in asked], "question string"), made, documents, *text.load_index(spark, path))
+    got = {(r["question"], r["place"]): (r["item"], r["revenue"]) for r in found.collect()}
+    assert got["top 1 products", 1] == ("thing", 1234.5) and ("top 1 products", 2) not in got
+    assert got["best items", 2] == ("cup", 1.0)
+    assert got["sales trend", 1] == ("January 2020", 1235.5)
+    assert got["compare countries", 1] == ("France", 1235.5)
+    assert got["which customer type", 1][1] == 1235.5
+    assert "'cup'" in got["'cup'", 1][0] and got["'cup'", 1][1] is None
+    assert found.count() == len(got)
 
 
 @pytest.mark.parametrize("buckets", [1, 5])
