@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -29,7 +30,8 @@ QUERY_NAMES = [
     "a1_reorder_alerts", "a2_anomaly_alerts", "l1_recent_transactions", "l2_live_top_products",
     "l3_live_geo_revenue", "l4_live_daily_series", "l5_forecast_vs_actual", "l8_accuracy_report",
     "l9_stream_status", "f4_sliding_samples", "f7_forecast", "f11_evaluate_forecaster",
-    "r1_warehouse_documents", "r3_top_k_similar", "r3_top_k_documents", "r4_route_questions",
+    "r1_warehouse_documents", "r3_top_k_similar", "r3_top_k_documents", "r4_answer_questions",
+    "d9_check_constraints",
 ]
 
 
@@ -49,6 +51,7 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=str(cpus),
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
@@ -74,9 +77,14 @@ def main() -> None:
         e, store.kpis(), store.checkpoint("kpis"), once=True))
     stream("t4_close_days", lambda e: live.close_days(
         e, store.closed_path, store.checkpoint("close"), once=True))
-    for name in ("s7_write_hot_events", "t1_running_kpis", "t4_close_days"):
+    stream("t3_recent_ring", lambda e: live.recent_ring(
+        e, store.recent(), store.checkpoint("recent"), once=True))
+    stream("t6_day_progress", lambda e: live.day_progress(
+        e, store.progress(), store.checkpoint("progress"), once=True))
+    for name in ("s7_write_hot_events", "t1_running_kpis", "t4_close_days", "t3_recent_ring", "t6_day_progress"):
         rates[name] = num_events / seconds[name]
 
+    feeds.closed_days(spark, sf_dir)
     feeds.daily_series(spark, sf_dir)
     fill("f6_fit_forecaster", feeds.forecaster)
     fill("r2_index_documents", feeds.document_index)
