@@ -12,7 +12,7 @@ from tillstream.llm.decontamination import drop_contaminated
 from tillstream.llm.exact_dedup import drop_exact_duplicates
 from tillstream.llm.queries import digests_of_tokens, word_vocabulary
 from tillstream.llm.simhash import drop_near_duplicates
-from tillstream.session import new_folder
+from tillstream.session import new_folder, scratch_freed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,9 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that all stages keep.
+
+    A stage that keeps nothing hands on an empty table, and the result is empty.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,0 +1,66 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from tests.llm import inputs
+from tillstream.llm import exact_dedup
+from tillstream.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+
+
+def expected(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[hashlib.sha256(inputs.plain(text).encode()).digest()].append((doc_id, text or ""))
+    out = []
+    for digest, members in groups.items():
+        order = sorted(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        out += [(m[0], order[0][0], len(members), place == 0, digest) for place, m in enumerate(order)]
+    return sorted(out, key=str)
+
+
+def found(df):
+    rows = df.select("doc_id", "keep_id", "group_size", "kept", "digest").collect()
+    return sorted([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in rows], key=str)
+
+
+def test_awkward_rows(spark):
+    assert found(exact_duplicates(inputs.documents(spark))) == expected([r[:2] for r in inputs.TEXTS])
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 10**9])
+def test_any_split_gives_the_same(spark, monkeypatch, heavy):
+    # One: nothing is heavy. Very many: every group of two is.
+    monkeypatch.setattr(exact_dedup, "HEAVY_SHARE", min(heavy, 1000))
+    rows = inputs.columns("documents", "doc_id", "text")
+    docs = spark.read.parquet(f"{inputs.TABLES}/documents.parquet")
+    assert found(exact_duplicates(docs)) == expected(rows)
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    rows = [(i, "same  text" if i % 3 else "same text", None, "a") for i in range(3000)]
+    rows += [(i, f"text {i}", None, "a") for i in range(3000, 9000)]
+    docs = inputs.documents(spark, rows).repartition(16)
+    winners = exact_dedup.heavy_winners(exact_dedup.digests(docs)).collect()
+    assert [(w["keep_id"], w["group_size"]) for w in winners] == [(1, 3000)]
+    assert found(exact_duplicates(docs)) == expected([r[:2] for r in rows])
+
+
+def test_dropping_keeps_columns_and_one_row_each(spark):
+    docs = inputs.documents(spark)
+    kept = drop_exact_duplicates(docs)
+    assert kept.schema == docs.schema
+    wanted = sorted([r[0] for r in expected([r[:2] for r in inputs.TEXTS]) if r[3]], key=str)
+    rows = kept.collect()
+    assert sorted([r["doc_id"] for r in rows], key=str) == wanted
+    assert all(r["digest"] == 1 and r["kept"] == "yes" for r in rows)
+
+
+def test_empty(spark):
+    docs = inputs.documents(spark, [])
+    assert exact_duplicates(docs).count() == 0 and drop_exact_duplicates(docs).count() == 0
+
+
+def test_no_python_on_the_main_path(spark):
+    plan = exact_duplicates(inputs.documents(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

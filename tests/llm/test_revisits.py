@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tillstream.llm.revisits import canonical_url, capture_records, header_pairs, resolve_revisits
+
+SCHEMA = (
+    "record_id long, url string, at long, kind string, status int, etag string, last_modified string, "
+    "headers array<struct<name: string, value: string>>, bucket string, found int, near int, response int, revisit int, "
+    "carried int, outcome int, url_key int, response_id int"
+)
+EXTRA = ("b", 1, 2, 3, 4, 5, 6, 7, 8)
+URL = "http://Example.org/a"
+
+
+def response(i, at, tag='"t"', url=URL, status=200, day="d", headers=()):
+    return (i, url, at, "response", status, tag, day, list(headers), *EXTRA)
+
+
+def revisit(i, at, tag='"t"', url=URL, day=None, headers=()):
+    return (i, url, at, "revisit", 304, tag, day, headers and list(headers), *EXTRA)
+
+
+def resolved(spark, rows, **options):
+    found = resolve_revisits(spark.createDataFrame(rows, SCHEMA), **options).collect()
+    return {r["record_id"]: (r["response_id"], r["outcome"]) for r in found}
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 10**9])
+def test_latest_earlier_full_response(spark, bucket):
+    rows = [
+        response(1, 10), response(2, 20, status=404), response(3, 20, tag='"u"'), response(4, 20), response(5, 30, day="e"),
+        revisit(100, 10), revisit(101, 11), revisit(102, 21), revisit(103, 30), revisit(104, 31, tag='W/"t"'),
+        revisit(105, 31, tag='"v"'), revisit(106, 31, tag=None, day="e"), revisit(107, 31, tag=None, day="d"),
+        revisit(108, 31, tag=None), revisit(109, 99, url=None), revisit(110, 99, url="no url"), revisit(111, None),
+        revisit(112, 99, url="https://www.example.org:443/a/#x"), revisit(113, 99, url="http://example.org/b"),
+        response(6, None), response(7, 5, url=None), revisit(101, 11),
+    ]
+    assert resolved(spark, rows, bucket=bucket) == {
+        100: (None, "no_response"), 101: (1, "resolved"), 102: (4, "resolved"), 103: (4, "resolved"), 104: (5, "resolved"),
+        105: (None, "changed"), 106: (5, "resolved"), 107: (None, "changed"), 108: (None, "unvalidated"),
+        109: (None, "no_url"), 110: (None, "no_url"), 111: (None, "no_response"), 112: (5, "resolved"),
+        113: (None, "no_response"),
+    }
+    assert resolve_revisits(spark.createDataFrame(rows, SCHEMA), bucket=bucket).count() == 15
+
+
+def test_headers(spark):
+    old = [("Date", "1"), ("content-type", "text/html"), ("ETag", '"t"'), ("Set-Cookie", "a"), ("Set-Cookie", "b")]
+    new = [("date", "2"), ("Content-Type", "none"), ("Expires", "3"), ("Content-Length", "0")]
+    rows = [response(1, 1, headers=old), revisit(2, 2, headers=new), revisit(3, 2, headers=None)]
+    found = resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    heads = {r["record_id"]: [tuple(h) for h in r["headers"]] for r in found}
+    assert heads[2] == [
+        ("content-type", "text/html"), ("date", "2"), ("ETag", '"t"'), ("Expires", "3"), ("Set-Cookie", "a"), ("Set-Cookie", "b")
+    ]
+    assert heads[3] == [
+        ("content-type", "text/html"), ("Date", "1"), ("ETag", '"t"'), ("Set-Cookie", "a"), ("Set-Cookie", "b")
+    ]
+
+
+def test_a_url_with_a_third_of_all_records(spark):
+    rows = [response(i, 100 * i, tag=f'"{i}"') for i in range(300)] + [revisit(1000 + i, 100 * i + 50, tag=f'"{i}"') for i in range(300)]
+    rows += [response(5000 + i, i, url=f"http://h/{i}") for i in range(1200)]
+    assert resolved(spark, rows, bucket=1000) == {1000 + i: (i, "resolved") for i in range(300)}
+
+
+def test_canonical_urls(spark):
+    urls = {
+        "HTTP://WWW.Example.ORG:80/a/b/?b=2&utm_source=x&a=1&ref=q#f": "example.org/a/b?a=1&b=2",
+        "https://example.org": "example.org", "https://example.org/?utm_medium=x": "example.org",
+        "https://example.org:8080/A": "example.org:8080/A", "": None, "ftp://x/y": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in [*urls, None]], "url string").select("url", canonical_url(F.col("url")))
+    assert {r[0]: r[1] for r in rows.collect()} == urls | {None: None}
+
+
+def test_header_lines(spark):
+    row = spark.createDataFrame([("A: b: c\r\nno colon\r\nD:e",)], "block string").select(header_pairs(F.col("block"))).first()
+    assert [tuple(h) for h in row[0]] == [("A", "b: c"), ("D", "e")]
+
+
+def test_pages_with_nulls(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a/b", "x"), (1, "http://a/b", "x"), (2, None, "x"), (3, "http://a/c", None), (None, "http://a/d", "x")],
+        "page_id long, url string, html string",
+    )
+    assert resolve_revisits(capture_records(pages)).count() == 5
+    assert resolve_revisits(capture_records(pages.limit(0))).count() == 0
