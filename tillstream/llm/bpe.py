@@ -2,13 +2,17 @@
 
 A word's tokens do not depend on its neighbours, so each distinct word is encoded once:
 
-1. Texts are split into words in Arrow batches; counts per batch are summed to the distinct-word
-   table, whose words are encoded by the vocabulary's merges and stored.
-2. The most frequent words, at most ``HOT_WORDS``, are broadcast. A text becomes the sequence of its
-   hot words' numbers, with a gap for every other word.
-3. The words of the gaps are joined with the distinct-word table, and come back to their text by key
-   and place. None of them is frequent, so this join has no hot key.
+1. Texts are split into words and counted in Arrow batches. A batch hands on the words that it has
+   ``LEAST_IN_BATCH`` times, so the counts, too low by less than that per batch, shuffle little. The most
+   frequent words, at most ``HOT_WORDS``, are the first part of the distinct-word table and broadcast.
+2. A text becomes the sequence of its hot words' numbers, with a gap for every other word. The
+   sequences are dealt out by text once; both steps below read that one shuffle.
+3. The gaps' words are dealt out by word. Their distinct ones are the second part of the table; the
+   gaps join it where they lie, and their tokens go back to their text by key and place. None of
+   these words is frequent, so the join has no hot key.
 4. Decoding joins every id with its piece; the vocabulary is small and broadcast.
+
+Which words are hot changes the path of a word, never its tokens.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,8 +35,10 @@ from tillstream.llm.common import text_key
 from tillstream.session import written
 
 # At most so many words are broadcast with their ids.
-HOT_WORDS = 131_072
-# Words are told apart by so many steps of their count for each doubling.
+HOT_WORDS = 262_144
+# A batch counts every word and hands on those that it has so often.
+LEAST_IN_BATCH = 3
+# Steps of counts for each doubling.
 _COUNT_STEPS = 4
 
 # The normaliser and the pre-tokeniser that this operator implements; others are refused.
@@ -123,52 +130,89 @@ def read_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def distinct_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, rows, ids): every distinct word of the texts, its count and its tokens; stored."""
-    shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
+def _word_counts(docs: DataFrame, shared) -> DataFrame:
+    """(word, rows): the words that some batch has often, with a lower bound of their counts; stored."""
+    least = LEAST_IN_BATCH
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = shared.value  # stays in the worker
-        words_of = kept.setdefault("splitter", Splitter(kept["vocabulary"]))
+        if "splitter" not in kept:
+            kept["splitter"] = Splitter(Vocabulary(kept["vocabulary"]))
+        words_of = kept["splitter"]
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0):
                 counts.update(words_of(text.as_py()))
+            often = [(w, n) for w, n in counts.items() if n >= least]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "rows"]
+                [pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())],
+                ["word", "rows"],
             )
 
-    def encode(words: pa.Array) -> pa.Array:
-        kept = shared.value  # stays in the worker
-        if "encoder" not in kept:
-            kept["encoder"] = kept["vocabulary"].encoder()
-        return pa.array([kept["encoder"](w) for w in words.to_pylist()], pa.list_(pa.int32()))
+    counted = docs.select("text").mapInArrow(count, "word string, rows long")
+    return written(counted.groupBy("word").agg(F.sum("rows").alias("rows")), "word-counts")
 
-    counted = docs.select("text").mapInArrow(count, "word string, rows long").groupBy("word").agg(
-        F.sum("rows").alias("rows")
-    )
-    return written(counted.withColumn("ids", F.arrow_udf(encode, "array<int>")("word")), "words")
 
+def encoded_words(words: DataFrame, shared) -> DataFrame:
+    """(word, ids) of distinct words."""
+
+    def encode(found: pa.Array) -> pa.Array:
+        kept = shared.value  # stays in the worker
+        if "encoder" not in kept:
+            kept["encoder"] = Vocabulary(kept["vocabulary"]).encoder()
+        return pa.array([kept["encoder"](w) for w in found.to_pylist()], pa.list_(pa.int32()))
 
-def _with_step(words: DataFrame) -> DataFrame:
-    return words.withColumn("step", F.floor(F.log2("rows") * _COUNT_STEPS).cast("int"))
+    return words.withColumn("ids", F.arrow_udf(encode, "array<int>")("word"))
 
 
-def hot_words(words: DataFrame, most: int) -> tuple[int, list[tuple[str, list[int]]]]:
-    """The step of counts from which on words are hot, and these words, the most frequent first.
+def hot_words(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``.
 
-    The steps are few, so their histogram is small; whole steps are taken while they fit.
+    Counts are told apart by steps, ``_COUNT_STEPS`` for each doubling; their histogram is small, and
+    whole steps are taken while they fit.
     """
+    stepped = words.withColumn("step", F.floor(F.log2("rows") * _COUNT_STEPS).cast("int"))
     taken, first = 0, 1 << 30
-    histogram = _with_step(words).groupBy("step").count().collect()
-    for row in sorted(histogram, key=lambda r: -r["step"]):
+    for row in sorted(stepped.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         taken += row["count"]
         if taken > most:
             break
         first = row["step"]
-    hot = _with_step(words).where(F.col("step") >= first).select("word", "rows", "ids").toArrow()
-    found = sorted(zip(*(hot[c].to_pylist() for c in ("word", "rows", "ids")), strict=True), key=lambda w: (-w[1], w[0]))
-    return first, [(word, ids) for word, _, ids in found]
+    return stepped.where(F.col("step") >= first).drop("step")
+
+
+class Numbers(dict):
+    """Numbers of the hot words; 0 for any other."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
+def _squeezed(data: bytes, strategy: int = zlib.Z_HUFFMAN_ONLY) -> bytes:
+    squeezer = zlib.compressobj(1, zlib.DEFLATED, -15, 9, strategy)
+    return squeezer.compress(data) + squeezer.flush()
+
+
+def packed(numbers: np.ndarray, gaps: list[str]) -> bytes:
+    """Numbers below 2 ** 24, byte plane by byte plane, and the words of the gaps, which hold no space."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    parts = [_squeezed(p.tobytes()) for p in planes] + [_squeezed("\n".join(gaps).encode(), zlib.Z_DEFAULT_STRATEGY)]
+    return struct.pack("<4I", *map(len, parts)) + b"".join(parts)
+
+
+def _parts(data: bytes, wanted: range) -> list[bytes]:
+    ends = np.cumsum([16, *struct.unpack("<4I", data[:16])]).tolist()
+    return [zlib.decompress(data[ends[i] : ends[i + 1]], -15) for i in wanted]
+
+
+def packed_numbers(data: bytes) -> np.ndarray:
+    low, middle, high = (np.frombuffer(p, dtype=np.uint8).astype(np.int64) for p in _parts(data, range(3)))
+    return low + (middle << 8) + (high << 16)
+
+
+def packed_gaps(data: bytes) -> list[str]:
+    words = _parts(data, range(3, 4))[0].decode()
+    return words.split("\n") if words else []
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
@@ -177,82 +221,84 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
     Null and empty texts have no tokens. Rows repeated in full are encoded alike. Only ``doc_id`` and
     ``text`` are read, so other columns cannot clash; an empty table gives no rows.
     """
-    words = distinct_words(docs, vocabulary)
-    first_step, frequent = hot_words(words, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(
+    context = docs.sparkSession.sparkContext
+    library = context.broadcast({"vocabulary": vocabulary.text})
+    frequent = encoded_words(hot_words(_word_counts(docs, library), min(hot, HOT_WORDS)), library).toArrow()
+    order = np.lexsort((frequent["word"].to_numpy(), -frequent["rows"].to_numpy()))
+    words, ids = frequent["word"].take(order).to_pylist(), frequent["ids"].take(order).to_pylist()
+    shared = context.broadcast(
         {
-            "vocabulary": vocabulary,
-            "words": [w for w, _ in frequent],
+            "vocabulary": vocabulary.text,
+            "words": words,
             # Number 0 is the gap.
-            "starts": np.concatenate(([0, 0], np.cumsum([len(i) for _, i in frequent], dtype=np.int64))),
-            "ids": np.array([i for _, ids in frequent for i in ids], dtype=np.int32),
+            "starts": np.concatenate(([0, 0], np.cumsum([len(i) for i in ids], dtype=np.int64))).astype(np.int64),
+            "ids": np.array([i for word in ids for i in word], dtype=np.int32),
         }
     )
 
     def number(texts: pa.Array) -> pa.Array:
         kept = shared.value  # stays in the worker
         if "numbers" not in kept:
-            kept["numbers"] = {w: i + 1 for i, w in enumerate(kept["words"])}
-            kept["splitter"] = Splitter(kept["vocabulary"])
-        get, words_of = kept["numbers"].get, kept["splitter"]
-        sequences, gaps = [], []
+            kept["numbers"] = Numbers(zip(kept["words"], range(1, len(kept["words"]) + 1), strict=True))
+            kept["splitter"] = Splitter(Vocabulary(kept["vocabulary"]))
+        number_of, words_of, out = kept["numbers"].__getitem__, kept["splitter"], []
         for text in texts:
             found = words_of(text.as_py())
-            sequence = np.fromiter((get(w, 0) for w in found), dtype="<u4", count=len(found))
-            sequences.append(zlib.compress(sequence.tobytes(), 1))
-            gaps.append([found[i] for i in np.flatnonzero(sequence == 0)])
-        return pa.StructArray.from_arrays(
-            [pa.array(sequences, pa.binary()), pa.array(gaps, pa.list_(pa.string()))], ["sequence", "gaps"]
-        )
+            numbers = np.fromiter(map(number_of, found), dtype="<u4", count=len(found))
+            out.append(packed(numbers, [found[i] for i in np.flatnonzero(numbers == 0)]))
+        return pa.array(out, pa.binary())
+
+    def gaps_of(sequences: pa.Array) -> pa.Array:
+        return pa.array([packed_gaps(s) for s in sequences.to_pylist()], pa.list_(pa.string()))
 
     def assemble(sequences: pa.Array, filled: pa.Array) -> pa.Array:
-        kept = shared.value
-        starts, base = kept["starts"], kept["ids"]
+        starts, base = shared.value["starts"], shared.value["ids"]
         lengths = np.diff(starts, append=len(base))
         lengths[0] = 0
         out = []
         for sequence, gaps in zip(sequences, filled.to_pylist(), strict=True):
-            numbers = np.frombuffer(zlib.decompress(sequence.as_py()), dtype="<u4")
-            begin, count, source = starts[numbers], lengths[numbers], base
+            numbers = packed_numbers(sequence.as_py())
+            begin, count = starts[numbers], lengths[numbers]
+            own = np.zeros(0, dtype=np.int32)
             if gaps:
                 # A place may come more than once where the row itself is repeated.
                 by_place = {g["place"]: g["ids"] for g in gaps}
-                ids = [by_place[p] for p in range(len(by_place))]
-                at, sizes = np.flatnonzero(numbers == 0), np.array([len(i) for i in ids], dtype=np.int64)
+                found = [by_place[p] for p in range(len(by_place))]
+                at, sizes = np.flatnonzero(numbers == 0), np.array([len(i) for i in found], dtype=np.int64)
                 begin[at] = len(base) + np.cumsum(sizes) - sizes
                 count[at] = sizes
-                own = np.array([i for x in ids for i in x], dtype=np.int32)
+                own = np.array([i for word in found for i in word], dtype=np.int32)
             ends = np.cumsum(count)
             total = int(ends[-1]) if len(ends) else 0
             places = np.repeat(begin - (ends - count), count) + np.arange(total)
-            if gaps:
-                inside = places < len(base)
-                tokens = np.empty(total, dtype=np.int32)
-                tokens[inside] = source[places[inside]]
-                tokens[~inside] = own[places[~inside] - len(base)]
-            else:
-                tokens = source[places]
+            tokens = np.empty(total, dtype=np.int32)
+            inside = places < len(base)
+            tokens[inside] = base[places[inside]]
+            tokens[~inside] = own[places[~inside] - len(base)]
             out.append(tokens)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in out]))).astype(np.int32)
         values = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
+    # The key only has to tell texts apart, so a null id may share its number with another; that it is
+    # null is noted behind the sequence. Both readers of the dealt sequences need all their columns, so
+    # they read one shuffle and the texts are split once.
+    key = ["key_id", "key_text"]
+    no_id = F.when(F.col("doc_id").isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
     numbered = docs.select(
-        "doc_id", text_key().alias("text_key"),
-        F.arrow_udf(number, "sequence binary, gaps array<string>")("text").alias("found"),
+        F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key().alias("key_text"),
+        F.concat(F.arrow_udf(number, "binary")("text"), no_id).alias("sequence"),
+    ).repartition(*key)
+    gaps = numbered.select(
+        *key, F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word")
     )
-    key = ["doc_id", "text_key"]
-    rare = _with_step(words).where(F.col("step") < first_step).select("word", "ids")
-    gaps = numbered.where(F.size("found.gaps") > 0).select(*key, F.posexplode("found.gaps").alias("place", "word"))
-    filled = gaps.join(rare, "word").groupBy(*key).agg(
+    table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library).drop("rows")
+    filled = gaps.join(table, "word").groupBy(*key).agg(
         F.collect_set(F.struct("place", "ids")).alias("filled")  # one text's words, which was one row before
     )
-    named = filled.select(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text"), "filled")
-    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_key") == F.col("key_text"))
-    joined = numbered.select(*key, F.col("found.sequence").alias("sequence")).join(
-        named.hint("shuffle_hash"), same, "left"
-    )
-    return joined.select("doc_id", F.arrow_udf(assemble, "array<int>")("sequence", "filled").alias("ids"))
+    joined = numbered.join(filled.hint("shuffle_hash"), key, "left")
+    doc_id = F.when(F.substring("sequence", -1, 1) == F.lit(b"\x00"), F.col("key_id"))
+    return joined.select(doc_id.alias("doc_id"), F.arrow_udf(assemble, "array<int>")("sequence", "filled").alias("ids"))
 
 
 def decoded(spark: SparkSession, vocabulary: Vocabulary, ids: str = "ids") -> Column:
