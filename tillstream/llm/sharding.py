@@ -1,7 +1,7 @@
 """Shards that all hold the mixture of sources: proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash and ranked inside their source; a rank becomes a fraction of its
-source's rows, all rows are put in the order of their fractions, and that order is cut into equal
+Rows are shuffled by a seeded hash and ranked inside their source; a rank, plus the source's own seeded
+part of one, becomes a fraction of its source's rows, all rows are put in the order of their fractions, and that order is cut into equal
 runs. Every stretch of it holds the sources in proportion, so every shard does.
 
 Both orders are range sorts of slim rows over all tasks, numbered by the counts of their partitions,
@@ -41,7 +41,9 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -
 
     inside = written(dense_key(slim, ["source", *total_order], "number"), "ranked")
     sources = inside.groupBy("source").agg(F.count("*").alias("rows"), F.min("number").alias("first"))
-    fraction = (F.col("number") - F.col("first") + F.lit(0.5)) / F.col("rows")
+    # Each source starts at a place of its own, or all sources of one row would meet in the middle.
+    begin = (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    fraction = (F.col("number") - F.col("first") + begin) / F.col("rows")
     spread = inside.join(sources, "source").withColumn("fraction", fraction).drop("rows", "first", "number")
     placed = dense_key(spread, ["fraction", "source", *total_order], "number")
 
