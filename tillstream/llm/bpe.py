@@ -35,7 +35,7 @@ from tillstream.llm.common import text_key
 from tillstream.session import written
 
 # At most so many words are broadcast with their ids.
-HOT_WORDS = 262_144
+HOT_WORDS = 524_288
 # A batch counts every word and hands on those that it has so often.
 LEAST_IN_BATCH = 3
 # Steps of counts for each doubling.
@@ -153,16 +153,17 @@ def _word_counts(docs: DataFrame, shared) -> DataFrame:
     return written(counted.groupBy("word").agg(F.sum("rows").alias("rows")), "word-counts")
 
 
-def encoded_words(words: DataFrame, shared) -> DataFrame:
-    """(word, ids) of distinct words."""
+def encoded_words(words: DataFrame, shared, kind: str) -> DataFrame:
+    """(word, ids) of distinct words, a word's ids as bytes of numbers of the ``kind``."""
 
     def encode(found: pa.Array) -> pa.Array:
         kept = shared.value  # stays in the worker
         if "encoder" not in kept:
             kept["encoder"] = Vocabulary(kept["vocabulary"]).encoder()
-        return pa.array([kept["encoder"](w) for w in found.to_pylist()], pa.list_(pa.int32()))
+        encoder = kept["encoder"]
+        return pa.array([np.array(encoder(w), dtype=kind).tobytes() for w in found.to_pylist()], pa.binary())
 
-    return words.withColumn("ids", F.arrow_udf(encode, "array<int>")("word"))
+    return words.withColumn("ids", F.arrow_udf(encode, "binary")("word"))
 
 
 def hot_words(words: DataFrame, most: int) -> DataFrame:
@@ -223,7 +224,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
     """
     context = docs.sparkSession.sparkContext
     library = context.broadcast({"vocabulary": vocabulary.text})
-    frequent = encoded_words(hot_words(_word_counts(docs, library), min(hot, HOT_WORDS)), library).toArrow()
+    kind = "<u2" if max(vocabulary.pieces) < 1 << 16 else "<u4"
+    width = np.dtype(kind).itemsize
+    frequent = encoded_words(hot_words(_word_counts(docs, library), min(hot, HOT_WORDS)), library, kind).toArrow()
     order = np.lexsort((frequent["word"].to_numpy(), -frequent["rows"].to_numpy()))
     words, ids = frequent["word"].take(order).to_pylist(), frequent["ids"].take(order).to_pylist()
     shared = context.broadcast(
@@ -231,15 +234,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
             "vocabulary": vocabulary.text,
             "words": words,
             # Number 0 is the gap.
-            "starts": np.concatenate(([0, 0], np.cumsum([len(i) for i in ids], dtype=np.int64))).astype(np.int64),
-            "ids": np.array([i for word in ids for i in word], dtype=np.int32),
+            "starts": np.concatenate(([0, 0], np.cumsum([len(i) // width for i in ids], dtype=np.int64))).astype(np.int64),
+            "ids": np.frombuffer(b"".join(ids), dtype=kind).astype(np.int32),
         }
     )
 
     def number(texts: pa.Array) -> pa.Array:
         kept = shared.value  # stays in the worker
         if "numbers" not in kept:
-            kept["numbers"] = Numbers(zip(kept["words"], range(1, len(kept["words"]) + 1), strict=True))
+            words = kept.pop("words")
+            kept["numbers"] = Numbers(zip(words, range(1, len(words) + 1), strict=True))
             kept["splitter"] = Splitter(Vocabulary(kept["vocabulary"]))
         number_of, words_of, out = kept["numbers"].__getitem__, kept["splitter"], []
         for text in texts:
@@ -264,10 +268,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
                 # A place may come more than once where the row itself is repeated.
                 by_place = {g["place"]: g["ids"] for g in gaps}
                 found = [by_place[p] for p in range(len(by_place))]
-                at, sizes = np.flatnonzero(numbers == 0), np.array([len(i) for i in found], dtype=np.int64)
+                at, sizes = np.flatnonzero(numbers == 0), np.array([len(i) // width for i in found], dtype=np.int64)
                 begin[at] = len(base) + np.cumsum(sizes) - sizes
                 count[at] = sizes
-                own = np.array([i for word in found for i in word], dtype=np.int32)
+                own = np.frombuffer(b"".join(found), dtype=kind).astype(np.int32)
             ends = np.cumsum(count)
             total = int(ends[-1]) if len(ends) else 0
             places = np.repeat(begin - (ends - count), count) + np.arange(total)
@@ -292,7 +296,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
     gaps = numbered.select(
         *key, F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word")
     )
-    table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library).drop("rows")
+    table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library, kind).drop("rows")
     filled = gaps.join(table, "word").groupBy(*key).agg(
         F.collect_set(F.struct("place", "ids")).alias("filled")  # one text's words, which was one row before
     )
