@@ -297,7 +297,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
         *key, F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word")
     )
     table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library, kind).drop("rows")
-    filled = gaps.join(table, "word").groupBy(*key).agg(
+    # Dealt out as plain rows: a text's words lie in as many tasks, so lists made there are longer.
+    filled = gaps.join(table, "word").select(*key, "place", "ids").repartition(*key).groupBy(*key).agg(
         F.collect_set(F.struct("place", "ids")).alias("filled")  # one text's words, which was one row before
     )
     joined = numbered.join(filled.hint("shuffle_hash"), key, "left")
