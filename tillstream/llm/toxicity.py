@@ -15,7 +15,6 @@ Arrow batches and shuffles nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,41 +62,57 @@ def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def sentences_of(text: str) -> list[list[str]]:
-    """The words of each sentence that has any, in lower case."""
-    found, current = [], []
-    for token in TOKENS.findall(text.lower()):
-        if token in _ENDS:
-            if current:
-                found.append(current)
-                current = []
-        else:
-            current.append(token)
-    if current:
-        found.append(current)
-    return found
-
-
-def selected(bags: list[list[list[str]]], labels: np.ndarray) -> list[str]:
-    """Features whose share of documents differs between the labels beyond chance."""
-    spread = [Counter(), Counter()]
-    for bag, label in zip(bags, labels, strict=True):
-        words = {w for s in bag for w in s}
-        for n in PREFIXES:
-            spread[int(label)].update({"^" + w[:n] for w in words if len(w) >= n})
-        spread[int(label)].update(words)
+def numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """The distinct words, and per text the numbers of its words and of their sentences.
+
+    Texts are taken one at a time, so no more than one is held as strings.
+    """
+    numbers: dict[str, int] = {}
+    words, sentences = [], []
+    for text in texts:
+        found, places, place, begun = [], [], 0, False
+        for token in TOKENS.findall(text.lower()):
+            if token in _ENDS:
+                place, begun = place + begun, False
+            else:
+                found.append(numbers.setdefault(token, len(numbers)))
+                places.append(place)
+                begun = True
+        words.append(np.array(found, dtype=np.int32))
+        sentences.append(np.array(places, dtype=np.int32))
+    return list(numbers), words, sentences
+
+
+def _lists(starts: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists that ``rows`` name, one after the other, and the length of each."""
+    lengths = starts[rows + 1] - starts[rows]
+    offset = np.repeat(starts[rows] - (np.cumsum(lengths) - lengths), lengths)
+    return values[offset + np.arange(len(offset))], lengths
+
+
+def selected(words: list[str], documents: list[np.ndarray], labels: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Features whose share of documents differs between the labels beyond chance, and the lists of
+    them that each word has (starts, values)."""
+    known: dict[str, int] = {}
+    lists = [[known.setdefault(f, len(known)) for f in features_of(w)] for w in words]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    values = np.array([f for x in lists for f in x], dtype=np.int64)
+    spread = np.zeros((2, len(known)))
+    for document, label in zip(documents, labels, strict=True):
+        spread[int(label), np.unique(_lists(starts, values, np.unique(document))[0])] += 1
+    clean, toxic = spread
     sizes = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    scored = []
-    for feature in spread[0] | spread[1]:
-        clean, toxic = spread[0][feature], spread[1][feature]
-        if clean + toxic < LEAST_DOCUMENTS:
-            continue
-        pooled = (clean + toxic + 1) / (sizes[0] + sizes[1] + 2)
-        error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
-        contrast = abs(toxic / sizes[1] - clean / sizes[0]) / error
-        if contrast >= LEAST_CONTRAST:
-            scored.append((-contrast, feature))
-    return [feature for _, feature in sorted(scored)[:MOST_FEATURES]]
+    pooled = (clean + toxic + 1) / (sizes[0] + sizes[1] + 2)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
+    contrast = np.abs(toxic / sizes[1] - clean / sizes[0]) / error
+    wanted = np.flatnonzero((clean + toxic >= LEAST_DOCUMENTS) & (contrast >= LEAST_CONTRAST))
+    names = list(known)
+    chosen = sorted(wanted.tolist(), key=lambda f: (-contrast[f], names[f]))[:MOST_FEATURES]
+    place = np.full(len(names), -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    kept = place[values] >= 0
+    counts = np.concatenate(([0], np.cumsum(kept)))
+    return [names[f] for f in chosen], counts[starts], place[values][kept]
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -114,26 +129,18 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     Without both labels in the sample every document scores the share of label 1 (0 for no rows).
     """
     labels = np.asarray(labels, dtype=np.float64)
-    bags = [sentences_of(t) for t in texts]
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel({}, 40.0 if len(labels) and labels[0] else -40.0)
-    chosen = selected(bags, labels)
-    number = {f: i for i, f in enumerate(chosen)}
-
-    known: dict[str, list[int]] = {}
-    sentence_doc, at_sentence, features = [], [], []
-    for doc, bag in enumerate(bags):
-        for sentence in bag:
-            for word in sentence:
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = [number[f] for f in features_of(word) if f in number]
-                for feature in found:
-                    at_sentence.append(len(sentence_doc))
-                    features.append(feature)
-            sentence_doc.append(doc)
-    sentence_doc, at_sentence, features = (np.array(x, dtype=np.int64) for x in (sentence_doc, at_sentence, features))
-    documents, sentences = len(bags), len(sentence_doc)
+    words, documents_words, places = numbered(texts)
+    chosen, starts, values = selected(words, documents_words, labels)
+    documents = len(documents_words)
+    sizes = np.array([int(p[-1]) + 1 if len(p) else 0 for p in places])
+    sentences = int(sizes.sum())
+    sentence_doc = np.repeat(np.arange(documents), sizes)
+    first = np.cumsum(sizes) - sizes
+    token_sentence = np.concatenate([p + f for p, f in zip(places, first, strict=True)])
+    features, lengths = _lists(starts, values, np.concatenate(documents_words))
+    at_sentence = np.repeat(token_sentence, lengths)
 
     weights, bias = np.zeros(len(chosen)), -4.0
     state = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
