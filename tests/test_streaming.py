@@ -15,7 +15,7 @@ from tillstream.session import new_folder
 from tillstream.sources.events import distinct_events, parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
 from tillstream.streaming import live
-from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start
+from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start, late_totals
 from tillstream.streaming.live import drain
 
 
@@ -177,6 +177,49 @@ def test_a_late_event_is_corrected_from_the_hot_table(spark, store, tmp_path):
     assert store.days().read().count() == len(DAYS) - 1
 
 
+def test_late_events_and_late_days_reach_all_readers_and_forecasts(spark, store, tmp_path):
+    folder, later = feed(tmp_path / "in"), tmp_path / "later"
+    os.makedirs(later)
+    os.rename(os.path.join(folder, f"{DAYS[2]}.json"), later / "day.json")  # comes late as a whole
+    os.rename(os.path.join(folder, f"{DAYS[5]}.json"), later / "last.json")
+    history = spark.createDataFrame(
+        [(date(2019, 9, 1) + timedelta(days=i), 50.0 + i % 7, 10 + i % 7, 5) for i in range(122)],
+        "ds date, y double, units long, orders long",
+    )
+    model = fit_forecaster(history.withColumn("series", F.lit(TOTAL)))
+
+    def run():
+        events = read_event_files(spark, folder, 1)
+        drain(live.close_days(events, store.closed_path, store.checkpoint("c"), once=True))
+        drain(forecast_on_day_start(events, store, history, model, once=True))
+
+    def read(days):
+        return {str(d): v for d, v in values(days, "simulated_day", "actual_revenue")}
+
+    take_in(spark, store, folder)
+    run()
+    assert sorted(read(store.days().read())) == [DAYS[0], DAYS[1], DAYS[3]]
+    os.rename(later / "day.json", os.path.join(folder, "late-day.json"))
+    with open(os.path.join(folder, "late.json"), "w") as f:
+        f.write(json.dumps(event(DAYS[0], 20, revenue=1000.0)) + "\n")
+    os.rename(later / "last.json", os.path.join(folder, "last.json"))
+    hot = take_in(spark, store, folder)
+    run()
+    closed = spark.read.schema(live.DAY_SCHEMA).parquet(store.closed_path)
+    assert sorted(read(closed)) == [DAYS[0], DAYS[1], DAYS[3], DAYS[4]] and read(closed)[DAYS[0]] == 56.25
+    right = read(live.day_totals(hot))
+    assert right[DAYS[0]] == 1056.25 and read(live_plans.current_days(closed, hot)) == right
+    stored = store.days().read()
+    assert read(stored) == {day: right[day] for day in DAYS[:5]}
+    assert stored.exceptAll(live.day_totals(hot)).isEmpty()
+
+
+def test_a_hot_table_that_is_behind_lowers_no_stored_day(spark, store, tmp_path):
+    hot = take_in(spark, store, feed(tmp_path / "in"))
+    days = live.day_totals(hot).where(F.col("simulated_day") < DAYS[4])
+    assert late_totals(days, hot.where("row_in_day > 2")).isEmpty()
+
+
 def test_recent_list_and_progress(spark, store, tmp_path):
     folder = feed(tmp_path / "in")
     drain(live.recent_ring(read_event_files(spark, folder, 1), store.recent(), store.checkpoint("r"), 12, True))

@@ -153,7 +153,9 @@ def closing_days(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     The first aggregation keeps a row per invoice of the open days, the second counts these rows, so
     ``orders`` is exact. An event whose time does not parse counts at the start of its day. One that
-    comes after its day closed changes no total here; ``correct_days`` brings it in.
+    comes after its day closed changes no total here, nor in the file of ``close_days``:
+    ``forecast_on_day_start`` and ``correct_days`` bring it into the stored days, ``current_days`` of
+    the plans into what is read.
     """
     _in_utc(events)
     at = F.coalesce("invoice_date", F.col("simulated_day").cast("timestamp"))
@@ -191,15 +193,34 @@ def day_totals(hot: DataFrame) -> DataFrame:
     )
 
 
+def miscounted_days(closed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(sale_month, simulated_day) of the days of the hot table that ``closed`` lacks, or of which it
+    counted another number of events. A day stored without a count stays as it is.
+
+    Of the hot table only the days are read.
+    """
+    stored = closed.select(
+        "simulated_day", F.col("num_events").alias("stored_events"), F.lit(True).alias("is_stored")
+    )
+    counts = hot.groupBy("sale_month", "simulated_day").agg(F.count("*").alias("found_events"))
+    differs = F.col("is_stored").isNull() | (F.col("found_events") != F.col("stored_events"))
+    return counts.join(F.broadcast(stored), "simulated_day", "left").where(differs).select("sale_month", "simulated_day")
+
+
+def events_of_days(hot: DataFrame, days: DataFrame) -> DataFrame:
+    """The events of the days that ``miscounted_days`` names; other months are not read."""
+    return hot.join(F.broadcast(days), ["sale_month", "simulated_day"], "left_semi")
+
+
 def corrected_days(closed: DataFrame, hot: DataFrame) -> DataFrame:
-    """The closed days whose stored totals miss late events, with the totals of the hot table."""
-    stored = closed.select("simulated_day", F.col("num_events").alias("stored_events"))
-    found = day_totals(hot).join(stored, "simulated_day")
-    return found.where(F.col("num_events") != F.col("stored_events")).drop("stored_events")
+    """The days up to the newest closed one whose stored totals miss late events, and those whose
+    events all came late, with the totals of the hot table."""
+    newest = closed.agg(F.max("simulated_day")).scalar()
+    return day_totals(events_of_days(hot, miscounted_days(closed, hot.where(F.col("simulated_day") <= newest))))
 
 
 def correct_days(table: KeyedTable, hot: DataFrame) -> None:
-    """Bring late events into the stored totals of closed days."""
+    """Bring late events, and days that came late as a whole, into the stored totals of closed days."""
     table.write(corrected_days(table.read(), hot))
 
 
