@@ -54,6 +54,18 @@ def test_awkward_rows(spark):
     assert kept.schema == inputs.documents(spark, []).schema
 
 
+def test_items_without_an_id_contaminate(spark):
+    rows = [(None, PASSAGE), (None, "no id"), (None, "another one"), (3, "short item")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [(1, f"x {PASSAGE} y"), (2, "there is no id, a short item"), (3, "not another 1"), (4, "another ONE")]
+    docs = inputs.documents(spark, [(i, t, None, None) for i, t in texts])
+    n = [len(words(t)) for _, t in texts]
+    want = [(1, n[0], n[0] - 2, []), (2, n[1], 4, ["3"]), (3, n[2], 0, []), (4, n[3], 2, [])]
+    for most in (16_000_000, 30):
+        assert found(benchmark_hits(docs, benchmark, max_bytes=most)) == want
+        assert [r["doc_id"] for r in drop_contaminated(docs, benchmark, max_bytes=most).collect()] == [3]
+
+
 def test_spans_are_places_in_the_original(spark):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     for row in benchmark_hits(inputs.documents(spark, DOCS[:5]), benchmark).collect():

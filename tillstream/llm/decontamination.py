@@ -43,13 +43,15 @@ FOUND_TYPE = (
 )
 
 
-def windows_of(items: list[tuple[str, str | None]], size: int) -> dict[bytes, list[str]]:
-    """Window to the ids of the items that have it."""
+def windows_of(items: list[tuple[str | None, str | None]], size: int) -> dict[bytes, list[str]]:
+    """Window to the ids of the items that have it; an item without an id adds its windows alone."""
     found: dict[bytes, set[str]] = defaultdict(set)
     for item, text in items:
         words = (text or "").encode().translate(WORD_BYTES).split()
         for start in range(max(1, len(words) - size + 1) if words else 0):
-            found[b" ".join(words[start : start + size])].add(item)
+            ids = found[b" ".join(words[start : start + size])]
+            if item is not None:
+                ids.add(item)
     return {window: sorted(ids) for window, ids in found.items()}
 
 
@@ -115,19 +117,18 @@ def scan(raw: bytes, matcher, before: dict | None = None) -> dict:
     }
 
 
-def _benchmark_groups(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _benchmark_groups(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in groups of about ``max_bytes`` of text, fetched one group at a time."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-size // max_bytes))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
-    )
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
+    dealt = F.pmod(F.xxhash64("item", "text"), F.lit(groups))  # by the text too: many items may lack an id
     for group in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == group) if groups > 1 else items
+        part = items.where(dealt == group) if groups > 1 else items
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def _scanner(spark, items: list[tuple[str, str | None]], size: int, carries: bool):
+def _scanner(spark, items: list[tuple[str | None, str | None]], size: int, carries: bool):
     """A column function over the text, and over the earlier result where ``carries`` is set."""
     shared = spark.sparkContext.broadcast({"windows": windows_of(items, size)})
 
@@ -160,7 +161,8 @@ def benchmark_hits(
 
     ``spans`` are the stretches of hit words with their character places in the original text;
     ``items`` the ids, sorted as text, of the items with occurring windows. A null or empty text has
-    no words. Repeated items or rows and an empty benchmark are fine; other columns are not read.
+    no words. An item without an id counts in ``n_hit`` and ``spans`` and is not in ``items``. Repeated
+    items or rows and an empty benchmark are fine; other columns are not read.
     """
     rows = docs.select("doc_id", "text")
     for number, items in enumerate(_benchmark_groups(benchmark, max_bytes)):
@@ -176,7 +178,10 @@ def benchmark_hits(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, max_bytes: int = MAX_BENCHMARK_BYTES
 ) -> DataFrame:
-    """The rows of ``docs`` without a hit word, with their own columns; nothing is shuffled."""
+    """The rows of ``docs`` without a hit word, with their own columns; nothing is shuffled.
+
+    Items without an id count like all others.
+    """
     for items in _benchmark_groups(benchmark, max_bytes):
         docs = docs.where(_scanner(docs.sparkSession, items, size, False)("text")["n_hit"] == 0)
     return docs
