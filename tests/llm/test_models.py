@@ -126,6 +126,15 @@ def test_empty_tables(spark):
     assert language.languages(docs, language.trained(docs)).count() == 0
 
 
+def test_no_language_is_left_out_of_the_sample(spark):
+    ids = [i for i in range(4_000) if inputs.share(i, 3) != 1]
+    rows = [(i, f"text number {i}", f"l{place % 600}", "a") for place, i in enumerate(ids)]
+    docs = inputs.documents(spark, rows)
+    assert {r["lang"] for r in language.training_rows(docs).collect()} == {f"l{n}" for n in range(600)}
+    few = [r["lang"] for r in language.training_rows(docs, most=600).collect()]
+    assert len(set(few)) == 600 and len(few) < 0.7 * len(rows)
+
+
 def test_no_language_learnt():
     assert language.fit([], []).predict("some text") == ("und", 0.0)
 

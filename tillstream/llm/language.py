@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.llm.common import share_of
@@ -24,9 +24,10 @@ WINDOW = 256
 EMBEDDING = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
-# Bounds of the training sample: documents of each language, languages, windows of each document.
+# Bounds of the training sample: documents of each language and of all, windows of each document. Where
+# languages are so many that the second bound counts, each has an equal part of it, and one at least.
 SAMPLE_DOCUMENTS = 1_500
-MOST_LANGUAGES = 256
+ALL_DOCUMENTS = 384_000
 SAMPLE_WINDOWS = 3
 EPOCHS, BATCH, RATE = 3, 64, 4e-3
 # Windows scored at once: their activations stay in the processor's cache.
@@ -131,33 +132,37 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> LanguageModel:
     return LanguageModel(names, tables(), net["bias"], net["dense"], net["dense_bias"])
 
 
-def training_rows(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(text, lang): pieces of at most about ``documents`` documents of each language.
+def training_rows(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = ALL_DOCUMENTS) -> DataFrame:
+    """(text, lang): pieces of at most about ``documents`` documents of each language, ``most`` of all.
 
-    Documents are chosen by a hash of their id, at a rate that depends on the language's count; of a
+    Documents are chosen by a hash of their id, at a rate that depends on the language's count; the
+    one with the smallest hash of a language is always chosen, so no language is left out. Of a
     chosen document three pieces of a window's length are taken: first, middle and last.
     """
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     usable = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (share_of(F.col("doc_id"), PARTS) != HELD_OUT)
-    ).select("doc_id", "lang", "text")
+    ).select("doc_id", "lang", "text", unit.alias("unit"))
+    share = F.lit(float(most)) / F.count("*").over(Window.partitionBy())  # sees a row per language
+    rate = F.least(F.lit(float(documents)), share) / F.col("rows")
     rates = (
-        usable.groupBy("lang").agg(F.count("*").alias("rows"))
-        .orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
-        .select(F.col("lang").alias("known"), (F.lit(float(documents)) / F.col("rows")).alias("rate"))
+        usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min("unit").alias("smallest"))
+        .select(F.col("lang").alias("known"), "smallest", rate.alias("rate"))
     )
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = usable.join(F.broadcast(rates), (F.col("lang") == F.col("known")) & (unit < F.col("rate")))
+    wanted = (F.col("unit") < F.col("rate")) | (F.col("unit") == F.col("smallest"))
+    chosen = usable.join(F.broadcast(rates), (F.col("lang") == F.col("known")) & wanted)
     length = F.length("text")
     starts = [F.lit(1), F.floor(length / 2).cast("int") + 1, F.greatest(F.lit(1), length - WINDOW + 1)]
     pieces = F.array_distinct(F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts[:SAMPLE_WINDOWS]]))
     return (
-        chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * documents * MOST_LANGUAGES)
+        chosen.orderBy(F.col("unit") > F.col("smallest"), F.xxhash64("doc_id"), "doc_id").limit(2 * most)
         .select("lang", F.explode(pieces).alias("text"))
     )
 
 
-def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LanguageModel:
-    rows = training_rows(docs, documents).toArrow()
+def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = ALL_DOCUMENTS) -> LanguageModel:
+    """The network of all values of lang outside the held-out share."""
+    rows = training_rows(docs, documents, most).toArrow()
     pairs = sorted(
         (t, x) for t, x in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True)
         if any(map(str.isalpha, t))
@@ -166,7 +171,8 @@ def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LanguageModel
 
 
 def predictor(spark: SparkSession, model: LanguageModel, text: str = "text"):
-    """Column (lang_pred, score) of a text; the broadcast is the network, under 1 MB."""
+    """Column (lang_pred, score) of a text; the broadcast is the network, under 1 MB
+    for up to some thousand languages."""
     shared = spark.sparkContext.broadcast(
         (model.languages, model.tables, model.bias, model.dense, model.dense_bias)
     )
