@@ -45,6 +45,16 @@ def test_only_the_touched_region_is_encoded():
     assert after[1] == whole(new) and encoded <= 3 * counts.LEAF_TOKENS
 
 
+@pytest.mark.parametrize("use", [
+    lambda spark, p: counts.Counter(p, RANKS), lambda spark, p: counts.count_trees(spark, p, RANKS),
+    lambda spark, p: counts.recounted(spark, p, RANKS),
+])
+def test_a_pattern_that_looks_further_is_refused(spark, use):
+    with pytest.raises(ValueError):
+        use(spark, r"\s*[\r\n]+|" + public_tokenizers.PATTERN)
+    use(spark, public_tokenizers.PATTERN)
+
+
 def test_overlapping_edits():
     kept = counts.clean_edits([(5, 9, "b"), (2, 6, "a"), (9, 9, "c")], 12)
     assert kept == [(2, 6, "a"), (9, 9, "c")]

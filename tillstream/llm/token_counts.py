@@ -25,12 +25,21 @@ from pyspark.sql import functions as F
 
 LEAF_TOKENS = 32
 CONTEXT = 4
+# The patterns that are known to look at most CONTEXT characters past a pre-token.
+PATTERNS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
 # Counts of distinct pre-tokens that a worker remembers.
 REMEMBERED = 500_000
 
 Edit = tuple[int, int, str]
 
 
+def checked(pattern: str) -> str:
+    """The pattern; an edit would leave wrong boundaries standing under one that looks further ahead."""
+    if pattern not in PATTERNS:
+        raise ValueError(f"the pattern is not known to look at most {CONTEXT} characters ahead: {pattern}")
+    return pattern
+
+
 class Counter(dict):
     """Tokens of a pre-token, remembered; emptied when it has grown to a bound."""
 
@@ -38,7 +47,7 @@ class Counter(dict):
         super().__init__()
         import tiktoken
 
-        self.split = regex.compile(pattern)
+        self.split = regex.compile(checked(pattern))
         encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = encoding.encode_ordinary
 
@@ -167,9 +176,10 @@ def _kept_counter(shared) -> Counter:
 def count_trees(spark: SparkSession, pattern: str, ranks: dict[bytes, int], text: str = "text") -> Column:
     """Column (n_tokens, n_pieces, chars, tree) of a text; null counts as empty.
 
-    Store it beside the text: ``recounted`` needs both. The broadcast is the vocabulary.
+    Store it beside the text: ``recounted`` needs both. The broadcast is the vocabulary. A pattern that
+    is not in ``PATTERNS`` is refused, here and by the other functions.
     """
-    shared = spark.sparkContext.broadcast({"pattern": pattern, "ranks": ranks})
+    shared = spark.sparkContext.broadcast({"pattern": checked(pattern), "ranks": ranks})
 
     def of(texts: pa.Array) -> pa.Array:
         counter, out = _kept_counter(shared), []
@@ -192,7 +202,7 @@ def recounted(
     ``edits`` is an array of (start, end, put) in characters of the old text. Places outside it are
     cut to it, of overlapping edits the first counts, null edits and null parts of one change nothing.
     """
-    shared = spark.sparkContext.broadcast({"pattern": pattern, "ranks": ranks})
+    shared = spark.sparkContext.broadcast({"pattern": checked(pattern), "ranks": ranks})
     kind = pa.struct([("text", pa.string()), ("n_tokens", pa.int64()), ("n_encoded", pa.int64()),
                       ("chars", pa.list_(pa.int32())), ("tree", pa.list_(pa.int32()))])
 
