@@ -81,6 +81,17 @@ def test_constraints_hold_and_find_violations(spark):
     assert found["fact_sales", "reference", "product_key"] == 1
 
 
+def test_sales_without_date_or_product_are_found(spark):
+    made = star_of(spark, [sale("1"), sale("2", code="B"), sale("3")])
+    first, last = F.col("sale_id") == 1, F.col("sale_id") > 1
+    fact = made.fact_sales.withColumns({
+        "date_key": F.when(~first, F.col("date_key")), "product_key": F.when(~last, F.col("product_key")),
+    })
+    found = {(r["table_name"], r["rule"], r["columns"]): r["violations"]
+             for r in check_constraints(star.Star(**{**made.tables(), "fact_sales": fact})).collect()}
+    assert found["fact_sales", "not_null", "date_key"] == 1 and found["fact_sales", "not_null", "product_key"] == 2
+
+
 def test_dense_key_over_many_equal_rows(spark):
     """A third of the rows are copies of one; they spread over the tasks and get all numbers."""
     rows = spark.range(30_000).select(
