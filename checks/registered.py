@@ -590,6 +590,27 @@ def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("day", "actual", ordered.alias("in_order"))
 
 
+HISTORY_CUT_DAYS = 20
+
+
+def _t8_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last days as a feed and all days before them as history, with the values of the forecasts."""
+    store, folder = _new_store(spark), new_folder(spark, "feed")
+    days = _total(spark, sf_dir).select("ds", "y", "units", "orders")
+    cut = F.date_sub(F.lit(days.agg(F.max("ds")).first()[0]), HISTORY_CUT_DAYS)
+    messages = spark.read.text(feeds.event_dir(spark, sf_dir))
+    messages.where(F.to_date(F.get_json_object("value", "$.simulated_day")) >= cut).write.text(folder)
+    drain(
+        forecast_on_day_start(
+            read_event_files(spark, folder), store, days.where(F.col("ds") < cut), feeds.forecaster(spark, sf_dir),
+            once=True,
+        )
+    )
+    found = live.forecast_vs_actual(store.forecasts().read(), live.day_revenue(feeds.hot(spark, sf_dir)))
+    ordered = (F.col("lower_ci") <= F.col("predicted")) & (F.col("predicted") <= F.col("upper_ci"))
+    return found.select("day", "actual", "predicted", "lower_ci", "upper_ci", ordered.alias("in_order"))
+
+
 def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.warehouse_documents(feeds.star(spark, sf_dir)).select(
         "type", "text", F.to_json("metadata").alias("metadata")
@@ -668,6 +689,7 @@ FORECAST: dict[str, Query] = {
     "f11_evaluate_forecaster": _f11_model,
     "a3_forecast_report": _a3,
     "t8_forecast_on_day_start": _t8,
+    "t8_forecast_with_history": _t8_history,
 }
 
 TEXT: dict[str, Query] = {

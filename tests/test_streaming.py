@@ -8,14 +8,16 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from checks import feeds
+from checks.registered import QUERIES
 from tests.helpers import values
-from tillstream.operators.forecast import fit_forecaster
+from tillstream.operators.forecast import fit_forecaster, forecast, recent_mean, scale_correction
 from tillstream.plans import live as live_plans
 from tillstream.session import new_folder
 from tillstream.sources.events import distinct_events, parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
 from tillstream.streaming import live
-from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start, late_totals
+from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start, forecast_rows, late_totals
 from tillstream.streaming.live import drain
 
 
@@ -269,3 +271,18 @@ def test_a_forecast_for_each_day_that_opens(spark, store, tmp_path):
     assert score["days_streamed"] == 4 and score["mape"] < 50
     run(2)  # nothing new: the stored rows stay
     assert store.forecasts().read().exceptAll(made).isEmpty()
+
+
+def test_forecasts_with_history_are_those_of_a_batch(spark):
+    tables = "/root/testdata/sf0.001"
+    got = QUERIES["t8_forecast_with_history"](spark, tables).collect()
+    daily = feeds.daily_series(spark, tables).where(F.col("series") == TOTAL)
+    newest = daily.agg(F.max("ds")).first()[0]
+    origins = daily.where((F.col("ds") >= newest - timedelta(days=20)) & (F.col("ds") < newest)).select("series", "ds")
+    made = forecast(daily, feeds.forecaster(spark, tables), origins)
+    rows = forecast_rows(scale_correction(made, recent_mean(daily, origins)))
+    want = {str(r["simulated_day"]): r for r in rows.collect()}
+    assert want and sorted(r["day"] for r in got) == sorted(want) and all(r["in_order"] for r in got)
+    for r in got:
+        for name, value in (("predicted", "predicted_revenue"), ("lower_ci", "lower_ci"), ("upper_ci", "upper_ci")):
+            assert r[name] == pytest.approx(want[r["day"]][value], abs=0.011)
