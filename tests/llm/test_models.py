@@ -35,6 +35,22 @@ def test_toxicity_held_out(spark):
     assert np.mean(hits) > 0.7  # the sentence that it points out is the offending one
 
 
+def test_very_long_clean_texts_stay_below_the_limit(spark):
+    read = lambda name: spark.read.parquet(f"{LARGER}/{name}.parquet")
+    known = toxicity.WordScores(toxicity.trained(read("documents"), read("labels")))
+    truth = dict(inputs.columns("labels", "doc_id", "toxic", tables=LARGER))
+    texts = [(truth.get(i), t, *toxicity.score_text(t, known)) for i, t in sorted(
+        inputs.columns("documents", "doc_id", "text", tables=LARGER)) if inputs.share(i, toxicity.PARTS) == toxicity.HELD_OUT]
+    clean = [(t, len(each)) for label, t, score, each in texts if label == 0 and score < toxicity.THRESHOLD]
+    bad, each = next((t, each) for label, t, score, each in texts if label == 1 and each.max() > 3)
+    start, end, _ = toxicity.worst_sentence(bad, each)
+    for least in (10_000, 30_000):
+        long = ". ".join(t for t, _ in clean * -(-least // sum(n for _, n in clean)))
+        score, sentences = toxicity.score_text(long, known)
+        assert len(sentences) >= least and score < toxicity.THRESHOLD
+        assert toxicity.score_text(f"{long}. {bad[start:end]}", known)[0] >= toxicity.THRESHOLD
+
+
 def test_quality_held_out(spark):
     truth, score, _ = held_out(spark, "op4_quality", "quality")
     assert len(truth) > 50 and ((score >= 0.7) == (truth == 1)).mean() > 0.95
