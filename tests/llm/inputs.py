@@ -64,3 +64,8 @@ def share(doc_id, parts):
 def plain(text):
     """Text without the white space that exact dedup ignores."""
     return (text or "").translate({c: None for c in (32, 9, 10, 11, 12, 13)})
+
+
+def spaces_to_one(text):
+    """The text with each character of the normalised white space as a space."""
+    return "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text)

@@ -1,0 +1,68 @@
+import hashlib
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from checks.compare import connect, differences
+from tests.llm import inputs
+from tillstream.llm import fill_in_middle as fim
+from tillstream.llm.queries import ORACLE, QUERIES
+
+
+def plain(doc_id, text):
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * k : 8 * k + 8], 16) for k in range(4))
+    n = len(units)
+    low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = ("".join(units[a:b]) for a, b in ((0, low), (low, high), (high, n)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return doc_id, n, "plain", None, None, text, text
+    if h4 % 100 < 20:
+        return doc_id, n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}", text
+    return doc_id, n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}", text
+
+
+def check(spark, docs, rows):
+    found = fim.fill_in_middle(docs).withColumn("restored", fim.restored())
+    assert sorted(map(tuple, found.collect()), key=str) == sorted((plain(*r) for r in rows), key=str)
+
+
+def test_awkward_rows(spark):
+    rows = [*inputs.TEXTS, *[(i, t, "en", "a") for i, t in enumerate(("a<P>b", "<S>", "x <M", "<", "<P", "a<S", ">", "<<", "é", "\x00"), 30)]]
+    rows += [(i, "Ab1 <S <P> <M", "en", "a") for i in range(60, 64)] + [(i, f"ab<{i} <S <P <M é日😀{i}", "en", "a") for i in range(64, 200)]
+    check(spark, inputs.documents(spark, rows), [r[:2] for r in rows])
+
+
+def test_given_documents(spark):
+    check(spark, spark.read.parquet(f"{inputs.TABLES}/documents.parquet"), inputs.columns("documents", "doc_id", "text"))
+
+
+def test_given_tables_against_sql(spark):
+    con = connect(inputs.TABLES)
+    assert not differences(spark, QUERIES["op12_fill_in_middle"], ORACLE["op12_fill_in_middle"], con, inputs.TABLES)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aZ1 \n<é日😀́"), max_size=300))
+def test_units_are_those_of_the_pattern(text):
+    widths = fim.unit_widths(np.frombuffer(text.encode(), dtype=np.uint8))
+    assert widths.tolist() == [len(u) for u in re.findall("[A-Za-z]+|[^A-Za-z]", text)]
+
+
+def test_every_rank_is_reached_exactly():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 4, 5, 17, 1000):
+        widths = rng.integers(1, 20, n)
+        ends = np.concatenate(([0], np.cumsum(widths)))
+        for seed in range(4):
+            units = fim.SkipList(widths, np.random.default_rng(seed))
+            assert [units.chars_before(rank) for rank in range(n + 1)] == ends.tolist()
+            assert n < 100 or len(units.lanes) > 2
+
+
+def test_empty(spark):
+    assert fim.fill_in_middle(inputs.documents(spark, [])).count() == 0

@@ -62,3 +62,21 @@ def labelled_sample(
         found.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label")
     )
+
+
+# A group with more than one of so many rows is heavy: at most so many are broadcast.
+HEAVY_SHARE = 1024
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; rows of no group are left out.
+
+    ``groups`` is a stored table with a row per group: its ``key`` and the number of its rows, ``size``. Groups
+    with more than one row in ``HEAVY_SHARE`` meet their rows by a broadcast, of at most so many groups;
+    the others, none of them a hot key, as Spark decides.
+    """
+    total = groups.agg(F.sum(size)).scalar()
+    heavy = F.col(size) * HEAVY_SHARE > total
+    large = F.broadcast(written(groups.where(heavy), "heavy-groups"))
+    light = rows.join(large, key, "left_anti").join(groups.where(~heavy), key)
+    return rows.join(large, key).unionByName(light)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import bpe, language, quality, revisits, token_counts, toxicity
+from tillstream.llm import bpe, embedding, fill_in_middle, language, quality, revisits, token_counts, toxicity
 from tillstream.llm.common import share_of, table
 from tillstream.llm.decontamination import benchmark_hits
 from tillstream.llm.exact_dedup import exact_duplicates
+from tillstream.llm.filter_audit import filter_interactions
 from tillstream.llm.sharding import LAW, stratified_shards
 from tillstream.llm.simhash import near_duplicates
 
@@ -116,6 +117,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -127,6 +144,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLE = {
@@ -180,4 +200,104 @@ ORACLE = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
     """,
+    "op11_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+        ), read_texts AS (
+            SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                   min(doc_id) OVER (PARTITION BY text) AS first_id
+            FROM texts
+        ), failing AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN first_id < doc_id THEN 'E' ELSE '' END AS fails
+            FROM read_texts
+        ), marked AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels GROUP BY doc_id
+        ), groups AS (
+            SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+            FROM failing LEFT JOIN marked USING (doc_id) GROUP BY part, fails
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+        ), orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT filter_order, step, filter_order[step] AS f, left(filter_order, step - 1) AS earlier
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+        ), seen AS (
+            SELECT part, n, good, toxic, filter_order, step, f, contains(fails, f) AS failing, fails = f AS alone,
+                   fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AS gone
+            FROM groups, steps
+        ), counted AS (
+            SELECT part, filter_order, step, f,
+                   coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+                   coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant,
+                   coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+            FROM seen GROUP BY part, filter_order, step, f
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM counted
+    """,
+    "op12_fill_in_middle": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+            FROM documents
+        ), numbers AS (
+            SELECT *, len(units) AS n, [CAST('0x' || digest[8 * k + 1:8 * k + 8] AS BIGINT) FOR k IN [0, 1, 2, 3]] AS h FROM texts
+        ), cut AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers
+        ), parts AS (
+            SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+                   array_to_string(units[high + 1:], '') AS suffix
+            FROM cut
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
+    "op13_embedding_near_dedup": r"""
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                   embedding IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS compared
+            FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM (SELECT * FROM vectors WHERE compared) a JOIN (SELECT * FROM vectors WHERE compared) b
+            ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach AS (
+            SELECT vec_id, vec_id AS low FROM vectors
+            UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.vec_id
+        ), least AS (
+            SELECT vec_id, min(low) AS component_id FROM reach GROUP BY vec_id
+        ), degrees AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM vectors JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
+    """,
 }
