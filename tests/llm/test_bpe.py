@@ -40,6 +40,14 @@ def test_given_documents(spark, library):
     assert found(docs, hot=500) == by_library(library, inputs.columns("documents", "doc_id", "text"))
 
 
+def test_ids_of_other_types_and_blocks_that_end_early(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 40)
+    rows = [(f"d{i % 7}" if i % 5 else None, ["", "some words", "zxqv " * (i % 9), None][i % 4]) for i in range(40)]
+    docs = spark.createDataFrame(rows * 2, "doc_id string, text string")
+    assert found(docs, hot=1) == by_library(library, rows * 2)
+
+
 def test_every_character(library):
     vocabulary = bpe.read_vocabulary(PATH)
     split, encode = bpe.Splitter(vocabulary), vocabulary.encoder()

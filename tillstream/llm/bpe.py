@@ -5,12 +5,14 @@ A word's tokens do not depend on its neighbours, so each distinct word is encode
 1. Texts are split into words and counted in Arrow batches. A batch hands on the words that it has
    ``LEAST_IN_BATCH`` times, so the counts, too low by less than that per batch, shuffle little. The most
    frequent words, at most ``HOT_WORDS``, are the first part of the distinct-word table and broadcast.
-2. A text becomes the sequence of its hot words' numbers, with a gap for every other word. The
-   sequences are dealt out by text once; both steps below read that one shuffle.
+2. Texts are taken in blocks of ``BLOCK_TEXTS``. A block becomes one sequence of its hot words' numbers, with a
+   gap for every other word, packed as a whole. The blocks are dealt out once; both steps below read
+   that one shuffle.
 3. The gaps' words are dealt out by word. Their distinct ones are the second part of the table; the
-   gaps join it where they lie, and their tokens go back to their text by key and place. None of
+   gaps join it where they lie, and their tokens go back to their block by key and place. None of
    these words is frequent, so the join has no hot key.
-4. Decoding joins every id with its piece; the vocabulary is small and broadcast.
+4. Decoding joins every id with its piece: the vocabulary is small and broadcast as an array, and an id is the
+   piece's place in it, so this map-side join is a lookup by position.
 
 Which words are hot changes the path of a word, never its tokens.
 """
@@ -28,14 +30,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm.common import text_key
 from tillstream.session import written
 
 # At most so many words are broadcast with their ids.
 HOT_WORDS = 524_288
+# Texts of a block, and the characters at which a block ends before it has so many.
+BLOCK_TEXTS = 64
+BLOCK_CHARS = 1 << 20
 # A batch counts every word and hands on those that it has so often.
 LEAST_IN_BATCH = 3
 # Steps of counts for each doubling.
@@ -216,11 +221,23 @@ def packed_gaps(data: bytes) -> list[str]:
     return words.split("\n") if words else []
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places where the blocks of a batch begin and end; a long text ends its block."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    start = chars = 0
+    for at, length in enumerate(lengths, 1):
+        chars += length
+        if at - start == BLOCK_TEXTS or chars >= BLOCK_CHARS or at == len(lengths):
+            yield start, at
+            start, chars = at, 0
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
     """(doc_id, ids), one row per row of ``docs``: the tokens of every whole text.
 
-    Null and empty texts have no tokens. Rows repeated in full are encoded alike. Only ``doc_id`` and
-    ``text`` are read, so other columns cannot clash; an empty table gives no rows.
+    Null and empty texts have no tokens. Rows repeated in full are encoded alike. Ids may be of any type and
+    null. Only ``doc_id`` and ``text`` are read, so other columns cannot clash; an empty table gives no
+    rows. ``docs`` is read from storage, so that a task that runs again makes the same blocks.
     """
     context = docs.sparkSession.sparkContext
     library = context.broadcast({"vocabulary": vocabulary.text})
@@ -238,72 +255,86 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
             "ids": np.frombuffer(b"".join(ids), dtype=kind).astype(np.int32),
         }
     )
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def number(texts: pa.Array) -> pa.Array:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = shared.value  # stays in the worker
         if "numbers" not in kept:
             words = kept.pop("words")
             kept["numbers"] = Numbers(zip(words, range(1, len(words) + 1), strict=True))
             kept["splitter"] = Splitter(Vocabulary(kept["vocabulary"]))
-        number_of, words_of, out = kept["numbers"].__getitem__, kept["splitter"], []
-        for text in texts:
-            found = words_of(text.as_py())
-            numbers = np.fromiter(map(number_of, found), dtype="<u4", count=len(found))
-            out.append(packed(numbers, [found[i] for i in np.flatnonzero(numbers == 0)]))
-        return pa.array(out, pa.binary())
+        number_of, words_of = kept["numbers"].__getitem__, kept["splitter"]
+        block = TaskContext.get().partitionId() << 32  # the task's first number
+        for batch in batches:
+            doc_ids, texts = batch.columns
+            for start, end in _blocks(texts):
+                found, counts = [], []
+                for text in texts[start:end]:
+                    words = words_of(text.as_py())
+                    found += words
+                    counts.append(len(words))
+                numbers = np.fromiter(map(number_of, found), dtype="<u4", count=len(found))
+                sequence = packed(numbers, [found[i] for i in np.flatnonzero(numbers == 0)])
+                ends = pa.array([0, end - start], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int64()),
+                        pa.ListArray.from_arrays(ends, doc_ids[start:end]),
+                        pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())),
+                        pa.array([sequence], pa.binary()),
+                    ],
+                    ["block", "doc_ids", "counts", "sequence"],
+                )
+                block += 1
 
     def gaps_of(sequences: pa.Array) -> pa.Array:
         return pa.array([packed_gaps(s) for s in sequences.to_pylist()], pa.list_(pa.string()))
 
-    def assemble(sequences: pa.Array, filled: pa.Array) -> pa.Array:
+    def tokens_of(sequence: bytes, filled: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a block, and how many each of its words has."""
         starts, base = shared.value["starts"], shared.value["ids"]
         lengths = np.diff(starts, append=len(base))
         lengths[0] = 0
-        out = []
-        for sequence, gaps in zip(sequences, filled.to_pylist(), strict=True):
-            numbers = packed_numbers(sequence.as_py())
-            begin, count = starts[numbers], lengths[numbers]
-            own = np.zeros(0, dtype=np.int32)
-            if gaps:
-                # A place may come more than once where the row itself is repeated.
-                by_place = {g["place"]: g["ids"] for g in gaps}
-                found = [by_place[p] for p in range(len(by_place))]
-                at, sizes = np.flatnonzero(numbers == 0), np.array([len(i) // width for i in found], dtype=np.int64)
-                begin[at] = len(base) + np.cumsum(sizes) - sizes
-                count[at] = sizes
-                own = np.frombuffer(b"".join(found), dtype=kind).astype(np.int32)
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            places = np.repeat(begin - (ends - count), count) + np.arange(total)
-            tokens = np.empty(total, dtype=np.int32)
-            inside = places < len(base)
-            tokens[inside] = base[places[inside]]
-            tokens[~inside] = own[places[~inside] - len(base)]
-            out.append(tokens)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in out]))).astype(np.int32)
-        values = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-
-    # The key only has to tell texts apart, so a null id may share its number with another; that it is
-    # null is noted behind the sequence. Both readers of the dealt sequences need all their columns, so
-    # they read one shuffle and the texts are split once.
-    key = ["key_id", "key_text"]
-    no_id = F.when(F.col("doc_id").isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
-    numbered = docs.select(
-        F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key().alias("key_text"),
-        F.concat(F.arrow_udf(number, "binary")("text"), no_id).alias("sequence"),
-    ).repartition(*key)
-    gaps = numbered.select(
-        *key, F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word")
-    )
+        numbers = packed_numbers(sequence)
+        begin, count = starts[numbers], lengths[numbers]
+        own = np.zeros(0, dtype=np.int32)
+        if filled is not None and len(filled):
+            found = filled.field("ids").take(pa.array(np.argsort(np.asarray(filled.field("place")))))
+            sizes = np.asarray(pc.binary_length(found)).astype(np.int64) // width
+            at = np.flatnonzero(numbers == 0)
+            begin[at] = len(base) + np.cumsum(sizes) - sizes
+            count[at] = sizes
+            own = np.frombuffer(b"".join(found.to_pylist()), dtype=kind).astype(np.int32)
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(begin - (ends - count), count) + np.arange(total)
+        tokens = np.empty(total, dtype=np.int32)
+        inside = places < len(base)
+        tokens[inside] = base[places[inside]]
+        tokens[~inside] = own[places[~inside] - len(base)]
+        return tokens, count
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_ids, counts, sequence, filled in zip(*batch.columns, strict=True):
+                tokens, per_word = tokens_of(sequence.as_py(), filled.values)
+                word_ends = np.concatenate(([0], np.cumsum(np.asarray(counts.values))))
+                ends = np.concatenate(([0], np.cumsum(per_word)))[word_ends].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens, pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_ids.values, lists], ["doc_id", "ids"])
+
+    # Both readers of the dealt blocks need all their columns, so they read one shuffle and the texts are
+    # split once.
+    schema = f"block long, doc_ids array<{id_type}>, counts array<int>, sequence binary"
+    blocks = docs.select("doc_id", "text").mapInArrow(number, schema).repartition("block")
+    gaps = blocks.select("block", F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word"))
     table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library, kind).drop("rows")
-    # Dealt out as plain rows: a text's words lie in as many tasks, so lists made there are longer.
-    filled = gaps.join(table, "word").select(*key, "place", "ids").repartition(*key).groupBy(*key).agg(
-        F.collect_set(F.struct("place", "ids")).alias("filled")  # one text's words, which was one row before
+    # Dealt out as plain rows: a block's words lie in as many tasks, so lists made there are longer.
+    filled = gaps.join(table, "word").select("block", "place", "ids").repartition("block").groupBy("block").agg(
+        F.collect_list(F.struct("place", "ids")).alias("filled")  # the words of one block, which was one row before
     )
-    joined = numbered.join(filled.hint("shuffle_hash"), key, "left")
-    doc_id = F.when(F.substring("sequence", -1, 1) == F.lit(b"\x00"), F.col("key_id"))
-    return joined.select(doc_id.alias("doc_id"), F.arrow_udf(assemble, "array<int>")("sequence", "filled").alias("ids"))
+    joined = blocks.join(filled.hint("shuffle_hash"), "block", "left")
+    return joined.select("doc_ids", "counts", "sequence", "filled").mapInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
 def decoded(spark: SparkSession, vocabulary: Vocabulary, ids: str = "ids") -> Column:
