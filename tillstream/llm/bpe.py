@@ -287,7 +287,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
                 )
                 block += 1
 
-    def gaps_of(sequences: pa.Array) -> pa.Array:
+    def gaps_of(sequences: pa.Array, *_: pa.Array) -> pa.Array:
         return pa.array([packed_gaps(s) for s in sequences.to_pylist()], pa.list_(pa.string()))
 
     def tokens_of(sequence: bytes, filled: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
@@ -323,11 +323,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens, pa.int32()))
                 yield pa.RecordBatch.from_arrays([doc_ids.values, lists], ["doc_id", "ids"])
 
-    # Both readers of the dealt blocks need all their columns, so they read one shuffle and the texts are
+    # All readers of the dealt blocks take all their columns, so they read one shuffle and the texts are
     # split once.
     schema = f"block long, doc_ids array<{id_type}>, counts array<int>, sequence binary"
     blocks = docs.select("doc_id", "text").mapInArrow(number, schema).repartition("block")
-    gaps = blocks.select("block", F.posexplode(F.arrow_udf(gaps_of, "array<string>")("sequence")).alias("place", "word"))
+    words_of_gaps = F.arrow_udf(gaps_of, "array<string>")("sequence", "doc_ids", "counts")
+    gaps = blocks.select("block", F.posexplode(words_of_gaps).alias("place", "word"))
     table = encoded_words(gaps.groupBy("word").agg(F.count("*").alias("rows")), library, kind).drop("rows")
     # Dealt out as plain rows: a block's words lie in as many tasks, so lists made there are longer.
     filled = gaps.join(table, "word").select("block", "place", "ids").repartition("block").groupBy("block").agg(
