@@ -30,9 +30,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstream.session import written
 
@@ -232,8 +233,37 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
             start, chars = at, 0
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
-    """(doc_id, ids), one row per row of ``docs``: the tokens of every whole text.
+def _decoder(context: SparkContext, vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
+    """The pieces of id lists, joined by spaces; special tokens are kept.
+
+    The pieces are broadcast: they are as many as the vocabulary has. Ids outside it have no piece.
+    """
+    most = max(vocabulary.pieces)
+    shared = context.broadcast(pa.array([vocabulary.pieces.get(i) for i in range(most + 1)], pa.string()))
+
+    def decode(lists: pa.Array) -> pa.Array:
+        lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        values = lists.flatten()
+        known = pc.and_(pc.greater_equal(values, 0), pc.less_equal(values, most))
+        found = shared.value.take(pc.if_else(known, values, pa.scalar(None, values.type)))
+        counts = np.asarray(pc.list_value_length(lists)).astype(np.int32)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        if found.null_count:
+            owners = np.repeat(np.arange(len(lists)), counts)[np.asarray(found.is_valid())]
+            counts = np.bincount(owners, minlength=len(lists))
+            offsets, found = np.concatenate(([0], np.cumsum(counts))).astype(np.int32), found.drop_null()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), found), " ")
+
+    return decode
+
+
+def decoded(spark: SparkSession, vocabulary: Vocabulary, ids: str = "ids") -> Column:
+    """Column of the pieces of an id list, joined by spaces, for ids that are stored."""
+    return F.arrow_udf(_decoder(spark.sparkContext, vocabulary), "string")(ids)
+
+
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
+    """(doc_id, ids, decoded), one row per row of ``docs``: the tokens of every whole text, and their pieces.
 
     Null and empty texts have no tokens. Rows repeated in full are encoded alike. Ids may be of any type and
     null. Only ``doc_id`` and ``text`` are read, so other columns cannot clash; an empty table gives no
@@ -246,19 +276,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
     frequent = encoded_words(hot_words(_word_counts(docs, library), min(hot, HOT_WORDS)), library, kind).toArrow()
     order = np.lexsort((frequent["word"].to_numpy(), -frequent["rows"].to_numpy()))
     words, ids = frequent["word"].take(order).to_pylist(), frequent["ids"].take(order).to_pylist()
+    frequent_words = context.broadcast({"vocabulary": vocabulary.text, "words": words})
     shared = context.broadcast(
         {
-            "vocabulary": vocabulary.text,
-            "words": words,
             # Number 0 is the gap.
             "starts": np.concatenate(([0, 0], np.cumsum([len(i) // width for i in ids], dtype=np.int64))).astype(np.int64),
             "ids": np.frombuffer(b"".join(ids), dtype=kind).astype(np.int32),
         }
     )
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    decode = _decoder(context, vocabulary)
+    id_type = docs.schema["doc_id"].dataType
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared.value  # stays in the worker
+        kept = frequent_words.value  # stays in the worker
         if "numbers" not in kept:
             words = kept.pop("words")
             kept["numbers"] = Numbers(zip(words, range(1, len(words) + 1), strict=True))
@@ -321,11 +351,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
                 word_ends = np.concatenate(([0], np.cumsum(np.asarray(counts.values))))
                 ends = np.concatenate(([0], np.cumsum(per_word)))[word_ends].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens, pa.int32()))
-                yield pa.RecordBatch.from_arrays([doc_ids.values, lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids.values, lists, decode(lists)], ["doc_id", "ids", "decoded"])
 
     # All readers of the dealt blocks take all their columns, so they read one shuffle and the texts are
     # split once.
-    schema = f"block long, doc_ids array<{id_type}>, counts array<int>, sequence binary"
+    schema = (
+        T.StructType().add("block", "long", False).add("doc_ids", T.ArrayType(id_type))
+        .add("counts", "array<int>").add("sequence", "binary")
+    )
     blocks = docs.select("doc_id", "text").mapInArrow(number, schema).repartition("block")
     words_of_gaps = F.arrow_udf(gaps_of, "array<string>")("sequence", "doc_ids", "counts")
     gaps = blocks.select("block", F.posexplode(words_of_gaps).alias("place", "word"))
@@ -335,34 +368,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> Dat
         F.collect_list(F.struct("place", "ids")).alias("filled")  # the words of one block, which was one row before
     )
     joined = blocks.join(filled.hint("shuffle_hash"), "block", "left")
-    return joined.select("doc_ids", "counts", "sequence", "filled").mapInArrow(assemble, f"doc_id {id_type}, ids array<int>")
+    result = T.StructType().add("doc_id", id_type).add("ids", "array<int>").add("decoded", "string")
+    return joined.select("doc_ids", "counts", "sequence", "filled").mapInArrow(assemble, result)
 
 
-def decoded(spark: SparkSession, vocabulary: Vocabulary, ids: str = "ids") -> Column:
-    """Column of the pieces of an id list, joined by spaces; special tokens are kept.
-
-    The pieces are broadcast: they are as many as the vocabulary has. Ids outside it have no piece.
-    """
-    most = max(vocabulary.pieces)
-    shared = spark.sparkContext.broadcast(pa.array([vocabulary.pieces.get(i) for i in range(most + 1)], pa.string()))
-
-    def decode(lists: pa.Array) -> pa.Array:
-        lists = pc.fill_null(lists, pa.scalar([], lists.type))
-        values = lists.flatten()
-        known = pc.and_(pc.greater_equal(values, 0), pc.less_equal(values, most))
-        found = shared.value.take(pc.if_else(known, values, pa.scalar(None, values.type)))
-        counts = np.asarray(pc.list_value_length(lists)).astype(np.int32)
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        if found.null_count:
-            owners = np.repeat(np.arange(len(lists)), counts)[np.asarray(found.is_valid())]
-            counts = np.bincount(owners, minlength=len(lists))
-            offsets, found = np.concatenate(([0], np.cumsum(counts))).astype(np.int32), found.drop_null()
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), found), " ")
-
-    return F.arrow_udf(decode, "string")(ids)
-
-
-def encode_decode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
-    """(doc_id, ids, decoded), one row per row of ``docs``."""
-    encoded = encode(docs, vocabulary, hot)
-    return encoded.select("doc_id", "ids", decoded(docs.sparkSession, vocabulary).alias("decoded"))
+def encode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS) -> DataFrame:
+    """(doc_id, ids), one row per row of ``docs``."""
+    return encode_decode(docs, vocabulary, hot).drop("decoded")
