@@ -357,7 +357,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS)
     # split once.
     schema = (
         T.StructType().add("block", "long", False).add("doc_ids", T.ArrayType(id_type))
-        .add("counts", "array<int>").add("sequence", "binary")
+        .add("counts", T.ArrayType(T.IntegerType())).add("sequence", "binary")
     )
     blocks = docs.select("doc_id", "text").mapInArrow(number, schema).repartition("block")
     words_of_gaps = F.arrow_udf(gaps_of, "array<string>")("sequence", "doc_ids", "counts")
@@ -368,7 +368,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, hot: int = HOT_WORDS)
         F.collect_list(F.struct("place", "ids")).alias("filled")  # the words of one block, which was one row before
     )
     joined = blocks.join(filled.hint("shuffle_hash"), "block", "left")
-    result = T.StructType().add("doc_id", id_type).add("ids", "array<int>").add("decoded", "string")
+    result = T.StructType().add("doc_id", id_type).add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return joined.select("doc_ids", "counts", "sequence", "filled").mapInArrow(assemble, result)
 
 
