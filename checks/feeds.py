@@ -17,7 +17,6 @@ from tillstream.operators.forecast import Forecaster, load_forecaster, retrain
 from tillstream.operators.star import Star
 from tillstream.operators.text import index_documents, warehouse_documents
 from tillstream.plans import revenue
-from tillstream.plans.live import live_daily_series
 from tillstream.session import new_folder
 from tillstream.sources import lake, warehouse
 from tillstream.sources.events import read_event_files
@@ -147,11 +146,12 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_store(spark, sf_dir).hot()
 
 
-def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The totals of the days that the stream closed, as it stored them.
+def late_store(spark: SparkSession, sf_dir: str) -> LiveStore:
+    """A live store with closed days and a hot table without repeats.
 
     The feed comes in three batches: the days but the last twenty, these, and what is late: the
-    first sale of the fourth day and the whole sixth day. The hot table has all of it.
+    first sale of the fourth day, the whole sixth day, and once more the first day. The closed days are
+    stored as the stream closed them, without what is late; the hot table has all of it once.
     """
 
     def fill(path: str) -> None:
@@ -160,12 +160,21 @@ def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         day, place = (F.get_json_object("value", f"$.{name}").cast("int") for name in ("day_index", "row_in_day"))
         late = (day == 5) | ((day == 3) & (place == 0))
         last = day > messages.agg(F.max(day)).first()[0] - 20
-        for batch in (~late & ~last, ~late & last, late):
+        for batch in (~late & ~last, ~late & last, late | (day == 0)):
             messages.where(batch).write.mode("append").text(folder)
             events = read_event_files(spark, folder)
-            drain(close_days(events, f"{path}/closed", store.checkpoint("close"), once=True))
+            drain(close_days(events, store.closed_path, store.checkpoint("close"), once=True))
+            drain(write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True, distinct=True))
+
+    return LiveStore(spark, once(spark, sf_dir, "late", fill))
+
+
+def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(DAY_SCHEMA).parquet(late_store(spark, sf_dir).closed_path)
+
 
-    return spark.read.schema(DAY_SCHEMA).parquet(f"{once(spark, sf_dir, 'closed-days', fill)}/closed")
+def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_store(spark, sf_dir).hot_table().day_counts()
 
 
 def simple_forecasts(days: DataFrame) -> DataFrame:
@@ -199,7 +208,8 @@ def simple_outlook(forecasts: DataFrame) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple_forecasts(live_daily_series(hot(spark, sf_dir)).select("ds", "y"))
+    days = day_counts(spark, sf_dir)
+    return simple_forecasts(days.select(F.col("simulated_day").alias("ds"), F.col("actual_revenue").alias("y")))
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:

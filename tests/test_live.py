@@ -9,7 +9,7 @@ from tillstream.operators.events import enrich_events
 from tillstream.plans import live
 from tillstream.session import new_folder
 from tillstream.sources.live_store import LiveStore
-from tillstream.sources.tables import KeyedTable, folder_names
+from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
 
 
 def hot(spark, rows):
@@ -52,13 +52,18 @@ def test_forecast_without_actual(spark):
     ]
 
 
-def test_closed_days_count_as_stored_and_later_ones_from_the_hot_table(spark):
-    events = hot(spark, [("2020-01-01", 100.0), ("2020-01-02", 5.0), ("2020-01-02", 6.0)])
-    events = events.withColumn("sale_month", F.lit(202001))
+def test_closed_days_count_as_stored_and_others_from_the_counters(spark):
+    counts = spark.createDataFrame(
+        [(202001, date(2020, 1, 1), 1, 100.0, 1), (202001, date(2020, 1, 2), 2, 11.0, 2)],
+        "sale_month int, simulated_day date, num_events long, actual_revenue double, units long",
+    )
     closed = spark.createDataFrame([(date(2020, 1, 1), 99.0)], "simulated_day date, actual_revenue double")
-    got = sorted(values(live.current_days(closed, events), "simulated_day", "actual_revenue"))
+    got = sorted(values(live.current_days(closed, counts), "simulated_day", "actual_revenue"))
     assert got == [(date(2020, 1, 1), 99.0), (date(2020, 1, 2), 11.0)]
-    assert live.current_days(closed.limit(0), events).count() == 2
+    counted = closed.withColumn("num_events", F.lit(3).cast("long"))
+    got = sorted(values(live.current_days(counted, counts), "simulated_day", "actual_revenue"))
+    assert got == [(date(2020, 1, 1), 100.0), (date(2020, 1, 2), 11.0)]
+    assert live.current_days(closed.limit(0), counts).count() == 2
 
 
 def test_live_day_replaces_history(spark):
@@ -79,7 +84,8 @@ def test_running_mean_error(spark):
     assert values(got, "ape_pct", "mape", "days_streamed") == [(10.0, 10.0, 1), (50.0, 30.0, 2)]
     score = live.mean_error(made, sold)
     assert values(score, "mape", "days_streamed", "grade") == [(30.0, 2, "FAIR")]
-    status = live.stream_status(hot(spark, [("2020-01-01", 1.0), ("2020-01-05", 1.0)]), score).first()
+    counters = hot(spark, [("2020-01-01", 1.0), ("2020-01-05", 1.0)]).withColumn("num_events", F.lit(1))
+    status = live.stream_status(counters, score).first()
     assert (str(status["current_day"]), status["total_rows"], status["mape"]) == ("2020-01-05", 2, 30.0)
 
 
@@ -100,7 +106,8 @@ def test_top_lists(spark):
     assert values(live.live_geo_revenue(events, 1), "country", "total_revenue", "unique_customers") == [
         ("Spain", 15.0, 1)
     ]
-    assert values(live.recent_transactions(events, 2), "stock_code") == [("C",), ("B",)]
+    arrivals = events.groupBy("ingested_at").agg(F.count("*").alias("num_events"))
+    assert values(live.recent_transactions(events, arrivals, 2), "stock_code") == [("C",), ("B",)]
 
 
 def test_writes_replace_by_key_and_repeat_safely(spark):
@@ -118,10 +125,41 @@ def test_writes_replace_by_key_and_repeat_safely(spark):
     table.compact()
     assert len(folder_names(spark, table.path)) == 1
     assert sorted(values(table.read(), "k", "v")) == [(1, "z"), (2, "c"), (3, "d")]
+    assert sorted(values(table.read(before=("new checkpoint", 0)), "k", "v")) == [(1, "a"), (2, "c"), (3, "d")]
+    table.write(rows((1, "z"), (4, "e")), "new checkpoint", 0)  # a batch that comes again after a compaction
+    assert sorted(values(table.read(), "k", "v")) == [(1, "z"), (2, "c"), (3, "d"), (4, "e")]
     table.purge()
     assert table.read().count() == 0
 
 
+def test_what_a_failed_write_or_compaction_left_is_not_read(spark):
+    table = KeyedTable(spark, new_folder(spark, "t"), "k int, v string", ["k"])
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k int, v string")
+    table.write(rows((1, "a")), "job", 0)
+    rows((1, "broken")).write.parquet(f"{table.path}/write-000000000002")
+    delete_folder(spark, f"{table.path}/write-000000000002/_SUCCESS")
+    assert values(table.read(), "k", "v") == [(1, "a")]
+    table.write(rows((1, "b"), (2, "b")), "job", 1)  # numbered behind the broken one
+    before = [f"{table.path}/{name}" for name in folder_names(spark, table.path)]
+    copies = {path: spark.read.parquet(path).collect() for path in before if not path.endswith("2")}
+    table.compact()
+    for path, kept in copies.items():  # as if it had stopped before it deleted them
+        spark.createDataFrame(kept, "k int, v string, marker boolean, written long, run string, batch long").write.mode("overwrite").parquet(path)
+    assert sorted(values(table.read(), "k", "v")) == [(1, "b"), (2, "b")]
+
+
+def test_a_ring_batch_that_comes_again_after_a_compaction(spark):
+    table = KeyedTable(spark, new_folder(spark, "t"), "v int")
+    rows = lambda *found: spark.createDataFrame([(v,) for v in found], "v int")
+    for batch, found in enumerate([(1,), (1, 2), (1, 2, 3)]):
+        table.write(rows(*found), "job", batch)
+    table.compact()
+    again = table.read(before=("job", 2))
+    assert sorted(values(again, "v")) == [(1,), (2,)]
+    table.write(again.unionByName(rows(3)), "job", 2)
+    assert sorted(values(table.read(), "v")) == [(1,), (2,), (3,)]
+
+
 def test_a_table_without_keys_holds_its_newest_write(spark):
     table = KeyedTable(spark, new_folder(spark, "t"), "v string")
     for batch, found in enumerate([["a", "b"], ["c"], []]):

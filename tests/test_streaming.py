@@ -14,8 +14,9 @@ from tests.helpers import values
 from tillstream.operators.forecast import fit_forecaster, forecast, recent_mean, scale_correction
 from tillstream.plans import live as live_plans
 from tillstream.session import new_folder
-from tillstream.sources.events import distinct_events, parse_events, read_event_files
+from tillstream.sources.events import distinct_events, hot_events, parse_events, read_event_files
 from tillstream.sources.live_store import LiveStore
+from tillstream.sources.tables import folder_names
 from tillstream.streaming import live
 from tillstream.streaming.forecasts import TOTAL, forecast_on_day_start, forecast_rows, late_totals
 from tillstream.streaming.live import drain
@@ -93,8 +94,8 @@ def test_a_repeated_file_counts_once(spark, store, tmp_path):
     folder = feed(tmp_path / "in")
     with open(os.path.join(folder, f"{DAYS[2]}.json")) as f, open(os.path.join(folder, "again.json"), "w") as g:
         g.write(f.read())
-    events = live.distinct_stream(read_event_files(spark, folder))
-    drain(live.write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True))
+    events = read_event_files(spark, folder)
+    drain(live.write_hot_events(events, store.hot_path, store.checkpoint("hot"), once=True, distinct=True))
     assert store.hot().count() == 54
     other = LiveStore(spark, new_folder(spark, "live"))
     raw_hot = take_in(spark, other, folder)
@@ -174,7 +175,7 @@ def test_a_late_event_is_corrected_from_the_hot_table(spark, store, tmp_path):
     hot = take_in(spark, store, folder)
     assert hot.where(first_day).count() == 10
     store.days().write(closed)
-    live.correct_days(store.days(), hot)
+    live.correct_days(store.days(), store.hot_table())
     assert values(store.days().read().where(first_day), "actual_revenue", "num_events") == [(1056.25, 10)]
     assert store.days().read().count() == len(DAYS) - 1
 
@@ -210,7 +211,7 @@ def test_late_events_and_late_days_reach_all_readers_and_forecasts(spark, store,
     closed = spark.read.schema(live.DAY_SCHEMA).parquet(store.closed_path)
     assert sorted(read(closed)) == [DAYS[0], DAYS[1], DAYS[3], DAYS[4]] and read(closed)[DAYS[0]] == 56.25
     right = read(live.day_totals(hot))
-    assert right[DAYS[0]] == 1056.25 and read(live_plans.current_days(closed, hot)) == right
+    assert right[DAYS[0]] == 1056.25 and read(live_plans.current_days(closed, store.hot_table().day_counts())) == right
     stored = store.days().read()
     assert read(stored) == {day: right[day] for day in DAYS[:5]}
     assert stored.exceptAll(live.day_totals(hot)).isEmpty()
@@ -219,7 +220,92 @@ def test_late_events_and_late_days_reach_all_readers_and_forecasts(spark, store,
 def test_a_hot_table_that_is_behind_lowers_no_stored_day(spark, store, tmp_path):
     hot = take_in(spark, store, feed(tmp_path / "in"))
     days = live.day_totals(hot).where(F.col("simulated_day") < DAYS[4])
-    assert late_totals(days, hot.where("row_in_day > 2")).isEmpty()
+    assert late_totals(days, store.hot_table()) is None
+    more = days.withColumn("num_events", F.col("num_events") + 2)
+    assert late_totals(more, store.hot_table()).isEmpty()
+
+
+def send(spark, store, folder, name, events, **options):
+    """A file more, taken up after a restart."""
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("".join(json.dumps(e) + "\n" for e in events))
+    source = read_event_files(spark, str(folder))
+    drain(live.write_hot_events(source, store.hot_path, store.checkpoint("hot"), once=True, **options))
+
+
+def test_repeats_late_and_untimed_events_count_once(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    untimed = event(DAYS[0], 5) | {"invoice_date": "unknown"}
+    no_place = event(DAYS[0], 6) | {"row_in_day": None}
+    send(spark, store, folder, "1.json", [event(DAYS[5], 0), event(DAYS[0], 1), untimed, untimed, no_place], distinct=True)
+    late = [event("2019-03-01", i) for i in range(3)]  # long before the watermark of any stream
+    send(spark, store, folder, "2.json", [untimed, event(DAYS[0], 1), event(DAYS[5], 1), *late], distinct=True)
+    send(spark, store, folder, "3.json", [*late, untimed, event(DAYS[5], 0), event(DAYS[5], 2)], distinct=True)
+    found = sorted((str(d), p if p is not None else -1) for d, p in values(store.hot(), "simulated_day", "row_in_day"))
+    assert found == sorted(
+        [(DAYS[0], 1), (DAYS[0], 5), (DAYS[0], -1), (DAYS[5], 0), (DAYS[5], 1), (DAYS[5], 2), *[("2019-03-01", i) for i in range(3)]]
+    )
+    assert store.hot_table().day_counts().exceptAll(
+        store.hot().groupBy("sale_month", "simulated_day").agg(
+            F.count("*").alias("num_events"), F.sum("revenue").alias("actual_revenue"), F.sum(F.lit(2)).alias("units"))
+    ).isEmpty()
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, store, tmp_path):
+    folder, table = feed(tmp_path / "in"), store.hot_table()
+    rows = hot_events(parse_events(spark.read.text(folder)))
+    first, rest = rows.where(F.col("simulated_day") < DAYS[3]), rows.where(F.col("simulated_day") >= DAYS[2])
+    for distinct, total in ((True, 54), (False, 63)):
+        table.append(first, "run", 0, distinct)
+        table.append(rest.where("row_in_day < 4"), "run", 1, distinct)  # a first try that had less
+        table.append(rest, "run", 1, distinct)
+        assert table.read().count() == total
+        assert table.day_counts().agg(F.sum("num_events")).first()[0] == total
+        assert table.arrivals().count() == 2
+
+
+def test_closed_months_are_rewritten_and_their_batches_retired(spark, store, tmp_path):
+    folder, table = tmp_path / "in", store.hot_table()
+    days = [f"20{20 + m // 12}-{m % 12 + 1:02}-15" for m in range(14)]
+    for number in range(3):
+        send(spark, store, folder, f"{number}.json", [event(d, p) for d in days for p in range(number * 4, number * 4 + 4)])
+    before = sorted(values(store.hot(), "simulated_day", "row_in_day"))
+    table.close_months(202101)
+    assert sorted(values(store.hot(), "simulated_day", "row_in_day")) == before and len(before) == 14 * 12
+    assert table.stale_folders() == 0
+    late = [event(days[0], 50), event(days[0], 3), event(days[13], 50)]
+    send(spark, store, folder, "late.json", late, distinct=True)
+    want = sorted([*before, *[(date.fromisoformat(e["simulated_day"]), e["row_in_day"]) for e in late if e["row_in_day"] == 50]])
+    assert sorted(values(store.hot(), "simulated_day", "row_in_day")) == want
+    table.close_months(202101)
+    table.close_months(202101)  # nothing to do
+    assert sorted(values(store.hot(), "simulated_day", "row_in_day")) == want and table.stale_folders() == 0
+    plan = store.hot()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+    months = [n for v in folder_names(spark, f"{table.path}/months") for n in folder_names(spark, f"{table.path}/months/{v}")]
+    assert sorted(m for m in months if m.startswith("sale_month")) == [f"sale_month=2020{m:02}" for m in range(1, 13)]
+
+
+def test_months_whose_batches_were_not_deleted_count_once(spark, store, tmp_path):
+    table = store.hot_table()
+    rows = hot_events(parse_events(spark.read.text(feed(tmp_path / "in"))))
+    table.append(rows, "run", 0)
+    table.close_months(202002)
+    rows.write.partitionBy("sale_month").mode("overwrite").parquet(f"{table.path}/batches/run=run/batch=0")  # as if it had stopped
+    assert table.read().count() == 54 and table.stale_folders() == 1
+    table.close_months(202002)
+    assert table.read().count() == 54 and table.stale_folders() == 0
+
+
+def test_nothing_late_reads_no_event(spark, store, tmp_path):
+    take_in(spark, store, feed(tmp_path / "in"))
+    closed = live.day_totals(store.hot())
+    assert live.corrected_days(closed, store.hot_table()) is None
+    stored = spark.createDataFrame(closed.collect(), live.DAY_SCHEMA)
+    days = live_plans.current_days(stored, store.hot_table().day_counts())
+    plan = days._jdf.queryExecution().optimizedPlan().toString()
+    assert "stock_code" not in plan and "invoice" not in plan and "Relation" in plan
 
 
 def test_recent_list_and_progress(spark, store, tmp_path):

@@ -83,10 +83,6 @@ def hot_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_hot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.HOT_EVENT).parquet(path)
-
-
 def distinct_events(hot: DataFrame) -> DataFrame:
     """One row per event where the feed sent events twice; day and place name an event."""
     return hot.dropDuplicates(["simulated_day", "row_in_day"])

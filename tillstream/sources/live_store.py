@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillstream import schemas
-from tillstream.sources.events import read_hot
+from tillstream.sources.hot import HotTable
 from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
 from tillstream.streaming.live import DAY_SCHEMA, KPI_SCHEMA, PROGRESS_SCHEMA, RECENT_SCHEMA
 
@@ -25,11 +20,15 @@ class LiveStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self._generations = KeyedTable(spark, f"{root}/generations", "id int, generation long", ["id"])
+        self._generation: int | None = None
 
     @property
     def generation(self) -> int:
-        row = self._generations.read().first()
-        return row["generation"] if row else 0
+        """Read once; a store object that was made before another one's reset stays in the old generation."""
+        if self._generation is None:
+            row = self._generations.read().first()
+            self._generation = row["generation"] if row else 0
+        return self._generation
 
     def _path(self, name: str) -> str:
         return f"{self.root}/generation-{self.generation}/{name}"
@@ -45,48 +44,12 @@ class LiveStore:
     def checkpoint(self, job: str) -> str:
         return self._path(f"checkpoints/{job}")
 
-    def _streamed(self) -> DataFrame:
-        try:
-            return read_hot(self.spark, self.hot_path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schemas.HOT_EVENT)
-
-    def _compactions(self) -> KeyedTable:
-        return KeyedTable(self.spark, self._path("compactions"), "part string, until timestamp", ["part"])
+    def hot_table(self) -> HotTable:
+        return HotTable(self.spark, self.hot_path)
 
     def hot(self) -> DataFrame:
-        """All events: the compacted ones, and what the stream stored since."""
-        done = self._compactions().read().orderBy("until").collect()  # a row per compaction
-        if not done:
-            return self._streamed()
-        schema = self.spark.createDataFrame([], schemas.HOT_EVENT).schema
-        folders = [f"{self._path('compacted')}/{row['part']}" for row in done]
-        compacted = [self.spark.read.schema(schema).parquet(folder) for folder in folders]
-        since = F.col("ingested_at") > F.lit(done[-1]["until"])
-        return reduce(DataFrame.unionByName, [*compacted, self._streamed().where(since)])
-
-    def compact(self) -> None:
-        """Store what the stream wrote since the last compaction in few files, sorted by day and time.
-
-        Batches arrive whole, one arrival time each, so no batch is split. A compaction counts once its
-        record is written; what a failed one left is never read.
-        """
-        done = self._compactions().read().agg(F.max("until").alias("until")).first()["until"]
-        fresh = self._streamed()
-        if done is not None:
-            fresh = fresh.where(F.col("ingested_at") > F.lit(done))
-        until = fresh.agg(F.max("ingested_at")).first()[0]
-        if until is None:
-            return
-        run = f"part-{uuid.uuid4().hex}"
-        (
-            fresh.where(F.col("ingested_at") <= F.lit(until))
-            .hint("rebalance", "sale_month")
-            .sortWithinPartitions("sale_month", "simulated_day", "invoice_date", "invoice")
-            .write.partitionBy("sale_month").parquet(f"{self._path('compacted')}/{run}")
-        )
-        record = self.spark.createDataFrame([(run, until)], "part string, until timestamp")
-        self._compactions().write(record)
+        """All events."""
+        return self.hot_table().read()
 
     def forecasts(self) -> KeyedTable:
         return KeyedTable(self.spark, self._path("forecasts"), schemas.FORECAST, ["simulated_day"], ["generated_at"])
@@ -116,6 +79,7 @@ class LiveStore:
         following = self.generation + 1
         self._generations.write(self.spark.range(1).selectExpr("1 AS id", f"{following} AS generation"))
         self._generations.compact()
+        self._generation = following
         if purge:
             for name in folder_names(self.spark, self.root):
                 if name.startswith("generation-") and name != f"generation-{following}":

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillstream.functions.columns import cents
 from tillstream.sources.events import hot_events
+from tillstream.sources.hot import HotTable
 from tillstream.sources.tables import KeyedTable, stream_run
 
 # Time between batches: each writes files to every month it touches, so batches are not too small.
@@ -43,14 +44,21 @@ def drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def write_hot_events(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append every event, late ones too, to Parquet by month.
+def write_hot_events(
+    events: DataFrame, path: str, checkpoint: str, once: bool = False, distinct: bool = False
+) -> StreamingQuery:
+    """Append every event, late ones and those without a time too, to the hot table at ``path``.
 
+    With ``distinct`` an event that the table has already is left out, however much later it comes again.
     Events arrive about in time order, so row groups within a month cover few days each and a day
     filter skips the others.
     """
-    writer = hot_events(events).writeStream.format("parquet").option("path", path)
-    return start(writer.partitionBy("sale_month").outputMode("append"), checkpoint, once)
+    table = HotTable(events.sparkSession, path)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        table.append(hot_events(rows), stream_run(rows.sparkSession, checkpoint), batch, distinct)
+
+    return start(events.writeStream.foreachBatch(store), checkpoint, once)
 
 
 def country_figures(events: DataFrame) -> DataFrame:
@@ -84,6 +92,7 @@ def running_kpis(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     finds the same state and replaces the row by the same one."""
 
     def store(figures: DataFrame, batch: int) -> None:
+        table.tidy(batch)
         table.write(kpis_of(figures), stream_run(figures.sparkSession, checkpoint), batch)
 
     writer = country_figures(events).writeStream.outputMode("complete").foreachBatch(store)
@@ -97,6 +106,7 @@ def day_progress(events: DataFrame, table: KeyedTable, checkpoint: str, once: bo
     )
 
     def store(row: DataFrame, batch: int) -> None:
+        table.tidy(batch)
         table.write(row, stream_run(row.sparkSession, checkpoint), batch)
 
     return start(totals.writeStream.outputMode("complete").foreachBatch(store), checkpoint, once)
@@ -118,6 +128,7 @@ def recent_ring(
     """Keep the newest ``n`` sales: the n of the batch and the n kept before it compete."""
 
     def store(rows: DataFrame, batch: int) -> None:
+        table.tidy(batch)
         run = stream_run(rows.sparkSession, checkpoint)
         arrived = newest(rows.withColumn("batch_no", F.lit(batch).cast("long")), n)
         table.write(newest(arrived.unionByName(table.read(before=(run, batch))), n), run, batch)
@@ -193,35 +204,42 @@ def day_totals(hot: DataFrame) -> DataFrame:
     )
 
 
-def miscounted_days(closed: DataFrame, hot: DataFrame) -> DataFrame:
-    """(sale_month, simulated_day) of the days of the hot table that ``closed`` lacks, or of which it
-    counted another number of events. A day stored without a count stays as it is.
-
-    Of the hot table only the days are read.
-    """
+def miscounted_days(closed: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of ``counts`` for days that ``closed`` lacks, or of which it counted another number of
+    events. A day stored without a count stays as it is."""
     stored = closed.select(
         "simulated_day", F.col("num_events").alias("stored_events"), F.lit(True).alias("is_stored")
     )
-    counts = hot.groupBy("sale_month", "simulated_day").agg(F.count("*").alias("found_events"))
-    differs = F.col("is_stored").isNull() | (F.col("found_events") != F.col("stored_events"))
-    return counts.join(F.broadcast(stored), "simulated_day", "left").where(differs).select("sale_month", "simulated_day")
-
+    differs = F.col("is_stored").isNull() | (F.col("num_events") != F.col("stored_events"))
+    return counts.join(F.broadcast(stored), "simulated_day", "left").where(differs).select(counts.columns)
 
-def events_of_days(hot: DataFrame, days: DataFrame) -> DataFrame:
-    """The events of the days that ``miscounted_days`` names; other months are not read."""
-    return hot.join(F.broadcast(days), ["sale_month", "simulated_day"], "left_semi")
 
-
-def corrected_days(closed: DataFrame, hot: DataFrame) -> DataFrame:
+def corrected_days(closed: DataFrame, table: HotTable) -> DataFrame | None:
     """The days up to the newest closed one whose stored totals miss late events, and those whose
-    events all came late, with the totals of the hot table."""
+    events all came late, with the totals of the hot table; None where there is no such day.
+
+    The table's counters tell which days these are. Only their events are read, for the distinct invoices.
+    """
     newest = closed.agg(F.max("simulated_day")).scalar()
-    return day_totals(events_of_days(hot, miscounted_days(closed, hot.where(F.col("simulated_day") <= newest))))
+    wrong = miscounted_days(closed, table.day_counts().where(F.col("simulated_day") <= newest)).select(
+        "sale_month", "simulated_day"
+    ).collect()  # a row per day
+    if not wrong:
+        return None
+    months = sorted({r["sale_month"] for r in wrong})
+    days = table.spark.createDataFrame(wrong, "sale_month int, simulated_day date")
+    return day_totals(
+        table.read().where(F.col("sale_month").isin(months)).join(
+            F.broadcast(days), ["sale_month", "simulated_day"], "left_semi"
+        )
+    )
 
 
-def correct_days(table: KeyedTable, hot: DataFrame) -> None:
+def correct_days(table: KeyedTable, hot: HotTable) -> None:
     """Bring late events, and days that came late as a whole, into the stored totals of closed days."""
-    table.write(corrected_days(table.read(), hot))
+    found = corrected_days(table.read(), hot)
+    if found is not None:
+        table.write(found)
 
 
 def with_open(closed: DataFrame, all_windows: DataFrame, end: Column, newest_time: Column, delay: str) -> DataFrame:
@@ -237,13 +255,6 @@ def with_open(closed: DataFrame, all_windows: DataFrame, end: Column, newest_tim
     )
 
 
-def distinct_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated events while the state holds their day and place."""
-    return events.withWatermark("invoice_date", delay).dropDuplicatesWithinWatermark(
-        ["simulated_day", "row_in_day"]
-    )
-
-
 def batch_sizes(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Log the rows of each micro-batch; a repeated batch overwrites its own record."""
 
