@@ -1,7 +1,10 @@
+import os
 import re
+import subprocess
+import sys
 
 from tests.llm import inputs
-from tillstream.llm.decontamination import benchmark_hits, drop_contaminated
+from tillstream.llm.decontamination import Windows, benchmark_hits, drop_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -88,3 +91,26 @@ def test_empty(spark):
     assert found(benchmark_hits(docs, none)) == expected([r[:2] for r in inputs.TEXTS], [])
     assert drop_contaminated(docs, none).count() == docs.count()
     assert benchmark_hits(inputs.documents(spark, []), none).count() == 0
+
+
+def test_the_automaton_of_a_full_pass_stays_small():
+    """As many bytes as one pass takes, of words without any repeats, in a process of its own."""
+    code = (
+        "import random, resource; from tillstream.llm import decontamination as d; rng = random.Random(1);"
+        "words = [''.join(rng.choices('abcdefghijklmnop', k=8)) for _ in range(40_000)];"
+        "items = [(str(i), ' '.join(rng.choices(words, k=100))) for i in range(d.MAX_BENCHMARK_BYTES // 900)];"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "found = d.Windows(items, 10); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 400_000  # kB
+
+
+def test_words_outside_the_benchmark_and_windows_at_word_ends_only():
+    items = [(f"i{n}", f"w{n} w{n + 1}") for n in range(700)] + [("short", "w5")]  # numbers of two characters
+    windows = Windows(items, 2)
+    assert windows.width == 2
+    words = [f"w{n}".encode() for n in (3, 4, 900, 4, 5, 6, 8)]
+    found = sorted((first, end, sorted(windows.names[p] for p in places)) for first, end, places in windows.matches(words))
+    assert found == [(0, 2, ["i3"]), (3, 5, ["i4"]), (4, 5, ["short"]), (4, 6, ["i5"])]

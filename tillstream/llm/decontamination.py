@@ -2,16 +2,15 @@ r"""Benchmark passages in documents, found by one Aho-Corasick automaton.
 
 Texts are taken as UTF-8 bytes: A-Z are lower-cased and every byte that is no word character becomes
 a space, byte for byte, so a word keeps its place in the original. The automaton holds every window
-of ten consecutive words of each benchmark item, between spaces; an item of fewer words is one
+of ten consecutive words of each benchmark item, as the words' numbers; an item of fewer words is one
 window. Each document is scanned once, and all words inside an occurrence are hit.
 
-The benchmark's windows are broadcast. Above ``MAX_BENCHMARK_BYTES`` of text the items are dealt into
+The benchmark's texts are broadcast, and each worker builds the automaton of them. Above ``MAX_BENCHMARK_BYTES`` of text the items are dealt into
 as many automata as needed, each of which scans the documents in a pass of its own.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,11 @@ from pyspark.sql import functions as F
 from tillstream.session import written
 
 WINDOW_WORDS = 10
-MAX_BENCHMARK_BYTES = 16_000_000
+# Benchmark text of one automaton, whose size in a worker is some 140 times as much; more text takes further passes.
+MAX_BENCHMARK_BYTES = 2_000_000
+
+# Characters in which word numbers are written.
+_DIGITS = 256
 
 # Byte to byte: [0-9a-z] and all bytes above 0x7F stay, A-Z are lower-cased, the rest are spaces.
 WORD_BYTES = bytes(
@@ -43,28 +46,49 @@ FOUND_TYPE = (
 )
 
 
-def windows_of(items: list[tuple[str | None, str | None]], size: int) -> dict[bytes, list[str]]:
-    """Window to the ids of the items that have it; an item without an id adds its windows alone."""
-    found: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = (text or "").encode().translate(WORD_BYTES).split()
-        for start in range(max(1, len(words) - size + 1) if words else 0):
-            ids = found[b" ".join(words[start : start + size])]
-            if item is not None:
-                ids.add(item)
-    return {window: sorted(ids) for window, ids in found.items()}
-
+class Windows:
+    """The windows of the benchmark's items in one automaton, and the items of each.
 
-def automaton_of(windows: dict[bytes, list[str]]):
-    """The automaton, and per window its number of words and its items."""
-    import ahocorasick
+    A word is its number among the benchmark's words, written in as few characters as all numbers need, the same
+    for each; 0 is any other word. So an occurrence is one whose end falls on the end of a word.
+    """
 
-    automaton, entries = ahocorasick.Automaton(), []
-    for window, ids in windows.items():
-        automaton.add_word(f" {window.decode('latin-1')} ", len(entries))
-        entries.append((window.count(b" ") + 1, ids))
-    automaton.make_automaton()
-    return automaton, entries
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        import ahocorasick
+
+        texts = [(text or "").encode().translate(WORD_BYTES).split() for _, text in items]
+        words = sorted({w for text in texts for w in text})
+        self.names = [item for item, _ in items]
+        self.width = 1
+        while _DIGITS**self.width <= len(words):
+            self.width += 1
+        self.other = chr(0) * self.width
+        self.codes = {w: self._code(n) for n, w in enumerate(words, 1)}
+        self.automaton = ahocorasick.Automaton()
+        for place, text in enumerate(texts):
+            whole = "".join(map(self.codes.__getitem__, text))
+            for start in range(max(1, len(text) - size + 1) if text else 0):
+                window = whole[start * self.width : (start + size) * self.width]
+                known = self.automaton.get(window, None)
+                if known is None:
+                    self.automaton.add_word(window, (len(window) // self.width, place))
+                elif place not in known[1:]:
+                    self.automaton.add_word(window, (*known, place))
+        if words:
+            self.automaton.make_automaton()
+
+    def _code(self, number: int) -> str:
+        return "".join(chr(number // _DIGITS**k % _DIGITS) for k in range(self.width))
+
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """First word, end and items of each window that occurs."""
+        if not self.codes or not words:
+            return
+        code_of, other, width = self.codes.get, self.other, self.width
+        for last, (count, *places) in self.automaton.iter("".join([code_of(w, other) for w in words])):
+            end, rest = divmod(last + 1, width)
+            if not rest:
+                yield end - count, end, places
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,22 +109,16 @@ def word_places(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def scan(raw: bytes, matcher, before: dict | None = None) -> dict:
+def scan(raw: bytes, windows: Windows, before: dict | None = None) -> dict:
     """What the automaton finds in a text, joined with what earlier automata found."""
-    automaton, entries = matcher
     plain = raw.translate(WORD_BYTES)
     words = plain.split()
     items = set(before["items"]) if before else set()
     ranges = [(s["first_word"], s["end_word"]) for s in before["spans"]] if before else []
-    if words and entries:
-        joined = f" {b' '.join(words).decode('latin-1')} "
-        matches = list(automaton.iter(joined))
-        if matches:
-            behind = np.cumsum([len(w) + 1 for w in words])  # the place of the space behind each word
-            for last, (_, entry) in zip(np.searchsorted(behind, [m[0] for m in matches]), matches, strict=True):
-                count, ids = entries[entry]
-                ranges.append((int(last) + 1 - count, int(last) + 1))
-                items.update(ids)
+    for first, end, places in windows.matches(words):
+        ranges.append((first, end))
+        items.update(windows.names[place] for place in places)
+    items.discard(None)
     spans = []
     if ranges:
         ranges = merged(ranges)
@@ -130,13 +148,13 @@ def _benchmark_groups(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tup
 
 def _scanner(spark, items: list[tuple[str | None, str | None]], size: int, carries: bool):
     """A column function over the text, and over the earlier result where ``carries`` is set."""
-    shared = spark.sparkContext.broadcast({"windows": windows_of(items, size)})
+    shared = spark.sparkContext.broadcast({"items": items})
 
     def matcher():
         kept = shared.value  # stays in the worker, so the automaton is built once in it
-        if "matcher" not in kept:
-            kept["matcher"] = automaton_of(kept["windows"])
-        return kept["matcher"]
+        if "windows" not in kept:
+            kept["windows"] = Windows(kept["items"], size)
+        return kept["windows"]
 
     def results(texts: pa.Array, before: pa.Array | None) -> pa.Array:
         earlier = before.to_pylist() if before is not None else [None] * len(texts)
