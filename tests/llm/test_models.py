@@ -65,7 +65,7 @@ def test_language_held_out(spark):
 def test_held_out_rows_are_never_learnt_from(spark):
     rows = [(i, "good words here" if i % 2 else "bad idiot", None, "a") for i in range(60)]
     sample = toxicity.labelled_sample(
-        inputs.documents(spark, rows), labels_of(spark, [(i, 1, i % 2) for i in range(60)]), "toxic", 3, 1, 1000, 1000
+        inputs.documents(spark, rows), labels_of(spark, [(i, 1, i % 2) for i in range(60)]), "toxic", 3, 1, 1000, 10_000
     )
     assert sample.count() == sum(inputs.share(i, 3) != 1 for i in range(60))
     pieces = language.training_rows(inputs.documents(spark, [(i, f"text {i}", "en", "a") for i in range(60)]))
@@ -80,6 +80,16 @@ def test_sample_is_bounded_and_steady(spark):
     )
     docs = inputs.documents(spark, rows)
     assert len(take(docs)) == 20 and take(docs) == take(docs.repartition(7))
+    assert take(docs.unionByName(docs)) == take(docs)  # rows repeated in full
+
+
+def test_sample_is_bounded_in_bytes_and_not_shrunk_by_labels_of_other_documents(spark):
+    rows = [(i, "é" * (100 if i % 4 else 5000), None, "a") for i in range(200)] + [(300, None, None, "a"), (None, "x", None, "a")]
+    labels = labels_of(spark, [(i, 1, i % 2) for i in range(5000)] + [(None, 1, 1)])
+    found = toxicity.labelled_sample(inputs.documents(spark, rows), labels, "toxic", 3, 1, 90, 100_000).collect()
+    assert len(found) > 80 and all(len(r["text"]) == 100 for r in found)  # longer ones are over a hundredth
+    few = toxicity.labelled_sample(inputs.documents(spark, rows), labels, "toxic", 3, 1, 90, 20_000).collect()
+    assert sum(len(r["text"].encode()) for r in few) <= 20_000 and 85 < len(few) <= 90
 
 
 def test_noisy_or_is_that_of_its_sentences():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.session import written
@@ -42,26 +42,36 @@ def rows_that_stay(docs: DataFrame, stay: DataFrame) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int, max_bytes: int
 ) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents outside the held-out share.
+    """(text, label) of at most ``rows`` labelled documents outside the held-out share, of ``max_bytes`` in all.
 
-    The rows with the smallest hash of their id are taken, so the sample is the same on every run;
-    texts longer than ``max_chars`` are left out of it, which bounds its size in bytes. Of several
-    labels of one id the highest counts.
+    Labels meet the documents first, so labels of a larger corpus do not shrink the sample. The rows
+    with the smallest hash of their id are taken, the same on every run, up to the first that would
+    go beyond the bytes; a text longer than a hundredth of the bytes is left out. Of several labels of one id
+    the highest counts.
     """
-    chosen = (
+    marked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .where(share_of(F.col("doc_id"), parts) != held_out)
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        .withColumnRenamed("doc_id", "label_id")
+        .groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("label"))
     )
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return (
-        found.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label")
+    sizes = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("key_id"), F.xxhash64("doc_id").alias("at"), text_key().alias("key_text"),
+        F.octet_length("text").alias("size"),
+    ).where(F.col("size") <= max_bytes // 100)
+    # Rows repeated in full count once. At most ``rows`` slim rows are ordered in one task.
+    met = sizes.join(marked, F.col("key_id") == F.col("label_id")).drop("label_id").distinct()
+    first = met.orderBy("at", "key_id", "key_text").limit(rows)
+    so_far = Window.orderBy("at", "key_id", "key_text").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = written(
+        first.withColumn("bytes", F.sum("size").over(so_far)).where(F.col("bytes") <= max_bytes)
+        .select("key_id", "key_text", "label"),
+        "sample",
     )
+    same = (F.col("doc_id") == F.col("key_id")) & (text_key() == F.col("key_text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), same)
+    return found.dropDuplicates(["key_id", "key_text"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label")
 
 
 # A group with more than one of so many rows is heavy: at most so many are broadcast.

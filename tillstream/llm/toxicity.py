@@ -19,6 +19,7 @@ Arrow batches and shuffles nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tillstream.llm.common import labelled_sample
 
-# The bound of the training sample: rows, and characters of each text.
+# The bound of the training sample: rows, and bytes of all their texts.
 SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 50_000
+SAMPLE_BYTES = 64_000_000
 # Share of the ids that is held out: crc32(doc_id) modulo PARTS.
 PARTS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -68,7 +69,7 @@ def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+def numbered(texts: Iterable[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
     """The distinct words, and per text the numbers of its words and of their sentences.
 
     Texts are taken one at a time, so no more than one is held as strings.
@@ -129,7 +130,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+def fit(texts: Iterable[str], labels: np.ndarray) -> ToxicityModel:
     """Noisy-or likelihood of the document labels, by full-batch Adam steps with a penalty on weights.
 
     Without both labels in the sample every document scores the share of label 1 (0 for no rows).
@@ -169,10 +170,12 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     return ToxicityModel({w: float(v) for w, v in zip(chosen, weights, strict=True)}, float(bias))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """The model of the labelled rows outside the held-out share."""
-    rows = labelled_sample(docs, labels, "toxic", PARTS, HELD_OUT, sample_rows, SAMPLE_CHARS).toArrow()
-    return fit(rows["text"].to_pylist(), rows["label"].to_numpy())
+def trained(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES
+) -> ToxicityModel:
+    """The model of the labelled rows outside the held-out share, from a sample bounded in rows and bytes."""
+    rows = labelled_sample(docs, labels, "toxic", PARTS, HELD_OUT, sample_rows, sample_bytes).toArrow()
+    return fit((text.as_py() for text in rows["text"]), rows["label"].to_numpy())
 
 
 class WordScores(dict):
