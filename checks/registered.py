@@ -20,7 +20,7 @@ from tillstream.operators import checks as constraint_checks
 from tillstream.operators import forecast, series, star, text
 from tillstream.operators.clean import clean_sales, cleaning_report
 from tillstream.operators.keys import dense_key
-from tillstream.operators.similarity import top_k_similar
+from tillstream.operators.similarity import recall, top_k_by_projections, top_k_similar
 from tillstream.plans import alerts, live, revenue, summaries
 from tillstream.session import new_folder, written
 from tillstream.sources import lake, warehouse
@@ -640,10 +640,9 @@ def _r2_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three vectors nearest to the mean vector of each label."""
-    vectors = feeds.table(spark, sf_dir, "embeddings")
-    means = (
+def _label_means(vectors: DataFrame) -> DataFrame:
+    """(label, mean): the mean vector of each label."""
+    return (
         vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
         .groupBy("label", "pos")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -651,11 +650,31 @@ def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("parts"))
         .select("label", F.col("parts.x").alias("mean"))
     )
+
+
+def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three vectors nearest to the mean vector of each label."""
+    vectors = feeds.table(spark, sf_dir, "embeddings")
     return top_k_similar(
-        means, vectors, query_id="label", query_vector="mean", vector="embedding"
+        _label_means(vectors), vectors, query_id="label", query_vector="mean", vector="embedding"
     ).withColumnRenamed("query_id", "label")
 
 
+def _r3_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the three nearest vectors of each label's mean, and of each vector whose id is
+    divisible by 100, the projections find."""
+    vectors = feeds.table(spark, sf_dir, "embeddings")
+    means = _label_means(vectors).select((-1 - F.col("label")).cast("long").alias("query_id"), F.col("mean").alias("vector"))
+    asked = vectors.where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    asked = means.unionByName(asked)
+    exact = top_k_similar(asked, vectors, vector="embedding")
+    return recall(top_k_by_projections(asked, vectors, vector="embedding"), exact).select(
+        "neighbours", (F.col("found") >= 0.95 * F.col("neighbours")).alias("recall_0_95")
+    )
+
+
 def _r3_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three warehouse documents nearest to each conversation turn."""
     rarity, postings = text.load_index(spark, feeds.document_index(spark, sf_dir))
@@ -706,6 +725,7 @@ TEXT: dict[str, Query] = {
     "r2_index_documents": _r2,
     "r2_index_given_documents": _r2_given,
     "r3_top_k_similar": _r3,
+    "r3_similar_lsh": _r3_lsh,
     "r3_top_k_documents": _r3_questions,
     "r3_top_k_given_documents": _r3_given,
     "r4_answer_questions": _r4_answers,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import sale, star_of, values
 from tillstream.operators import text
-from tillstream.operators.similarity import top_k_similar
+from tillstream.operators.similarity import recall, top_k_by_projections, top_k_similar
 from tillstream.session import new_folder, written
 
 
@@ -120,3 +120,29 @@ def test_zero_vectors_are_far_from_all(spark):
     asked = rows.select(F.col("vec_id").alias("query_id"), "vector")
     got = dict(((q, v), s) for q, v, s in values(top_k_similar(asked, rows), "query_id", "vec_id", "similarity"))
     assert got == {(1, 1): 0.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0}
+
+
+def test_projections_find_what_the_exact_join_finds(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    near = np.concatenate([centres + 0.1 * rng.normal(size=centres.shape) for _ in range(5)])
+    schema = "id long, vector array<double>"
+    points = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], schema).toDF("vec_id", "vector")
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(centres)], schema).toDF("query_id", "vector")
+    exact = top_k_similar(asked, points)
+    found = top_k_by_projections(asked, points, width=0.8, tables=4)
+    counted = recall(found, exact).first()
+    assert counted["neighbours"] == 120 and counted["found"] >= 114
+    scores = {(q, v): s for q, v, s in values(exact, "query_id", "vec_id", "similarity")}
+    for q, v, s in values(found, "query_id", "vec_id", "similarity"):  # what is found has its exact score
+        assert abs(scores.get((q, v), s) - s) < 2e-6
+    narrow = recall(top_k_by_projections(asked, points, width=0.02, tables=1), exact).first()["found"]
+    assert narrow < counted["found"]
+    assert top_k_by_projections(asked, points, least=0.999999).count() < 10
+
+
+def test_projections_with_vectors_that_are_near_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [3.0, 0.0])]
+    points = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = top_k_by_projections(points.withColumnRenamed("vec_id", "query_id"), points)
+    assert sorted(values(got, "query_id", "vec_id", "similarity")) == [(1, 1, 1.0), (1, 5, 1.0), (5, 1, 1.0), (5, 5, 1.0)]
