@@ -512,6 +512,7 @@ def _f6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "step", F.size("weights").alias("num_weights"), "train_samples", "calibration_samples",
         F.col("regularisation").isin(*forecast.REGULARISATION).alias("is_candidate"),
         (F.col("calibration_loss") < 0.05).alias("loss_below_0_05"),
+        F.col("rounds").between(2, forecast.MOST_ROUNDS).alias("robust_rounds"),
     )
 
 
@@ -524,6 +525,17 @@ def _f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _f7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons that the model has not seen, and whether the bounds hold nine in ten of their totals, within
+    three standard errors of what every seventh horizon, which shares no day with the next, would give."""
+    daily = feeds.daily_series(spark, sf_dir)
+    made = forecast.forecast(daily, feeds.forecaster(spark, sf_dir), forecast.scored_origins(daily))
+    judged = forecast.evaluate_totals(made, daily)
+    inside = F.sum(F.col("inside_bounds") * F.col("num_horizons")) / F.sum("num_horizons")
+    error = F.sqrt(0.9 * 0.1 * series.HORIZON / F.sum("num_horizons"))
+    return judged.agg(F.sum("num_horizons").alias("num_horizons"), (F.abs(inside - 0.9) <= 3 * error).alias("bounds_hold"))
+
+
 def _f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = feeds.daily_series(spark, sf_dir)
     corrected = forecast.scale_correction(feeds.next_week(daily), forecast.recent_mean(daily))
@@ -707,6 +719,7 @@ FORECAST: dict[str, Query] = {
     "f5_chrono_split": _f5,
     "f6_fit_forecaster": _f6,
     "f7_forecast": _f7,
+    "f7_horizon_totals": _f7_totals,
     "f8_scale_correction": _f8,
     "f9_forecast_kpis": lambda spark, d: forecast.forecast_kpis(
         feeds.next_week(feeds.daily_series(spark, d))

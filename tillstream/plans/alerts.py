@@ -58,13 +58,18 @@ def anomaly_alerts(trend: DataFrame) -> DataFrame:
 
 
 def forecast_report(forecast: DataFrame) -> DataFrame:
-    """One row per series: the horizon as arrays in date order, and the projected total."""
+    """One row per series: the horizon as arrays in date order, the projected total, and its bounds where
+    the forecasts carry them."""
+    bounds = [name for name in ("total_lower", "total_upper") if name in forecast.columns]
     days = F.array_sort(
         F.collect_list(F.struct("ds", "forecast", "lower_ci", "upper_ci"))
     )
     return (
         forecast.groupBy("series")
-        .agg(days.alias("days"), F.round(F.sum("forecast"), 2).alias("total_projected"))
+        .agg(
+            days.alias("days"), F.round(F.sum("forecast"), 2).alias("total_projected"),
+            *[F.max(name).alias(name) for name in bounds],
+        )
         .select(
             "series",
             F.lit("demand_forecast").alias("type"),
@@ -74,6 +79,7 @@ def forecast_report(forecast: DataFrame) -> DataFrame:
             F.col("days.lower_ci").alias("lower_ci"),
             F.col("days.upper_ci").alias("upper_ci"),
             "total_projected",
+            *bounds,
         )
     )
 
