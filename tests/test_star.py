@@ -48,6 +48,33 @@ def test_latest_sale_describes_the_product(spark):
     assert (product["description"], product["price_band"]) == ("new", "HIGH")
 
 
+def test_latest_sale_among_several_at_one_time(spark):
+    """Equal times are settled by invoice, then description; a country counts only where there is one."""
+    rows = [
+        sale("5", description="cup", customer="a", country="Spain"), sale("7", description="mug", customer="a", country="Italy"),
+        sale("7", description="bowl", customer="a", country="Italy"),
+        sale("9", customer="a", country=None, code="B", when="2021-01-01 00:00:00"), sale("8", customer="b", country=None),
+    ]
+    made = star_of(spark, rows)
+    assert one(made.dim_product, "stock_code = 'A'", "description") == "thing"  # invoice 8 is the largest
+    assert {c: k for c, k in values(made.dim_customer, "customer_id", "country")} == {"a": "Italy", "b": None, "GUEST": "Unknown"}
+    scores = {r["customer_id"]: r for r in star.customer_scores(lake_of(spark, rows)).collect()}
+    assert (scores["a"]["frequency"], scores["a"]["monetary"], scores["a"][star.WEIGHT]) == (3, 20.0, 4)
+
+
+def test_no_dimension_sorts_the_sales(spark):
+    """Sort aggregates see the rows of the newest times only, behind the join; those over the sales hash."""
+    sales = lake_of(spark, [sale("1"), sale("2", code="B", customer=None)])
+    newest = sales.groupBy("StockCode").agg(F.max("InvoiceDate").alias("newest"))
+    for rows in (newest, star._customer_measures(sales)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        for number, line in enumerate(plan.splitlines()):
+            below = plan.splitlines()[number + 1 :]
+            if "SortAggregate" in line:
+                assert any("Join" in other for other in below)
+        assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
 def test_null_country_keeps_the_sale(spark):
     made = star_of(spark, [sale("1", country=None), sale("2", country="Japan")])
     assert sorted(values(made.fact_sales, "invoice", "geo_key")) == [("1", None), ("2", 1)]

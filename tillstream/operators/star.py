@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillstream.functions.columns import (
     GUEST,
+    cents,
     customer_or_guest,
     date_key,
     month_key,
@@ -79,29 +80,68 @@ def build_dim_date(sales: DataFrame) -> DataFrame:
     )
 
 
-def _latest(*columns: str) -> Column:
-    """The columns as of the last sale: by time, then by the remaining columns, a total order."""
-    order = F.struct("InvoiceDate", "Invoice", "Description", "Price", "Quantity", "Country")
-    return F.max_by(F.struct(*columns), order)
+def _at_newest(sales: DataFrame, newest: DataFrame, key: str) -> DataFrame:
+    """The sales of each key at its newest time: few rows, which alone are compared further.
+
+    ``newest`` has a row per key with ``newest``. Both come from aggregates over numbers, which hash;
+    comparing whole rows by structs would sort the lake. Spark broadcasts ``newest`` where it is small, else
+    deals both sides by key and time, which a frequent key does not skew.
+    """
+    at = newest.select(F.col(key).alias("_key"), F.col("newest").alias("_newest"))
+    return sales.join(at, F.col(key).eqNullSafe(F.col("_key")) & F.col("InvoiceDate").eqNullSafe(F.col("_newest"))).drop(
+        "_key", "_newest")
 
 
 def build_dim_product(sales: DataFrame) -> DataFrame:
-    """Latest description and price per stock code, keys in code order."""
-    products = (
-        sales.where(F.col("StockCode").isNotNull())
-        .groupBy(F.col("StockCode").alias("stock_code"))
-        .agg(_latest("Description", "Price").alias("last"), F.count("*").alias(WEIGHT))
-        .select(
-            "stock_code",
-            F.col("last.Description").alias("description"),
-            price_band(F.col("last.Price")).alias("price_band"),
-            F.col("last.Price").alias("unit_price"),
-            WEIGHT,
-        )
+    """Latest description and price per stock code, keys in code order.
+
+    The latest sale is that of the newest time, then the largest by invoice, description, price, quantity
+    and country: a total order.
+    """
+    coded = sales.where(F.col("StockCode").isNotNull())
+    newest = coded.groupBy("StockCode").agg(F.max("InvoiceDate").alias("newest"), F.count("*").alias(WEIGHT))
+    order = F.struct("Invoice", "Description", "Price", "Quantity", "Country")
+    last = _at_newest(coded, newest, "StockCode").groupBy("StockCode").agg(F.max(order).alias("last"))
+    products = last.join(newest, "StockCode").select(
+        F.col("StockCode").alias("stock_code"),
+        F.col("last.Description").alias("description"),
+        price_band(F.col("last.Price")).alias("price_band"),
+        F.col("last.Price").alias("unit_price"),
+        WEIGHT,
     )
     return dense_key(products, ["stock_code"], "product_key").select(*DIM_PRODUCT, WEIGHT)
 
 
+def _customer_measures(sales: DataFrame) -> DataFrame:
+    """Times, invoices, money, newest known country and rows per customer.
+
+    Sums per customer and invoice come first, so that counting invoices needs no sets.
+    """
+    named = sales.withColumn("customer_id", customer_or_guest(F.col("CustomerID")))
+    by_invoice = named.groupBy("customer_id", "Invoice").agg(
+        F.min("InvoiceDate").alias("first_at"),
+        F.max("InvoiceDate").alias("last_at"),
+        F.max(F.when(F.col("Country").isNotNull(), F.col("InvoiceDate"))).alias("newest"),
+        F.sum(cents(F.col("Revenue"))).alias("cents"),
+        F.count("*").alias(WEIGHT),
+    )
+    measures = by_invoice.groupBy("customer_id").agg(
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.count("Invoice").alias("frequency"),
+        (F.sum("cents") / F.lit(100.0)).alias("monetary"),
+        F.max("newest").alias("newest"),
+        F.sum(WEIGHT).alias(WEIGHT),
+    )
+    placed = named.where(F.col("Country").isNotNull())
+    last = _at_newest(placed, measures, "customer_id").groupBy("customer_id").agg(
+        F.max(F.struct("Invoice", "Country")).alias("last")
+    )
+    return measures.join(last, "customer_id", "left").select(
+        "customer_id", "first_at", "last_at", "frequency", "monetary", F.col("last.Country").alias("country"), WEIGHT
+    )
+
+
 def customer_scores(sales: DataFrame) -> DataFrame:
     """Recency, frequency, monetary value and their weighted 0-1 score per known customer.
 
@@ -109,20 +149,7 @@ def customer_scores(sales: DataFrame) -> DataFrame:
     value over all customers, and counts 0.5 where those are equal. The measures are stored
     once, so that finding the limits does not aggregate the sales again.
     """
-    seen_country = F.when(
-        F.col("Country").isNotNull(), F.struct("InvoiceDate", "Invoice", "Country")
-    )
-    measures = written(
-        sales.groupBy(customer_or_guest(F.col("CustomerID")).alias("customer_id")).agg(
-            F.min("InvoiceDate").alias("first_at"),
-            F.max("InvoiceDate").alias("last_at"),
-            F.count_distinct("Invoice").alias("frequency"),
-            money_sum(F.col("Revenue")).alias("monetary"),
-            F.max_by("Country", seen_country).alias("country"),
-            F.count("*").alias(WEIGHT),
-        ),
-        "customer-measures",
-    )
+    measures = written(_customer_measures(sales), "customer-measures")
     known = F.col("customer_id") != GUEST
 
     def limit(of, name: str) -> Column:
