@@ -78,6 +78,21 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_csv_dir(spark: SparkSession, sf_dir: str) -> str:
+    """The raw sales as lines without a header; those to China whose customer number ends with 7 have a
+    field too many, those to Japan ending with 3 have a quantity that is no number."""
+
+    def fill(path: str) -> None:
+        rows = raw_sales(spark, sf_dir)
+        many = (F.col("Country") == "CHINA") & F.col("Customer ID").endswith("7")
+        odd = (F.col("Country") == "JAPAN") & F.col("Customer ID").endswith("3")
+        rows = rows.withColumn("Quantity", F.when(odd, "some").otherwise(F.col("Quantity").cast("string")))
+        line = F.to_csv(F.struct(*rows.columns), {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'})
+        rows.select(F.when(many, F.concat(line, F.lit(",surplus"))).otherwise(line).alias("value")).write.text(path)
+
+    return once(spark, sf_dir, "faulty-csv", fill)
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country to region; the Middle East is left out so that the default region occurs."""
     nation = table(spark, sf_dir, "nation")

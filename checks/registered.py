@@ -75,6 +75,21 @@ def _c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _c5_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a folder in which sales of one country to some customers have a field too many, and
+    those of another a quantity that is no number."""
+    path = feeds.faulty_csv_dir(spark, sf_dir)
+    return cleaning_report(
+        lake.read_sales_csv(spark, path, header=False), lake.rejected_lines(spark, path, header=False)
+    )
+
+
+def _s1_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.rejected_lines(spark, feeds.faulty_csv_dir(spark, sf_dir), header=False).groupBy("reason", "kept").agg(
+        F.count("*").alias("num_lines"), F.count_distinct("line").alias("num_texts")
+    )
+
+
 def _a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = revenue.top_products(feeds.star(spark, sf_dir)).select(
         "stock_code", "description", "total_units",
@@ -108,6 +123,7 @@ def on_star(plan: Callable[..., DataFrame], **options) -> Query:
 
 BATCH: dict[str, Query] = {
     "s1_read_sales_csv": lambda spark, d: lake.read_sales_csv(spark, feeds.csv_dir(spark, d)),
+    "s1_rejected_lines": _s1_rejected,
     "s3_read_lake": lambda spark, d: lake.lake_summary(feeds.sales(spark, d)),
     "s4_ingest": lambda spark, d: feeds.sales(spark, d),
     "c1_clean_sales": lambda spark, d: clean_sales(
@@ -116,6 +132,7 @@ BATCH: dict[str, Query] = {
     "c5_cleaning_report": lambda spark, d: cleaning_report(
         lake.read_sales_csv(spark, feeds.csv_dir(spark, d))
     ),
+    "c5_report_with_rejects": _c5_rejects,
     "c7_price_band": _c7,
     "c8_rfm_scores": _c8,
     "c9_region_of_country": _c9,

@@ -28,6 +28,33 @@ def test_csv_skips_long_lines_and_fills_short_ones(spark, tmp_path):
     assert str(rows["1"]["InvoiceDate"]) == "2010-01-02 03:04:05"
 
 
+def test_rejected_lines_and_reasons(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    good = "1,A,\"tea, green\",2,2010-01-02 03:04:05,1.5,17,France\n"
+    many = "3,C,\"a \"\"big\"\" cup, blue\",1,2010-01-02 03:04:05,2.5,18,France,one,two,three"
+    few, odd = "2,B,cup,1,2010-01-02 03:04:05,2.5,18", "4,D,cup,some,2010-01-02 03:04:05,2.5,18,Spain"
+    late = "5,D,cup,1,yesterday,2.5,18,Spain"
+    path.write_text(HEADER + good + "\n".join([many, few, odd, "", late, many]) + "\n" + good, encoding="utf-8")
+    got = lake.rejected_lines(spark, str(path))
+    assert sorted(values(got, "line", "reason", "kept")) == sorted([
+        (many, "too many fields", False), (few, "too few fields", True), (odd, "unreadable value", True),
+        (late, "unreadable value", True), (many, "too many fields", False)])
+    assert {f for f, in values(got, "source_file")} == {"sales.csv"}
+    report = cleaning_report(lake.read_sales_csv(spark, str(path)), got).first()
+    assert (report["raw_rows"], report["skipped_lines"], report["lines"]) == (5, 2, 7)
+    stored = new_folder(spark, "rejects")
+    lake.ingest(spark, str(path), new_folder(spark, "lake"), stored)
+    assert spark.read.parquet(stored).count() == 5
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text(HEADER + "1,A,\"tea\nfor two\",2,2010-01-02 03:04:05,1.5,17,France\n", encoding="utf-8")
+    assert values(lake.read_sales_csv(spark, str(path), multi_line=True), "Description", "Country") == [("tea\nfor two", "France")]
+    assert lake.rejected_lines(spark, str(path), multi_line=True).count() == 0
+    assert lake.read_sales_csv(spark, str(path)).count() == 2  # as two short lines
+
+
 def test_cleaning_rules(spark):
     rows = [
         sale("1"),

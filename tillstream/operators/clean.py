@@ -45,13 +45,21 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     return with_revenue(keep_sales(raw))
 
 
-def cleaning_report(raw: DataFrame) -> DataFrame:
-    """One row: raw, kept and dropped counts; a dropped row counts under the first rule it broke."""
+def cleaning_report(raw: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """One row: raw, kept and dropped counts; a dropped row counts under the first rule it broke.
+
+    With the ``rejected`` lines of the same files, ``skipped_lines`` counts those that are no raw rows,
+    and ``lines`` all lines of the files.
+    """
     live = ~is_cancelled()
-    return raw.agg(
+    report = raw.agg(
         F.count("*").alias("raw_rows"),
         F.count_if(live & is_complete() & is_positive()).alias("kept_rows"),
         F.count_if(~live).alias("cancelled_rows"),
         F.count_if(live & ~is_complete()).alias("incomplete_rows"),
         F.count_if(live & is_complete() & ~is_positive()).alias("non_positive_rows"),
     )
+    if rejected is None:
+        return report
+    skipped = rejected.agg(F.count_if(~F.col("kept")).alias("skipped_lines"))
+    return report.join(F.broadcast(skipped)).withColumn("lines", F.col("raw_rows") + F.col("skipped_lines"))  # one row each
