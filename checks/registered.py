@@ -732,6 +732,9 @@ FORECAST: dict[str, Query] = {
     "f1_calendar_features": _f1,
     "f2_log_features": _f2,
     "f3_minmax": _f3,
+    "f3_level_quantiles": lambda spark, d: series.level_quantiles(feeds.daily_series(spark, d)).withColumn(
+        "level", F.round("level", 4)
+    ),
     "f4_sliding_samples": _f4,
     "f5_chrono_split": _f5,
     "f6_fit_forecaster": _f6,

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from tests.helpers import lake_of, one, sale, star_of, values
 from tillstream.functions.columns import price_band, rfm_segment
 from tillstream.operators import star
-from tillstream.operators.checks import check_constraints
+from tillstream.operators.checks import _repeated, check_constraints
 from tillstream.operators.keys import dense_key, place_rows
 from tillstream.operators.lookup import lookup_key
+from tillstream.session import new_folder
 
 
 @pytest.mark.parametrize("price, band", [(1.99, "LOW"), (2.0, "MID"), (9.99, "MID"), (10.0, "HIGH")])
@@ -119,6 +120,29 @@ def test_sales_without_date_or_product_are_found(spark):
     assert found["fact_sales", "not_null", "date_key"] == 1 and found["fact_sales", "not_null", "product_key"] == 2
 
 
+@pytest.mark.parametrize("planted", [[], [5], [5, 5, 64, 127, 128], [-1, -64, -65, -65], [None], [None, None, 2**62, 2**62]])
+def test_repeated_numbers_inside_and_across_files(spark, planted):
+    """Doubles beside their first and in another file, negative and very large numbers, missing ones."""
+    path = new_folder(spark, "numbers")
+    spark.range(1000).repartitionByRange(4, "id").write.parquet(path)
+    spark.createDataFrame([(v,) for v in planted], "id long").coalesce(1).write.mode("append").parquet(path)
+    rows = spark.read.parquet(path)
+    ids = [*range(1000), *planted]
+    assert _repeated("t", rows, ["id"]).first()["violations"] == len(ids) - len(set(ids))
+    plain = rows.select(F.col("id").cast("string").alias("id"))
+    assert _repeated("t", plain, ["id"]).first()["violations"] == len(ids) - len(set(ids))
+
+
+def test_unique_numbers_are_handed_on_by_words(spark):
+    """A 64th of the rows leaves the tasks where numbers lie together."""
+    path = new_folder(spark, "numbers")
+    spark.range(64_000).repartitionByRange(4, "id").write.parquet(path)
+    words = spark.read.parquet(path).select(F.spark_partition_id().alias("task"), F.shiftright("id", 6).alias("word"))
+    assert words.distinct().count() <= 1000 + 8
+    plan = _repeated("t", spark.read.parquet(path), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
 def test_dense_key_over_many_equal_rows(spark):
     """A third of the rows are copies of one; they spread over the tasks and get all numbers."""
     rows = spark.range(30_000).select(
