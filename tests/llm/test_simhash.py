@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm import inputs
 from tillstream.llm import simhash
@@ -76,6 +77,25 @@ def test_links_are_those_of_all_pairs():
     assert got == set(zip(*np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= 4), strict=True))
 
 
+def test_pairs_of_tiles_are_those_of_all_cells_and_spread_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    values = np.unique(rng.integers(-(2**63), 2**63 - 1, 6_000))
+    nodes = spark.createDataFrame([(int(v),) for v in values], "fingerprint long")
+    halves = np.bitwise_count(values.astype("<i8").view("<u4").reshape(-1, 2)).astype(int)
+    near = np.abs(halves[:, None, :] - halves[None, :, :]).sum(axis=2) <= 4
+    pairs = simhash.tile_pairs(nodes, 4, 20, work=2e5)
+    found = pairs.select(F.spark_partition_id().alias("task"), "mine", "theirs").collect()
+    met, work = np.zeros(near.shape, dtype=int), {}
+    for task, mine, theirs in found:
+        work[task] = work.get(task, 0) + len(mine) * len(theirs)
+        i, j = np.searchsorted(values, mine), np.searchsorted(values, theirs)
+        met[np.ix_(i, j)] += 1
+        if i[0] != j[0]:
+            met[np.ix_(j, i)] += 1
+    assert (met == near).all()  # each pair that the counts allow once, the others never
+    assert len(work) > 20 and max(work.values()) < 2 * np.median(list(work.values()))
+
+
 def test_neighbours_cover_every_pair_of_cells_once():
     steps = simhash._neighbours(4)
     for a in range(-5, 6):

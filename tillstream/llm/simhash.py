@@ -2,8 +2,8 @@
 
 Fingerprints lie in cells by the population counts of their two halves. Two fingerprints that differ
 in at most ``radius`` bits lie in cells whose counts differ by at most ``radius`` in sum, so only
-such cells meet; a cell's fingerprints are dealt into tiles of bounded size, packed as bytes, and a
-task compares one pair of tiles with exclusive-or and bit counts. Inside the task the counts of the
+such cells meet; a cell's fingerprints are dealt into tiles of bounded size, and pairs of tiles are
+dealt over all tasks, which compare them with exclusive-or and bit counts. Inside a pair of tiles the counts of the
 four quarters rule out most of the remaining pairs in the same way. No bucket is capped and nothing
 is approximate: every pair is either compared or ruled out by its counts.
 
@@ -29,6 +29,11 @@ RADIUS = 4
 SEED = 42
 # Fingerprints per tile: 0.5 MB. A task holds a pair of tiles.
 TILE = 65_536
+# Tiles of a cell that travel together; a key of the comparison is a pair of such chunks.
+CHUNK = 4
+# Comparisons of a task, before the counts of quarters rule most of them out, and the most tasks.
+WORK = float(1 << 28)
+MOST_TASKS = 20_000
 # Numbers of one block of the comparison.
 _BLOCK = 1 << 21
 
@@ -130,14 +135,21 @@ def _neighbours(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in steps for b in steps if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
 
 
-def linked(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(low, high): links between distinct fingerprints that join the same groups as all links."""
+def _cells(nodes: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The tiles (a, b, part, values), and the pairs of cells that meet (a, b, a2, b2, chunks, chunks2, work).
+
+    A cell's tiles are told off in chunks of ``CHUNK``. There are 33 x 33 cells at most, so at most
+    27,225 pairs of them.
+    """
     cell = [
         F.bit_count(F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"),
         F.bit_count(F.shiftrightunsigned("fingerprint", 32)).alias("b"),
     ]
     placed = nodes.select("fingerprint", *cell)
-    counts = placed.groupBy("a", "b").agg(F.ceil(F.count("*") / tile).alias("parts"))  # 33 x 33 at most
+    counts = written(
+        placed.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", "n", F.ceil(F.col("n") / tile).alias("parts")),
+        "cells",
+    )
     dealt = placed.join(F.broadcast(counts), ["a", "b"]).withColumn(
         "part", F.pmod(F.xxhash64("fingerprint"), F.col("parts"))
     )
@@ -145,13 +157,47 @@ def linked(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         dealt.groupBy("a", "b", "part").agg(F.collect_list("fingerprint").alias("values")), "tiles"
     )
     steps = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(b).alias("db")) for a, b in _neighbours(radius)])
-    left = tiles.select("a", "b", "part", F.col("values").alias("mine"), F.explode(steps).alias("step")).select(
-        (F.col("a") + F.col("step.da")).alias("a"), (F.col("b") + F.col("step.db")).alias("b"),
-        ((F.col("step.da") == 0) & (F.col("step.db") == 0)).alias("same_cell"),
-        F.col("part").alias("my_part"), "mine",
+    chunks = F.ceil(F.col("parts") / CHUNK)
+    mine = counts.select("a", "b", "n", chunks.alias("chunks"), F.explode(steps).alias("step"))
+    theirs = counts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), chunks.alias("chunks2"))
+    meet = mine.withColumns({"a2": F.col("a") + F.col("step.da"), "b2": F.col("b") + F.col("step.db")})
+    return tiles, meet.join(F.broadcast(theirs), ["a2", "b2"]).select(
+        "a", "b", "a2", "b2", "chunks", "chunks2", (F.col("n").cast("double") * F.col("n2")).alias("work")
     )
-    right = tiles.select("a", "b", "part", F.col("values").alias("theirs"))
-    pairs = left.join(right, ["a", "b"]).where(~F.col("same_cell") | (F.col("my_part") <= F.col("part")))
+
+
+def tile_pairs(nodes: DataFrame, radius: int, tile: int, work: float = WORK) -> DataFrame:
+    """(mine, theirs): the pairs of tiles to compare, dealt over tasks by number and not by cell.
+
+    Each tile is sent to the chunks that it meets; a pair of chunks is a key of at most ``CHUNK`` x
+    ``CHUNK`` pairs of tiles, so the fullest cells spread over as many tasks as they have such keys.
+    The number of tasks follows the comparisons to make, which bytes say nothing about.
+    """
+    tiles, meet = _cells(nodes, radius, tile)
+    meet = written(meet, "meet")
+    total = meet.agg(F.sum("work")).first()[0] or 0.0
+    tasks = int(min(max(1, -(-total // work)), MOST_TASKS))
+    same = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    wanted = ~same | (F.col("chunk") <= F.col("chunk2"))
+    key = ["a", "b", "a2", "b2", "chunk", "chunk2"]
+
+    def told_off(side: tuple[str, str], own: str, other: str, others: str, values: str) -> DataFrame:
+        rows = tiles.select(F.col("a").alias(side[0]), F.col("b").alias(side[1]), "part", F.col("values").alias(values))
+        return (
+            rows.join(F.broadcast(meet), list(side))
+            .withColumn(own, F.floor(F.col("part") / CHUNK))
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+            .where(wanted).select(*key, F.col("part").alias(f"{values}_part"), values)
+            .repartition(tasks, *key)
+        )
+
+    left = told_off(("a", "b"), "chunk", "chunk2", "chunks2", "mine")
+    right = told_off(("a2", "b2"), "chunk2", "chunk", "chunks", "theirs")
+    return left.join(right, key).where(~same | (F.col("mine_part") <= F.col("theirs_part"))).select("mine", "theirs")
+
+
+def linked(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(low, high): links between distinct fingerprints that join the same groups as all links."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +213,7 @@ def linked(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
                 if len(low):
                     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
 
-    return pairs.select("mine", "theirs").mapInArrow(compare, "low long, high long")
+    return tile_pairs(nodes, radius, tile).mapInArrow(compare, "low long, high long")
 
 
 def near_duplicates(
