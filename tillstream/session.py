@@ -66,6 +66,12 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def free(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job has made and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch_freed(spark: SparkSession) -> Iterator[None]:
     """Delete the scratch folders of a job that stores its result inside this block.
@@ -84,8 +90,7 @@ def scratch_freed(spark: SparkSession) -> Iterator[None]:
             if done:
                 _scratch.clear()
         for path in done:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            free(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
