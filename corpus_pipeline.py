@@ -12,7 +12,7 @@ from tillstream.llm.decontamination import drop_contaminated
 from tillstream.llm.exact_dedup import drop_exact_duplicates
 from tillstream.llm.queries import digests_of_tokens, word_vocabulary
 from tillstream.llm.simhash import drop_near_duplicates
-from tillstream.session import new_folder, scratch_freed
+from tillstream.session import free, new_folder, scratch_freed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,12 +52,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents that all stages keep.
 
-    A stage that keeps nothing hands on an empty table, and the result is empty.
+    Null, empty and very long texts, null ids, rows repeated in full and extra columns of any name are
+    handled as each stage states: such rows go only as toxic, copies or contaminated ones. Of rows
+    repeated in full one stays. A stage that keeps nothing hands on an empty table, and the result is
+    empty. A stage's folder goes once the next stage has stored its own.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
         with scratch_freed(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            free(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
