@@ -3,11 +3,13 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import lake_of, sale, values
+from checks import feeds
+from tests.helpers import at, lake_of, sale, values
 from tillstream import schemas
 from tillstream.operators.events import enrich_events
 from tillstream.plans import live
 from tillstream.session import new_folder
+from tillstream.sources.hot import HotTable
 from tillstream.sources.live_store import LiveStore
 from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
 
@@ -174,3 +176,25 @@ def test_reset_starts_an_empty_generation(spark):
     store.reset()
     assert store.hot().count() == 0 and store.forecasts().read().count() == 0
     assert store.checkpoint("hot") != before and store.generation == 1 and store.files() == 0
+
+
+def test_a_batch_with_repeats_keeps_each_event_once_and_others_as_they_are(spark):
+    """Places met before are left out, those repeated in the batch stay once, and a batch without either is not joined."""
+    table = HotTable(spark, new_folder(spark, "hot-repeats"))
+    def batch(places):
+        rows = [("1", "A", "tea", 1.0, 2.0, 2.0, "7", "France", at("2020-01-01 10:00:00"), at("2020-01-01").date(), p,
+                 at("2020-01-02 00:00:00"), 202001) for p in places]
+        return spark.createDataFrame(rows, schemas.HOT_EVENT)
+    first = batch([0, 1, None, None])
+    places = first.where("row_in_day is not null").select("sale_month", "simulated_day", "row_in_day")
+    assert table._unseen(first, table._met(places, "r", 0)) is first
+    for number, sent in enumerate(([0, 1, None, None], [1, 2, 2, 3, None], [2, 0])):
+        table.append(batch(sent), "r", number, distinct=True)
+    assert sorted(r[0] for r in values(table.read().where("row_in_day is not null"), "row_in_day")) == [0, 1, 2, 3]
+    assert table.read().where("row_in_day is null").count() == 3
+
+
+def test_text_feeds_are_compressed(spark):
+    assert all(name.endswith(".gz") for f in (feeds.csv_dir, feeds.event_dir) for name in folder_names(
+        spark, f(spark, "/root/testdata/sf0.001")) if name.startswith("part-"))
+    assert feeds.event_pieces(spark, "/root/testdata/sf0.001") == 1
