@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import sale, star_of, values
-from tillstream.operators import text
+from tillstream.operators import similarity, text
 from tillstream.operators.similarity import recall, top_k_by_projections, top_k_similar
 from tillstream.session import new_folder, written
 
@@ -146,3 +146,36 @@ def test_projections_with_vectors_that_are_near_nothing(spark):
     points = spark.createDataFrame(rows, "vec_id long, vector array<double>")
     got = top_k_by_projections(points.withColumnRenamed("vec_id", "query_id"), points)
     assert sorted(values(got, "query_id", "vec_id", "similarity")) == [(1, 1, 1.0), (1, 5, 1.0), (5, 1, 1.0), (5, 5, 1.0)]
+
+
+def test_nearest_texts_in_many_blocks(spark, monkeypatch):
+    """Documents and questions that are cut into blocks give what one block gives, keys without a value included."""
+    monkeypatch.setattr(text, "_BLOCK_TERMS", 4)
+    texts = [(None if i == 11 else i, " ".join(f"w{(i * j) % 13}" for j in range(1, 2 + i % 6))) for i in range(40)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    path = new_folder(spark, "index")
+    text.index_documents(documents, path)
+    rarity, postings = text.load_index(spark, path)
+    asked = documents.where("doc_id is null or doc_id % 3 = 0").withColumnRenamed("doc_id", "conv")
+    found = text.nearest_texts(asked, rarity, postings, ["conv"])
+    wanted = sorted(
+        (-1 if q is None else q, -1 if i is None else i, s)
+        for q, t in texts if q is None or q % 3 == 0
+        for i, s in plain_nearest([(-1 if i is None else i, t) for i, t in texts], t, 3)
+    )
+    assert sorted((-1 if q is None else q, -1 if i is None else i, s) for q, i, s in values(found, "conv", "doc_id", "similarity")) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # pairs of a question and a document are added up inside the tasks, not joined
+
+
+def test_projections_in_many_cells(spark, monkeypatch):
+    """Buckets that are cut into cells lose no pair, and copies of a vector count once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    points = spark.createDataFrame(rows + rows[:9], "vec_id long, vector array<double>")
+    asked = points.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, top_k_by_projections(asked, points).collect()))
+    monkeypatch.setattr(similarity, "_CELL_VECTORS", 7)
+    found = top_k_by_projections(asked, points)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 45
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +110,24 @@ BUCKET_WIDTH = 2.5
 PROJECTIONS = 6
 
 
-def _unit_vectors(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """(name, unit): ids and vectors of length one; a vector that is null, zero or not finite is near nothing."""
+# Vectors of a bucket that meet in one task.
+_CELL_VECTORS = 20_000
+
+
+def _whole_vectors(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(name, numbers): ids and vectors, stored; one that is null, zero or not finite is near nothing."""
     whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     wanted = rows.where(whole & F.exists(vector, lambda x: x != 0)).select(
-        F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("numbers")
+        F.col(key).cast("long").alias(name), F.col(vector).alias("numbers")
     )
     # Stored, because Spark may otherwise run the vector functions before it has left rows out.
-    raw = written(wanted, "vectors").select(name, array_to_vector("numbers").alias("raw"))
-    return Normalizer(inputCol="raw", outputCol="unit").transform(raw).select(name, "unit")
+    return written(wanted, "vectors")
+
+
+def _unit_vectors(rows: DataFrame) -> DataFrame:
+    """``rows`` with the vectors of length one as ``unit``."""
+    raw = rows.withColumn("raw", array_to_vector(F.col("numbers").cast("array<double>")))
+    return Normalizer(inputCol="raw", outputCol="unit").transform(raw).drop("raw")
 
 
 def top_k_by_projections(
@@ -126,20 +137,68 @@ def top_k_by_projections(
 ) -> DataFrame:
     """(query_id, vec_id, similarity, place) of up to k near vectors per query with a similarity of at least ``least``.
 
-    Vectors meet by an equi-join on table and bucket; each pair is scored once and exactly. Narrower
+    Vectors meet by table and bucket, a large bucket's in several cells; a task scores a cell's pairs exactly by a
+    matrix product and hands on each query's k best, so pairs are never stored. Narrower
     buckets leave more pairs out, more tables bring more of them back: for neighbours at distance d choose
     a width of about 2 d. A query whose neighbours are all missed has fewer than k.
     """
-    asked = _unit_vectors(queries, query_id, query_vector, "query_id")
-    known = _unit_vectors(vectors, vector_id, vector, "vec_id")
+    asked = _whole_vectors(queries, query_id, query_vector, "query_id")
+    known = _whole_vectors(vectors, vector_id, vector, "vec_id")
+    unit = _unit_vectors(known)
     hashing = BucketedRandomProjectionLSH(
         inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=seed
-    ).fit(known)
-    farthest = float(np.sqrt(2 - 2 * least)) + 1e-9
-    near = hashing.approxSimilarityJoin(asked, known, farthest, "distance").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 2, DECIMALS).alias("similarity"),
-    )
+    ).fit(unit)
+    parts = {"known_part": max(1, -(-known.count() // _CELL_VECTORS)), "asked_part": max(1, -(-asked.count() // _CELL_VECTORS))}
+
+    def dealt(hashed: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """A row per table and part of the other side, with the bucket and the part of its own side."""
+        found = hashing.transform(hashed).select(name, "numbers", F.posexplode("buckets").alias("table", "hashed"))
+        return found.select(
+            name, "numbers", "table", vector_to_array("hashed")[0].cast("long").alias("bucket"),
+            F.pmod(F.xxhash64(name), F.lit(parts[own])).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other),
+        )
+
+    decimals, farthest = DECIMALS, float(np.sqrt(2 - 2 * least)) + 1e-9
+
+    def scaled(numbers: pa.ChunkedArray, rows: int) -> np.ndarray:
+        flat = numbers.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.astype("float64").reshape(rows, -1)
+        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, found, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            asked, known = scaled(left["numbers"], left.num_rows), scaled(right["numbers"], right.num_rows)
+            coded = right["vec_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+            ids = np.empty(len(coded.dictionary), dtype="int64")  # ids in order, a null first
+            ids[pc.array_sort_indices(coded.dictionary, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+            of = ids[coded.indices.to_numpy(zero_copy_only=False)]
+            repeats = len(ids) < len(of)
+            for at in range(0, len(asked), 256):  # some 40 MB of scores at a time
+                for row, score in enumerate(asked[at : at + 256] @ known.T, at):
+                    near = np.flatnonzero(np.sqrt(np.maximum(2 - 2 * score, 0)) < farthest)
+                    score = np.round(score[near], decimals)
+                    if repeats:  # a vector that is there several times counts once
+                        near = near[np.unique(np.stack([of[near], score]), axis=1, return_index=True)[1]]
+                        score = np.round(asked[row] @ known[near].T, decimals)
+                    if len(near) > k:
+                        kept = score >= np.partition(score, -k)[-k]
+                        near, score = near[kept], score[kept]
+                    first = np.lexsort((of[near], -score))[:k]
+                    rows += [row] * len(first)
+                    found.append(near[first])
+                    scores.append(score[first])
+        whole = pa.array(np.concatenate(found) if found else [], pa.int64())
+        return pa.table({
+            "query_id": left["query_id"].take(pa.array(rows, pa.int64())), "vec_id": right["vec_id"].take(whole),
+            "similarity": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+        })
+
+    cell = ["table", "bucket", "known_part", "asked_part"]
+    near = dealt(_unit_vectors(asked), "query_id", "asked_part", "known_part").groupBy(*cell).cogroup(
+        dealt(unit, "vec_id", "known_part", "asked_part").groupBy(*cell)
+    ).applyInArrow(nearest, "query_id bigint, vec_id bigint, similarity double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
