@@ -198,3 +198,14 @@ def test_hot_key_rows_leave_the_shuffle_balanced(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_newest_country_is_found_among_invoices_not_in_the_lake(spark):
+    """The newest known country, of the largest invoice at that time, without a second read of the sales."""
+    rows = [sale("1", when="2020-01-02 10:00:00", country="Spain"), sale("1", when="2020-01-02 10:00:00", country="Italy"),
+            sale("2", when="2020-01-02 10:00:00", country="France"), sale("2", when="2020-01-01 09:00:00", country="Spain"),
+            sale("3", when="2020-01-03 10:00:00", country=None)]
+    found = star._customer_measures(lake_of(spark, rows))
+    row = found.first()
+    assert (row["country"], row["frequency"], row["_rows"], found.count()) == ("France", 3, 5, 1)
+    assert all("test-lake" not in name for name in found.inputFiles())
