@@ -9,6 +9,7 @@ from tillstream import schemas
 from tillstream.operators.events import enrich_events
 from tillstream.plans import live
 from tillstream.session import new_folder
+from tillstream.sources.events import hot_events, parse_events
 from tillstream.sources.hot import HotTable
 from tillstream.sources.live_store import LiveStore
 from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
@@ -198,3 +199,61 @@ def test_text_feeds_are_compressed(spark):
     assert all(name.endswith(".gz") for f in (feeds.csv_dir, feeds.event_dir) for name in folder_names(
         spark, f(spark, "/root/testdata/sf0.001")) if name.startswith("part-"))
     assert feeds.event_pieces(spark, "/root/testdata/sf0.001") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_in_so_many_partitions_are_not_dealt_again(spark):
+    rows = lake_of(spark, [sale(str(i), when=f"2020-01-{1 + i // 9:02} 10:{i % 9:02}:00") for i in range(40)])
+    got = enrich_events(rows, 5)
+    assert got.exceptAll(enrich_events(rows)).isEmpty() and got.count() == 40
+    spans = got.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.min(F.struct("day_index", "row_in_day")).alias("first"), F.max(F.struct("day_index", "row_in_day")).alias("last")
+    ).collect()
+    spans = sorted((tuple(r["first"]), tuple(r["last"])) for r in spans)
+    assert 3 <= len(spans) <= 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert "rangepartitioning" not in plan_of(got) and "Exchange hashpartitioning(invoice" not in plan_of(got)
+
+
+def test_a_message_is_parsed_once(spark):
+    messages = spark.createDataFrame(
+        [(text,) for text in ('{"invoice":"1","simulated_day":"2020-01-01","row_in_day":0}', '{"invoice":"2"}', "no event",
+                              '{"invoice":"3","simulated_day":"2020-01-01","quantity":"many"}', None)], "value string")
+    events = parse_events(messages)
+    assert sorted(values(events, "invoice", "row_in_day")) == [("1", 0), ("3", None)]
+    folder = new_folder(spark, "messages")
+    messages.where("value is not null").write.text(folder)
+    assert plan_of(hot_events(parse_events(spark.read.text(folder)))).count("Generate inline(array(from_json(") == 1
+    assert "Filter (isnotnull(value" not in plan_of(parse_events(spark.read.text(folder)))
+
+
+def test_raw_sales_are_those_of_the_stated_joins(spark):
+    """Repeated and missing keys too; lines are dealt by order and by part, not by customer."""
+    made = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double",
+                     [(1, 7, 1, 2.0, 90.0), (1, 8, 2, 3.0, 50.0), (2, 7, 1, 1.0, 10.0), (3, None, 1, 1.0, 1.0), (None, 7, 1, 1.0, 1.0)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+                   [(1, 4, at("2020-01-01 00:00:00")), (1, 5, at("2020-01-02 00:00:00")), (2, None, at("2020-01-03 00:00:00")),
+                    (3, 4, at("2020-01-04 00:00:00"))]),
+        "part": ("p_partkey long, p_name string", [(7, "tea"), (7, "cup"), (8, "lamp"), (None, "x")]),
+        "customer": ("c_custkey long, c_nationkey long", [(4, 1), (5, 2), (5, 1), (None, 1)]),
+        "nation": ("n_nationkey long, n_name string", [(1, "SPAIN"), (2, "ITALY")]),
+    }
+    folder = new_folder(spark, "tables")
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = feeds.raw_sales(spark, folder)
+        by_customer = plan_of(got).split("Exchange hashpartitioning(o_custkey")
+        assert len(by_customer) == 2 and "l_" not in by_customer[1].split("SortMergeJoin")[0]
+        seconds = "make_dt_interval(0, 0, 0, (o.o_orderkey * 7919) % 86400)"
+        want = spark.sql(feeds.RETAIL_VIEW.format(S="STRING", T=seconds)).select(
+            "invoice", "stock_code", "description", F.col("quantity").cast("double"), "invoice_date",
+            F.col("price").cast("double"), "customer_id", "country")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.toDF(*got.columns).collect()))
+        assert got.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")

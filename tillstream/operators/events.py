@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillstream.operators.keys import dense_key
+from tillstream.operators.keys import dense_key, short_origin
 
 _ORDER = [
     "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price", "CustomerID", "Country",
     "Description", "source_file", "source_row",
 ]
+_ORIGIN = ["source_file", "source_row"]
 
 
-def enrich_events(sales: DataFrame) -> DataFrame:
+def enrich_events(sales: DataFrame, tasks: int | None = None) -> DataFrame:
     """One event per sale with its day number and its place in the day, both from 0.
 
     ``sales`` comes from ``read_lake(..., with_row_id=True)``. Sales are numbered once over all
     days; the place in the day is that number less the sales of earlier days. A day that holds
     much of the data is therefore sorted by many tasks. The day table has one row per calendar
-    day, which bounds its window and its broadcast.
+    day, which bounds its window and its broadcast. With ``tasks`` the events come in order in so many
+    partitions, which need not be dealt again to be stored.
     """
-    numbered = dense_key(sales, _ORDER, "_number").withColumn(
+    rows = short_origin(sales.select(*_ORDER, "Revenue"))
+    numbered = dense_key(rows, _ORDER, "_number", _ORIGIN, tasks).withColumn(
         "simulated_day", F.to_date("InvoiceDate")
     )
     in_order = Window.orderBy("simulated_day")
