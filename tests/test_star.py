@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import lake_of, one, sale, star_of, values
 from tillstream.functions.columns import price_band, rfm_segment
-from tillstream.operators import star
+from tillstream.operators import lookup, star
 from tillstream.operators.checks import _repeated, check_constraints
 from tillstream.operators.keys import dense_key, place_rows
 from tillstream.operators.lookup import lookup_key
@@ -209,3 +209,41 @@ def test_newest_country_is_found_among_invoices_not_in_the_lake(spark):
     row = found.first()
     assert (row["country"], row["frequency"], row["_rows"], found.count()) == ("France", 3, 5, 1)
     assert all("test-lake" not in name for name in found.inputFiles())
+
+
+def test_columns_that_serve_the_order_only_are_not_stored(spark):
+    rows = spark.range(50).select((F.col("id") % 7).alias("v"), "id", F.lit("x").alias("kept"))
+    numbered = dense_key(rows, ["v", "id"], "n", ["id"], 4)
+    assert numbered.columns == ["n", "v", "kept"] and numbered.count() == 50
+    want = sorted((i % 7, i) for i in range(50))
+    assert [r["v"] for r in numbered.orderBy("n").collect()] == [v for v, _ in want]
+    placed = place_rows(rows, ["v", "id"], "n", ["id"], 4)
+    assert placed.select("_part").distinct().count() == placed.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_small_dimensions_are_broadcast_and_large_ones_joined_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4), ("a", 5)], "code string, id long")
+    dim = spark.createDataFrame([("a", 10, 2), ("b", 20, 1), ("b", 21, 1)], "code string, key long, n long")
+    want = [("a", 1, 10), ("a", 5, 10), ("b", 2, 20), ("b", 2, 21), ("c", 4, None), (None, 3, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = lookup_key(rows, dim, "code", "key", "n", 5)
+        assert "Exchange hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(lookup, "MOST_BROADCAST", 0)
+        for got in (whole, lookup_key(rows, dim, "code", "key", "n", 5)):
+            assert sorted(values(got, "code", "id", "key"), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_large_lookup_leaves_the_hot_rows_spread(spark, monkeypatch):
+    """The fact is the same with dimensions beyond the broadcast limit, and lies by its numbers."""
+    rows = [sale(str(i), code=f"P{i % 3}", when=f"2020-0{1 + i // 9}-01 10:00:0{i % 9}", customer=[None, "7", "8"][i % 3])
+            for i in range(27)]
+    first = star_of(spark, rows).fact_sales
+    monkeypatch.setattr(lookup, "MOST_BROADCAST", 0)
+    second = star_of(spark, rows).fact_sales
+    assert first.count() == 27 and first.exceptAll(second).isEmpty()
+    in_order = first.orderBy("invoice_date", "invoice")
+    assert [r["sale_id"] for r in in_order.collect()] == list(range(1, 28))
+    assert values(in_order.limit(3), "product_key", "customer_key") == [(1, 3), (2, 1), (3, 2)]
