@@ -179,3 +179,26 @@ def test_projections_in_many_cells(spark, monkeypatch):
     found = top_k_by_projections(asked, points)
     assert sorted(map(tuple, found.collect())) == whole and len(whole) == 45
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_in_rows_and_of_repeated_keys_together(spark):
+    rows = [(1, "a b A  c"), (2, ""), (3, None), (4, "b\tb\nc"), (4, "c d"), (None, "a a"), (None, "a"), (5, "Ä ä x")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = text._document_counts(documents, "doc_id")
+    want = text.term_counts(documents, ["doc_id"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    alone = text._document_counts(documents.where("doc_id in (1, 2, 3, 5)"), "doc_id")
+    assert "hashpartitioning(doc_id" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert got.schema.simpleString() == want.schema.simpleString()
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_postings_do_not_depend_on_the_terms_that_are_broadcast(spark, monkeypatch, frequent):
+    rows = [(i, " ".join(f"t{j}" for j in range(i % 5 + 1))) for i in range(12)] + [(20, "t0 rare"), (None, "t0 t1")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = text.term_counts(documents, ["doc_id"])
+    rarity = counts.groupBy("term").agg(F.log(F.lit(15) / (F.count("*") + 1)).alias("rarity")).where("rarity > 0")
+    monkeypatch.setattr(text, "FREQUENT_TERMS", frequent)
+    got = text._with_rarity(counts, rarity)
+    assert sorted(map(str, got.select("doc_id", "term", "tf", "rarity").collect())) == sorted(
+        map(str, counts.join(rarity, "term").select("doc_id", "term", "tf", "rarity").collect()))
