@@ -416,10 +416,14 @@ def _l7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.can_forecast(live.merge_history(history, days, newest))
 
 
-def _current_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of a feed with late events, over a hot table that took in each event once."""
-    counts = feeds.late_store(spark, sf_dir).hot_table().day_counts()
-    return live.current_days(feeds.closed_days(spark, sf_dir), counts)
+def _against_late(plan: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Forecasts and current days of a feed with late events, both over a hot table that took in each event once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counts = feeds.late_store(spark, sf_dir).hot_table().day_counts()
+        return plan(feeds.forecasts(spark, sf_dir, counts), live.current_days(feeds.closed_days(spark, sf_dir), counts))
+
+    return run
 
 
 def on_hot(plan: Callable[..., DataFrame], **options) -> Query:
@@ -449,16 +453,12 @@ LIVE: dict[str, Query] = {
     "l2_live_top_products": on_hot(live.live_top_products),
     "l3_live_geo_revenue": on_hot(live.live_geo_revenue),
     "l4_live_daily_series": on_hot(live.live_daily_series),
-    "l5_forecast_vs_actual": lambda spark, d: live.forecast_vs_actual(
-        feeds.forecasts(spark, d), _current_days(spark, d)
-    ),
+    "l5_forecast_vs_actual": _against_late(live.forecast_vs_actual),
     "l6_forecast_outlook": lambda spark, d: live.forecast_outlook(
         feeds.simple_outlook(feeds.forecasts(spark, d))
     ),
     "l7_merge_history": _l7,
-    "l8_accuracy_report": lambda spark, d: live.accuracy_report(
-        feeds.forecasts(spark, d), _current_days(spark, d)
-    ),
+    "l8_accuracy_report": _against_late(live.accuracy_report),
     "l9_stream_status": lambda spark, d: live.stream_status(
         feeds.live_store(spark, d).hot_table().counters(), _accuracy(spark, d)
     ).drop("started_at"),

@@ -257,3 +257,35 @@ def test_raw_sales_are_those_of_the_stated_joins(spark):
         assert got.count() == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_a_batch_without_repeats_is_read_once(spark):
+    """The batch is parsed once, for its places and its events."""
+    table, seen = HotTable(spark, new_folder(spark, "hot-once")), spark.sparkContext.accumulator(0)
+
+    def place(p):
+        seen.add(1)
+        return p
+
+    rows = [("1", "A", "tea", 1.0, 2.0, 2.0, "7", "France", at("2020-01-01 10:00:00"), at("2020-01-01").date(), p,
+             at("2020-01-02 00:00:00"), 202001) for p in range(6)]
+    sent = spark.createDataFrame(rows, schemas.HOT_EVENT).withColumn("row_in_day", F.udf(place, "long")("row_in_day"))
+    table.append(sent, "r", 0, distinct=True)
+    assert seen.value == 6 and table.read().count() == 6 and table.counters().first()["num_events"] == 6
+    table.append(sent, "r", 1, distinct=True)
+    assert seen.value == 12 and table.read().count() == 6
+    assert not [n for n in folder_names(spark, f"{table.path}/arriving/run=r") if n.startswith("batch=")]
+
+
+def test_late_batches_are_the_feeds_messages(spark):
+    """The three batches hold the feed's lines as a filter over it finds them, and nothing else is built for them."""
+    tables = "/root/testdata/sf0.001/."
+    store = feeds.late_store(spark, tables)
+    assert {label for _, folder, label in feeds._stored if folder == tables} == {"raw-csv", "lake", "late"}
+    messages = spark.read.text(feeds.event_dir(spark, tables))
+    day, place = (F.get_json_object("value", f"$.{name}").cast("int") for name in ("day_index", "row_in_day"))
+    late = (day == 5) | ((day == 3) & (place == 0))
+    last = day > messages.agg(F.max(day)).first()[0] - 20
+    for number, want in enumerate((~late & ~last, ~late & last, late | (day == 0))):
+        got, want = spark.read.text(f"{store.root}/feed/{number}"), messages.where(want)
+        assert want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tillstream import schemas
 from tillstream.functions.columns import cents
-from tillstream.sources.tables import KeyedTable, delete_folder, folder_names
+from tillstream.sources.tables import KeyedTable, delete_folder, folder_names, publish_folder
 
 COUNTERS = (
     "sale_month int, simulated_day date, num_events long, earned long, units long, "
@@ -52,21 +52,23 @@ class HotTable:
 
     def append(self, events: DataFrame, run: str, batch: int, distinct: bool = False) -> None:
         """Store a batch of events and its counters; with ``distinct`` only events that are not there yet."""
-        if distinct:
-            # A few bytes per event, read for its days, then to be compared.
-            places = events.where(F.col("row_in_day").isNotNull()).select("sale_month", *_EVENT).persist()
-            met = self._met(places, run, batch).persist()
-            self._store(self._unseen(events, met), run, batch)
-            met.unpersist()
-            places.unpersist()
+        place = self._of_batch("batches", run, batch)
+        if not distinct:
+            self._write(events, place)
         else:
-            self._store(events, run, batch)
-
-    def _store(self, events: DataFrame, run: str, batch: int) -> None:
-        # A repeated batch replaces all months of its first try.
-        writer = events.write.option("partitionOverwriteMode", "static").option("compression", "zstd").mode("overwrite")
-        writer.partitionBy("sale_month").parquet(self._of_batch("batches", run, batch))
-        stored = self.spark.read.schema(schemas.HOT_EVENT).parquet(self._of_batch("batches", run, batch))
+            # Stored apart first, so that a batch is parsed once; readers do not look there.
+            apart = self._of_batch("arriving", run, batch)
+            self._write(events, apart)
+            came = self.spark.read.schema(schemas.HOT_EVENT).parquet(apart)
+            met = self._met(came.where(F.col("row_in_day").isNotNull()).select("sale_month", *_EVENT), run, batch).persist()
+            new = self._unseen(came, met)
+            if new is came:
+                publish_folder(self.spark, apart, place)
+            else:
+                self._write(new, place)
+                delete_folder(self.spark, apart)
+            met.unpersist()
+        stored = self.spark.read.schema(schemas.HOT_EVENT).parquet(place)
         counted = stored.groupBy("sale_month", "simulated_day").agg(
             F.count("*").alias("num_events"), F.sum(cents(F.col("revenue"))).alias("earned"),
             F.sum(F.col("quantity").cast("long")).alias("units"),
@@ -74,6 +76,11 @@ class HotTable:
         )
         counted.coalesce(1).write.mode("overwrite").parquet(self._of_batch("counters", run, batch))
 
+    def _write(self, events: DataFrame, path: str) -> None:
+        # A repeated batch replaces all months of its first try.
+        writer = events.write.option("partitionOverwriteMode", "static").option("compression", "zstd").mode("overwrite")
+        writer.partitionBy("sale_month").parquet(path)
+
     def _met(self, places: DataFrame, run: str, batch: int) -> DataFrame:
         """(met_day, met_row, is_stored): the places that an earlier batch stored, and those that the
         batch has more than once.

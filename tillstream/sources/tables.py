@@ -33,6 +33,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def publish_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Give a written folder its place, in which readers look; one that is there is replaced."""
+    files, source = _folder(spark, path)
+    place = _folder(spark, target)[1]
+    files.delete(place, True)
+    files.mkdirs(place.getParent())
+    if not files.rename(source, place):
+        raise OSError(f"{path} could not be renamed to {target}")
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly under a path; none where it does not exist."""
     files, target = _folder(spark, path)
