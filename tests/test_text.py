@@ -202,3 +202,46 @@ def test_postings_do_not_depend_on_the_terms_that_are_broadcast(spark, monkeypat
     got = text._with_rarity(counts, rarity)
     assert sorted(map(str, got.select("doc_id", "term", "tf", "rarity").collect())) == sorted(
         map(str, counts.join(rarity, "term").select("doc_id", "term", "tf", "rarity").collect()))
+
+
+@pytest.mark.parametrize("sent", [2, 1_000])
+@pytest.mark.parametrize("many_asked", [False, True])
+def test_nearest_texts_copy_neither_side(spark, monkeypatch, sent, many_asked):
+    """The larger side is dealt once, the other sent in blocks: no row is copied per block, and all results are there."""
+    monkeypatch.setattr(text, "_BLOCK_TERMS", 4)
+    monkeypatch.setattr(text, "_LEAST_TERMS", 3)
+    monkeypatch.setattr(text, "_SENT_TERMS", sent)
+    words = "red green blue black white grey".split()
+    said = [(i, " ".join([words[i % 6], words[i % 5], words[i % 4]])) for i in range(12)]
+    docs = spark.createDataFrame(said if not many_asked else said[:3], "doc_id long, text string")
+    asked = spark.createDataFrame(said[:3] if not many_asked else said, "conv long, text string")
+    path = new_folder(spark, "copies")
+    text.index_documents(docs, path)
+    rarity, postings = text.load_index(spark, path)
+    got = text.nearest_texts(asked, rarity, postings, ["conv"])
+    assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    weights = {}
+    for r in postings.collect():
+        weights.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    rare = {r["term"]: r["rarity"] for r in rarity.collect()}
+    want = []
+    for conv, said in ((r["conv"], r["text"].split()) for r in asked.collect()):
+        mine = {t: said.count(t) * rare[t] for t in said if t in rare}
+        length = sum(w * w for w in mine.values()) ** 0.5
+        scores = [(-round(sum(w / length * theirs.get(t, 0) for t, w in mine.items()), 6), doc)
+                  for doc, theirs in weights.items() if set(mine) & set(theirs)]
+        want += [(conv, doc, place) for place, (_, doc) in enumerate(sorted(scores)[:3], 1)]
+    assert want and sorted(tuple(r) for r in got.select("conv", "doc_id", "place").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_weights_are_scaled_where_they_lie(spark, monkeypatch, most):
+    """Lengths are broadcast, also that of a text without an id; above the limit weights meet by their text."""
+    monkeypatch.setattr(text, "MOST_LENGTHS", most)
+    raw = spark.createDataFrame(
+        [(1, "a", 3.0), (1, "b", 4.0), (None, "a", 5.0), (None, "c", 12.0), (2, "a", 0.5)], "doc_id long, term string, raw double"
+    )
+    got = text._unit_where_they_lie(raw, "doc_id")
+    assert ("Window" in got._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+    found = {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in got.collect()}
+    assert found == {(1, "a"): 0.6, (1, "b"): 0.8, (None, "a"): round(5 / 13, 9), (None, "c"): round(12 / 13, 9), (2, "a"): 1.0}
