@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registered import apart
 from tests.helpers import lake_of, one, sale, star_of, values
 from tillstream.functions.columns import price_band, rfm_segment
 from tillstream.operators import lookup, star
@@ -247,3 +248,27 @@ def test_large_lookup_leaves_the_hot_rows_spread(spark, monkeypatch):
     in_order = first.orderBy("invoice_date", "invoice")
     assert [r["sale_id"] for r in in_order.collect()] == list(range(1, 28))
     assert values(in_order.limit(3), "product_key", "customer_key") == [(1, 3), (2, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_daily_figures_are_dealt_once(spark, monkeypatch, most):
+    """One shuffle of the sales where no day is large; large days and months give the same figures."""
+    rows = [sale(str(i % 7), code="ABC"[i % 3], when=f"2020-0{1 + i % 2}-{1 + i % 5:02} 10:00:00", price=1 + i / 4) for i in range(40)]
+    fact = star_of(spark, rows).fact_sales
+    monkeypatch.setattr(star, "MOST_OF_DAY", most)
+    got = star.build_agg_daily_by_month(fact)
+    want = star.with_sale_month(star.build_agg_daily(fact))
+    assert want.count() > 20 and got.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+    if most == 1000:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_rows_apart_are_counted(spark):
+    """Rows without a counterpart on the other side, nulls and repeats included."""
+    left = [(1, "a"), (None, "a"), (2, None), (2, "b"), (2, "b"), (3, "c")]
+    right = [(1, "a"), (1, None), (2, None), (2, "b"), (4, "c")]
+    made = [spark.createDataFrame(rows, "n int, s string").withColumn("side", F.lit(side)) for rows, side in ((left, 1), (right, -1))]
+    got = apart(made[0].unionByName(made[1]), ["n", "s"]).first()
+    assert (got["num_rows"], got["differing"]) == (6, 5)
+    same = apart(made[0].unionByName(made[0].withColumn("side", F.lit(-1))), ["n", "s"])
+    assert (same.first()["num_rows"], same.first()["differing"]) == (6, 0)
